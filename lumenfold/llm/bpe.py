@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def loaded(path: str, pattern: str) -> Bpe:
 def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """A batch in pieces whose column holds about `most` bytes or a single row."""
     start, held = 0, 0
-    sizes = pa.compute.binary_length(batch.column(column)).to_pylist() if not pa.types.is_list(batch.column(column).type) else pa.compute.list_value_length(batch.column(column)).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).to_pylist() if not pa.types.is_list(batch.column(column).type) else pc.list_value_length(batch.column(column)).to_pylist()
     for i, size in enumerate(sizes):
         if held and held + (size or 0) > most:
             yield batch.slice(start, i - start)
