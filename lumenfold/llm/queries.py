@@ -12,6 +12,7 @@ from lumenfold.llm.bpe import encode_decode
 from lumenfold.llm.common import table
 from lumenfold.llm.kdtree import exact_topk
 from lumenfold.llm.line_dedup import line_dedup_report
+from lumenfold.llm.minhash import near_duplicates
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -90,7 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op6_exact_topk": op6_exact_topk, "op8_quality_classifier": op8_quality_classifier, "op10_language_id": op10_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
