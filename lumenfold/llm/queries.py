@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm import langid, quality
 from lumenfold.llm.bpe import encode_decode
 from lumenfold.llm.common import table
+from lumenfold.llm.decontaminate import contaminated_documents
 from lumenfold.llm.kdtree import exact_topk
 from lumenfold.llm.line_dedup import line_dedup_report
 from lumenfold.llm.minhash import near_duplicates
@@ -52,6 +53,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -95,7 +101,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op10_language_id": op10_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
