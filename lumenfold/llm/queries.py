@@ -14,6 +14,7 @@ from lumenfold.llm.decontaminate import contaminated_documents
 from lumenfold.llm.kdtree import exact_topk
 from lumenfold.llm.line_dedup import line_dedup_report
 from lumenfold.llm.minhash import near_duplicates
+from lumenfold.llm.pii import find_personal_data
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +93,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = langid.held_out(F.col("doc_id"), 3, 1)
@@ -101,7 +107,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op10_language_id": op10_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_personal_data": op9_personal_data, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
