@@ -11,6 +11,7 @@ from lumenfold.llm import langid, quality
 from lumenfold.llm.bpe import encode_decode
 from lumenfold.llm.common import table
 from lumenfold.llm.decontaminate import contaminated_documents
+from lumenfold.llm.html_wrapper import extract
 from lumenfold.llm.kdtree import exact_topk
 from lumenfold.llm.line_dedup import line_dedup_report
 from lumenfold.llm.minhash import near_duplicates
@@ -54,6 +55,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages, out_col="text").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contaminated_documents(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -107,7 +113,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_personal_data": op9_personal_data, "op10_language_id": op10_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_html_extraction": op4_html_extraction, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_personal_data": op9_personal_data, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
