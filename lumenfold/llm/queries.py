@@ -16,6 +16,7 @@ from lumenfold.llm.kdtree import exact_topk
 from lumenfold.llm.line_dedup import line_dedup_report
 from lumenfold.llm.minhash import near_duplicates
 from lumenfold.llm.pii import find_personal_data
+from lumenfold.llm.suffix_dedup import dedup_substrings
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -113,7 +119,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_html_extraction": op4_html_extraction, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_personal_data": op9_personal_data, "op10_language_id": op10_language_id}
+    return {"op1_line_dedup": op1_line_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op3_byte_bpe": op3_byte_bpe, "op4_html_extraction": op4_html_extraction, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_exact_topk": op6_exact_topk, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_personal_data": op9_personal_data, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
