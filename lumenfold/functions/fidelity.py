@@ -14,10 +14,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once: inside a lambda Catalyst would repeat it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(v: Column) -> Column:
     """A unit vector; a zero vector is an error."""
-    size = F.sqrt(dot(v, v))
-    return F.when(size == 0, F.raise_error(F.lit("cannot normalise a zero vector")).cast("array<double>")).otherwise(F.transform(v, lambda x: x / size))
+
+    def scaled(u: Column) -> Column:
+        unit = let(F.sqrt(dot(u, u)), lambda size: F.transform(u, lambda x: x / size))
+        return F.when(dot(u, u) == 0, F.raise_error(F.lit("cannot normalise a zero vector")).cast("array<double>")).otherwise(unit)
+
+    return let(v, scaled)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -40,8 +49,8 @@ def hashed_encoding(text: Column, dim: int = 64) -> Column:
 
 
 def hashed_counts(places: Column, dim: int) -> Column:
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return F.when(F.size(places) > 0, normalize(counts))
+    count = lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(ps, lambda p: p == i)).cast("double"))
+    return let(places, lambda ps: F.when(F.size(ps) > 0, normalize(count(ps))))
 
 
 def combined_epe(cosine: Column, gap: Column, alpha: float = 0.5) -> Column:

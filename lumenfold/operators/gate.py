@@ -72,13 +72,12 @@ def ingest(segments: DataFrame, threshold: float = 0.05, schema_threshold: float
     gate = novelty_gate(coded, threshold, session, seq, text)
     body = F.col(text)
     joined = coded.join(gate.withColumnRenamed("session", "_s").withColumnRenamed("seq", "_q"), (F.col(session) == F.col("_s")) & (F.col(seq) == F.col("_q"))).drop("_s", "_q")
-    kind = T.detect_schema(body)
-    gap = F.coalesce(*[F.when(kind == k, T.schema_gap(body, k)) for k in T.P.SCHEMA_TYPES], F.lit(0.0))
-    budget = fidelity.write_budget(F.lit("BACKGROUND"), gap, T.is_artifact(body))
+    by_kind = lambda make: F.coalesce(*[F.when(F.col("schema") == k, make(k)) for k in T.P.SCHEMA_TYPES], F.lit(0.0))
     far = lambda a, b: fidelity.cosine_distance(fidelity.hashed_encoding(a, dim), F.coalesce(fidelity.hashed_encoding(b, dim), F.array_repeat(F.lit(0.0), dim)))
-    lost = lambda a, b: F.coalesce(*[F.when(kind == k, T.schema_gap_pair(a, b, k)) for k in T.P.SCHEMA_TYPES], F.lit(0.0))
-    made = joined.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.when(F.col("novel"), "hot").otherwise("cold_only").alias("action"), F.col("score").alias("novelty"), kind.alias("schema"), (T.schema_novelty(body) > schema_threshold).alias("schema_novel"), budget.alias("budget"), body.alias("original"))
-    short = ladder(F.col("original"), F.col("budget"), T.truncate, far, lost)
+    made = joined.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.when(F.col("novel"), "hot").otherwise("cold_only").alias("action"), F.col("score").alias("novelty"), T.detect_schema(body).alias("schema"), (T.schema_novelty(body) > schema_threshold).alias("schema_novel"), body.alias("original"))
+    gap = by_kind(lambda k: T.schema_gap(F.col("original"), k))
+    made = made.withColumn("budget", fidelity.write_budget(F.lit("BACKGROUND"), gap, T.is_artifact(F.col("original"))))
+    short = ladder(F.col("original"), F.col("budget"), T.truncate, far, lambda a, b: by_kind(lambda k: T.schema_gap_pair(a, b, k)))
     hot = F.col("action") == "hot"
     made = made.withColumn("committed", F.when(hot, short)).withColumn("cosine_epe", F.when(hot, far(F.col("original"), F.col("committed"))))
     return made.withColumn("tokens", T.token_count(F.col("original"))).withColumn("kept_tokens", F.when(hot, T.token_count(F.col("committed"))))

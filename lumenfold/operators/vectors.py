@@ -15,7 +15,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: st
     """(query_id, rank, id, score): exact, by inner product of unit vectors; equal scores go to smaller ids."""
     blocks = max(1, -(-queries.count() // BLOCK))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block"))
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_block"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
     pairs = v.join(q, "_block").where(F.col("query_id") != F.col("id")) if skip_self else v.join(q, "_block")
     scored = pairs.select("query_id", "id", dot(F.col("_q"), F.col("_v")).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
