@@ -12,6 +12,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def strip(text: Column) -> Column:
+    """Without ASCII white space at both ends."""
+    return F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def whitespace_tokens(text: Column) -> Column:
     """Tokens between white space of any script."""
     return F.array_remove(F.split(text, r"(?U)\s+"), "")
@@ -35,7 +40,7 @@ def extractive_tokens(text: Column) -> Column:
 
 
 def extractive_sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+|\n+"), strip), lambda s: s != "")
 
 
 def dedup_sentences(text: Column) -> Column:
@@ -44,12 +49,12 @@ def dedup_sentences(text: Column) -> Column:
 
 def sections(text: Column) -> Column:
     """Pieces that begin at a bullet, number or heading mark; the whole text if there is none."""
-    parts = F.filter(F.transform(F.split(text, P.SECTION_START), F.trim), lambda s: s != "")
-    return F.when(F.trim(text) == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(F.trim(text))).otherwise(parts)
+    parts = F.filter(F.transform(F.split(text, P.SECTION_START), strip), lambda s: s != "")
+    return F.when(strip(text) == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(strip(text))).otherwise(parts)
 
 
 def lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
 
 
 def words(text: Column) -> Column:
@@ -153,7 +158,7 @@ def key_style(key: Column) -> Column:
 
 
 def value_type(value: Column) -> Column:
-    v = F.trim(F.trim(value), F.lit("\"'"))
+    v = F.trim(strip(value), F.lit("\"'"))
     return F.when(F.lower(v).isin("true", "false"), "boolean").when(F.lower(v) == "null", "null").when(v.rlike("^-?[0-9]+$"), "integer").when(v.rlike(r"^-?[0-9]+\.[0-9]+$"), "float").otherwise("string")
 
 
@@ -232,6 +237,6 @@ def truncate(text: Column, budget: Column | float) -> Column:
 
 def dedupe_sentences(text: Column) -> Column:
     """Sentences without those that came before (case aside), in order."""
-    parts = F.filter(F.transform(dedup_sentences(text), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(dedup_sentences(text), strip), lambda s: s != "")
     low = F.transform(parts, F.lower)
     return F.array_join(F.filter(parts, lambda s, i: F.array_position(low, F.lower(s)) == i + 1), " ")

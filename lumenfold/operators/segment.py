@@ -6,10 +6,10 @@ depends on what came before, is a fold over a text's own pieces (aggregate()).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import token_count
+from lumenfold.functions.text import strip, token_count
 
 SHORT, LONG, BULLETS = 5, 300, 20
 _STRINGS = "array<string>"
@@ -62,16 +62,22 @@ def cut_long(piece: Column, most: int = LONG) -> Column:
 
 def paragraph(text: Column) -> Column:
     """A paragraph's prose and its bullet groups; without bullets the paragraph as it is."""
-    rows = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
     bullets = F.filter(rows, lambda x: x.rlike(r"^[-*]\s+"))
     prose = F.filter(rows, lambda x: ~x.rlike(r"^[-*]\s+"))
     lead = F.when(F.size(prose) > 0, F.array(F.array_join(prose, " "))).otherwise(_empty())
-    return F.when(F.size(bullets) == 0, F.array(F.trim(text))).otherwise(F.concat(lead, pack(bullets, BULLETS)))
+    return F.when(F.size(bullets) == 0, F.array(strip(text))).otherwise(F.concat(lead, pack(bullets, BULLETS)))
 
 
-def segments(text: Column) -> Column:
-    """The segments of a session's text, in order."""
-    blocks = F.flatten(F.transform(F.split(text, r"(?m)(?=^#{2,3}\s+\S)"), lambda b: F.filter(F.split(F.trim(b), r"\n{2,}"), lambda p: F.trim(p) != "")))
-    raw = F.flatten(F.transform(blocks, paragraph))
-    out = F.flatten(F.transform(merge_short(raw), cut_long))
-    return F.filter(out, lambda s: F.trim(s) != "")
+def segments(docs: DataFrame, id_col: str = "session_id", text_col: str = "text") -> DataFrame:
+    """(id, pos, segment): the segments of each session's text, in order.
+
+    The folds are applied to columns, never inside another lambda: there they lose their state.
+    """
+    blocks = F.flatten(F.transform(F.split(F.col(text_col), r"(?m)(?=^#{2,3}\s+\S)"), lambda b: F.filter(F.split(strip(b), r"\n{2,}"), lambda p: strip(p) != "")))
+    raw = docs.select(F.col(id_col).alias("id"), F.posexplode(blocks).alias("at", "block")).select("id", "at", paragraph(F.col("block")).alias("pieces"))
+    whole = raw.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "pieces"))), lambda x: x["pieces"])).alias("pieces"))
+    merged = whole.select("id", F.posexplode(merge_short(F.col("pieces"))).alias("at", "piece"))
+    cut = merged.select("id", "at", F.posexplode(cut_long(F.col("piece"))).alias("part", "segment")).where(strip(F.col("segment")) != "")
+    order = Window.partitionBy("id").orderBy("at", "part")
+    return cut.select("id", (F.row_number().over(order) - 1).alias("pos"), "segment")
