@@ -1,4 +1,4 @@
-"""Sessions: sending this package to the executors."""
+"""Sessions: sending this package to the executors, and batches that suit long texts."""
 
 from __future__ import annotations
 
@@ -9,10 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+#: Rows in an Arrow batch: documents may be long, and a batch lies in the memory of the JVM and of Python at once.
+ARROW_ROWS = 512
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once for each application, so that Python workers can import it wherever they run."""
+    """Send the package to the executors, once for each application, so that Python workers can import it wherever they run.
+
+    Arrow batches are made small too, unless the session has a setting of its own.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _SENT:
         return
