@@ -52,6 +52,37 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(greatest(n - 49, 0))) AS i, b FROM d
+), s AS (
+  SELECT doc_id, i, b[i + 1:i + 50] AS s FROM w
+), f AS (
+  SELECT s, min(doc_id) AS first_doc FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS apart
+  FROM s JOIN f USING (s) WHERE doc_id > first_doc
+), run AS (
+  SELECT doc_id, i, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit
+), span AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM run GROUP BY doc_id, run
+), gap AS (
+  SELECT doc_id, a, hex(d.b[coalesce(before, 0) + 1:a]) AS piece
+  FROM (SELECT *, lag(z) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span) JOIN d USING (doc_id)
+), cut AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last_z FROM span GROUP BY doc_id
+), head AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY a) AS head FROM gap GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head, '') || hex(b[coalesce(last_z, 0) + 1:n]))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN head USING (doc_id)
+"""
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -123,4 +154,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_exact_topk": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_suffix_dedup": OP2_SQL, "op6_exact_topk": OP6_SQL}
