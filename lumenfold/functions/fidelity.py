@@ -110,3 +110,8 @@ def eviction_score(turn: Column, misses: Column, hits: Column, novelty: Column,
     part = lambda x: F.when(F.max(x).over(over) > 0, x / F.max(x).over(over).cast("double")).otherwise(0.0)
     time = part(turn) if recency == "as_coded" else 1 - part(turn)
     return 0.3 * time + 0.4 * part(misses) - 0.2 * part(hits) + 0.1 * (1 - novelty)
+
+
+def risk(epe_value: Column, kind: Column) -> Column:
+    """A distance weighted by its content type's risk; types that are not known count half."""
+    return epe_value * by_type(kind, 3, 0.5)

@@ -76,3 +76,21 @@ def reuse(questions: DataFrame, cached: DataFrame, threshold: float = 0.85) -> D
     near = cosine_topk(questions, cached, 1, query_vector="vector", id_col="id", vector_col="vector", skip_self=False).where(F.col("score") > threshold).select("query_id", "id", "score")
     rest = near.join(same.select("query_id"), "query_id", "left_anti")
     return same.unionByName(rest)
+
+
+def hot_trust(used: DataFrame, scores: DataFrame, question: str = "question_id", entry: str = "id") -> DataFrame:
+    """(question, trust): one less the mean R_build of the entries an answer used; 1 if it used none that is known."""
+    joined = used.select(F.col(question).alias("question"), F.col(entry).alias("id")).distinct().join(scores.select("id", "r_build"), "id", "left")
+    return joined.groupBy("question").agg((1 - F.coalesce(F.avg("r_build"), F.lit(0.0))).alias("trust"))
+
+
+def keyword_lines(text: DataFrame, query: str, k: int = 10, line_col: str = "line", pos_col: str = "pos") -> DataFrame:
+    """(pos, line, score): the k lines with the most query words (three letters or more), and 3 for each step number of the query."""
+    import re
+
+    score = F.lit(0)
+    for w in sorted({x for x in re.findall(r"[a-z0-9_]+", query.lower()) if len(x) >= 3}):
+        score = score + F.lower(F.col(line_col)).contains(w).cast("int")
+    for n in sorted(set(re.findall(r"(?i)step\s+([0-9]+)", query))):
+        score = score + F.when(F.col(line_col).rlike(rf"(?i)\bstep\s+{n}\b"), 3).otherwise(0)
+    return text.select(F.col(pos_col).alias("pos"), F.col(line_col).alias("line"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "pos").limit(k)

@@ -94,3 +94,13 @@ def rewrite_anchors(missed: DataFrame, key: str = "key", query: str = "query") -
     """(key, anchors): the distinct words of three letters or more of an entry's missed queries."""
     rows = missed.select(key, F.explode(F.split(F.lower(query), r"\s+")).alias("w")).where(F.char_length("w") >= 3)
     return rows.groupBy(key).agg(F.array_sort(F.collect_set("w")).alias("anchors"))
+
+
+def rewrite(entries: DataFrame, counters: DataFrame, missed: DataFrame, originals: DataFrame, compress, now: int) -> DataFrame:
+    """Entries due for a rewrite, compressed anew from their originals with 0.2 more budget and anchors of the missed queries.
+
+    entries has key, budget and text; originals key and original; the result key, old and new budget, anchors, misses and text.
+    """
+    due = rewrite_due(counters, now).join(entries, "key").join(originals, "key").join(rewrite_anchors(missed), "key", "left")
+    fresh = F.least(F.col("budget") + 0.2, F.lit(1.0))
+    return due.select("key", F.col("budget").alias("old_budget"), fresh.alias("new_budget"), F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"), "misses", compress(F.col("original"), fresh).alias("text"))

@@ -147,3 +147,32 @@ def test_z_score_of_a_constant_is_zero(spark):
 
     rows = spark.createDataFrame([("s", 2.0), ("s", 2.0)], "s string, x double")
     assert {r["z"] for r in rows.select(V.z_score(F.col("x"), Window.partitionBy("s")).alias("z")).collect()} == {0.0}
+
+
+def test_anchors_and_roles(spark):
+    from lumenfold.operators.anchors import anchors, token_roles
+
+    rows = [("s", i, "alpha beta gamma delta") for i in range(25)] + [("s", 25, "rareword at 42 in src/a.py alpha")] + [("t", 0, "rareword 7")]
+    got = {(r["session"], r["seq"]): r["anchors"] for r in anchors(spark.createDataFrame(rows, "session_id string, seq int, text string")).collect()}
+    assert got["s", 25][:3] == ["42", "src/a.py", "rareword"] and got["t", 0] == ["7"]
+    roles = spark.createDataFrame([("The Alpha thing",)], "t string").select(token_roles(F.col("t"), F.array(F.lit("alpha"))).alias("r")).first()["r"]
+    assert [x["role"] for x in roles] == ["stopword", "anchor", "compressible"]
+
+
+def test_rewrite_and_trust(spark):
+    counters = spark.createDataFrame([("k", 3, 0), ("m", 2, 0)], "key string, misses int, last_rewrite int")
+    entries = spark.createDataFrame([("k", 0.3, "ab"), ("m", 0.3, "ab")], "key string, budget double, text string")
+    originals = spark.createDataFrame([("k", "abcdefghij"), ("m", "x")], "key string, original string")
+    missed = spark.createDataFrame([("k", "where is Foo"), ("k", "is foo in")], "key string, query string")
+    r = state.rewrite(entries, counters, missed, originals, T.truncate, 6).collect()
+    assert [(x["key"], x["new_budget"], x["anchors"], x["text"]) for x in r] == [("k", 0.5, ["foo", "where"], "abcde")]
+    used = spark.createDataFrame([(1, "a"), (1, "b"), (2, "z")], "question_id int, id string")
+    trust = {r["question"]: r["trust"] for r in retrieve.hot_trust(used, spark.createDataFrame([("a", 0.2), ("b", 0.4)], "id string, r_build double")).collect()}
+    assert trust == pytest.approx({1: 0.7, 2: 1.0})
+
+
+def test_keyword_lines_and_faithful_pairs(spark):
+    rows = spark.createDataFrame([(0, "nothing"), (1, "the port opened at step 3"), (2, "port closed")], "pos int, line string")
+    assert [r["score"] for r in retrieve.keyword_lines(rows, "which port at step 3").collect()] == [5, 1]
+    got = spark.createDataFrame([("We did the very long thing in order to win it",)], "t string").select(pairs.faithful_compress(F.col("t"), 0.5).alias("c")).first()["c"]
+    assert got == "We did long thing"
