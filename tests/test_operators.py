@@ -174,5 +174,6 @@ def test_rewrite_and_trust(spark):
 def test_keyword_lines_and_faithful_pairs(spark):
     rows = spark.createDataFrame([(0, "nothing"), (1, "the port opened at step 3"), (2, "port closed")], "pos int, line string")
     assert [r["score"] for r in retrieve.keyword_lines(rows, "which port at step 3").collect()] == [5, 1]
-    got = spark.createDataFrame([("We did the very long thing in order to win it",)], "t string").select(pairs.faithful_compress(F.col("t"), 0.5).alias("c")).first()["c"]
-    assert got == "We did long thing"
+    short = lambda t, r: spark.createDataFrame([(t,)], "t string").select(pairs.faithful_compress(F.col("t"), r).alias("c")).first()["c"]
+    assert short("We did the long thing in order to win", 0.9) == "We long thing to win"
+    assert short("one two three four in five six seven", 0.5) == "one two three four" and short("one two three in five six seven eight", 0.5) == "one two three six"
