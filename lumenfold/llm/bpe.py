@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens of at most this many bytes are remembered, and so many of them at most.
-MEMO_BYTES, MEMO_ENTRIES = 64, 700_000
+#: Pre-tokens of at most this many bytes are remembered, and so many of them and of pairs of ids at most.
+MEMO_BYTES, MEMO_ENTRIES, PAIR_ENTRIES = 64, 500_000, 600_000
 
 
 class RankQueue:
@@ -64,7 +64,7 @@ class Bpe:
 
     def learn(self, a: int, b: int) -> int:
         """The id of two neighbours put together, which is its rank, or -1; remembered."""
-        if len(self.pairs) > 4 * MEMO_ENTRIES:
+        if len(self.pairs) > PAIR_ENTRIES:
             self.pairs.clear()
         got = self.pairs[a << 32 | b] = self.ranks.get(self.vocab[a] + self.vocab[b], -1)
         return got

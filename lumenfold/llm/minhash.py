@@ -42,7 +42,7 @@ WORDS, BAND, COORDINATES, MATCHES = 5, 4, 40, 5
 #: Shingles in a chunk of a cluster, at most (a single longer document is a chunk).
 CHUNK = 200_000
 #: Words remembered by a process.
-MEMO = 500_000
+MEMO = 250_000
 
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, BAND * COORDINATES + WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _ODD[WORDS:, None]
