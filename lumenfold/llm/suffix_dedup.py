@@ -184,15 +184,30 @@ def covered(segments: list[bytes], docs: np.ndarray) -> Iterator[tuple[int, int]
         yield from zip((a + owner[hit]).tolist(), offset[hit].tolist(), strict=True)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about `most` bytes: the more documents, the more equal segments combine."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def covered_windows(docs: DataFrame, text_bytes: int) -> DataFrame:
-    """(doc_id, mark, ranges) of docs (doc_id, mark, text, copy): packed pairs of first and last covered window starts."""
+    """(doc_id, mark, ranges) of docs (doc_id, mark, text, skip): packed pairs of first and last covered window starts."""
     buckets = max(1, -(-text_bytes // BUCKET_TEXT))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, hashes, owners = batch.column("doc_id").to_numpy(), [], []
+        for batch in gathered(batches):
+            ids, hashes, owners = batch.column("doc_id").fill_null(0).to_numpy(), [], []
+            skips = batch.column("skip").to_pylist()
             for i, text in enumerate(batch.column("text").to_pylist()):
-                if len(text) >= WIDTH:
+                if not skips[i] and len(text) * 4 >= WIDTH:
                     h = np.unique(np.concatenate([x[0] for x in runs(text.encode())] or [np.empty(0, np.uint64)]))
                     hashes.append(h)
                     owners.append(np.full(len(h), i, np.uint32))
@@ -236,16 +251,19 @@ def covered_windows(docs: DataFrame, text_bytes: int) -> DataFrame:
                 held.append(row)
         yield from flush()
 
-    sent = docs.where("doc_id IS NOT NULL AND NOT copy").select("doc_id", "text").mapInArrow(anchors, "bucket int, hashes binary, ids binary, owners binary")
+    # rows to skip are left to Python: a filter would go below the exchange of the texts, which then could not be used again
+    sent = docs.select("doc_id", "text", "skip").mapInArrow(anchors, "bucket int, hashes binary, ids binary, owners binary")
     found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "found_id long, anchors binary")
     by_doc = found.groupBy("found_id").agg(F.collect_list("anchors").alias("anchors"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist()
+        for batch in gathered(batches):
+            ids, marks, skips = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("skip").to_pylist()
             first: dict[bytes, int] = {}
             made, done = [], []
             for i, (text, blobs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
+                if skips[i] or not blobs:
+                    continue
                 raw, wanted = text.encode(), np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]))
                 for h, start, end in runs(raw):
                     hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
@@ -313,7 +331,7 @@ def covered_windows(docs: DataFrame, text_bytes: int) -> DataFrame:
             held.pop()
         yield from flush()
 
-    joined = docs.where("doc_id IS NOT NULL AND NOT copy").join(by_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("found_id")).select("doc_id", "mark", "text", "anchors")
+    joined = docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("found_id"), "left").select("doc_id", "mark", "text", "skip", "anchors")
     parts = joined.mapInArrow(segments, "anchor long, segment binary, doc_id long, mark long, start long, ranges binary")
     met = parts.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "mark", "start")
     return met.mapInArrow(match, "doc_id long, mark long, ranges binary")
@@ -345,6 +363,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = marks.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = marks.join(firsts, "name").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("mark").alias("copy_marks")).withColumnRenamed("doc_id", "copy_id")
     known = rows.join(copies.hint("shuffle_hash"), rows["doc_id"] == copies["copy_id"], "left").select("doc_id", "mark", "text", F.coalesce(F.array_contains("copy_marks", F.col("mark")), F.lit(False)).alias("copy"))
+    known = known.withColumn("skip", F.col("copy") | F.col("doc_id").isNull())
     spans = covered_windows(known, total).groupBy(F.col("doc_id").alias("span_id")).agg(F.collect_list(F.struct("mark", "ranges")).alias("spans"))
     full = known.join(spans.hint("shuffle_hash"), known["doc_id"] == spans["span_id"], "left")
     full = full.select("doc_id", "text", "copy", F.transform(F.filter("spans", lambda s: s["mark"] == F.col("mark")), lambda s: s["ranges"]).alias("ranges"))
