@@ -48,6 +48,19 @@ def test_html_wrapper_finds_the_slot(spark):
     assert html_wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_html_wrapper_decides_over_all_pages(spark):
+    page = '<html><body><div class="bar">%s</div><article><p>%s</p><p>Read more below</p></article><article><p>%s</p></article></body></html>'
+    other = '<html><body><div class="bar">%s</div><div class="text"><p>%s</p></div></body></html>'
+    pages = [(i, "http://h.org/", page % ("Bar", f"first of {i} " * 5, f"second of {i} " * 5)) for i in range(20)]
+    pages += [(100 + i, "http://h.org/", other % ("Bar", f"other of {i} " * 9)) for i in range(6)]
+    pages += [(200, "http://one.org/", page % ("Bar", "one", "two"))]
+    got = {r["page_id"]: r["main_text"].split("\n") for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    # both articles stay, the line that all articles share goes although it is inside an article
+    assert got[3] == [("first of 3 " * 5).strip(), ("second of 3 " * 5).strip()]
+    assert got[104] == [("other of 4 " * 9).strip()]
+    assert got[200] == ["one", "Read more below", "two"]
+
+
 def test_tree_matching_pairs_in_order():
     a, b = html_wrapper.parse("<div><p>1</p><b>2</b></div>"), html_wrapper.parse("<div><i>0</i><p>3</p></div>")
     score, pairs = html_wrapper.tree_matching(a, b)
