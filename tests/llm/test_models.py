@@ -61,6 +61,20 @@ def test_html_wrapper_decides_over_all_pages(spark):
     assert got[200] == ["one", "Read more below", "two"]
 
 
+def test_html_template_is_what_all_pages_repeat(spark):
+    page = '<html><body><div class="w"><h2>%s</h2><p>%s</p>%s</div></body></html>'
+    note = '<p class="note">Written for the site</p>'
+    pages = [(i, "http://h.org/", page % ("Same title" if i < 4 else f"Title {i}", f"words {i} " * 9, note if i % 2 else "")) for i in range(40)]
+    got = {r["page_id"]: r["main_text"] for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith("Same title\n") for i in range(4)) and got[9].startswith("Title 9\n")
+    assert not any("Written for" in text for text in got.values())  # on half of the pages, but always at its path
+
+
+def test_tree_matching_pairs_all_children():
+    flat = "<div>" + "<i>1</i><b>2</b>" * 150 + "<p>3</p></div>"
+    assert html_wrapper.tree_matching(html_wrapper.parse(flat), html_wrapper.parse(flat))[0] == 303
+
+
 def test_tree_matching_pairs_in_order():
     a, b = html_wrapper.parse("<div><p>1</p><b>2</b></div>"), html_wrapper.parse("<div><i>0</i><p>3</p></div>")
     score, pairs = html_wrapper.tree_matching(a, b)
