@@ -34,30 +34,49 @@ def field_sets(artifacts: DataFrame, id_col: str = "artifact_id", text_col: str
 
 
 def close_sets(sets: DataFrame, most: float = 0.30) -> DataFrame:
-    """(a, b): first artifacts of different sets at most `most` apart; only sets that share a field meet."""
-    one = sets.select(F.col("first").alias("a"), F.col("fields").alias("fa"), F.explode("fields").alias("field"))
-    two = sets.select(F.col("first").alias("b"), F.col("fields").alias("fb"), F.explode("fields").alias("field"))
+    """(a, b, distance): first artifacts of different sets at most `most` apart; only sets that share a field meet.
+
+    Sets that close share one of their rarest fields, so a field that all sets have makes no pairs:
+    of a set of n, all but ceil((1 - most) n) - 1 fields are looked up, from the rarest on.
+    """
+    named = sets.select("first", "fields", F.explode("fields").alias("field"))
+    often = named.groupBy("field").agg(F.count("*").alias("n"))
+    ordered = named.join(often, "field").groupBy("first", "fields").agg(F.sort_array(F.collect_list(F.struct("n", "field"))).alias("order"))
+    size = F.size("fields")
+    some = F.slice("order", F.lit(1), (size - F.ceil((1 - most) * size - 1e-9) + 1).cast("int"))
+    cut = ordered.select("first", "fields", F.explode(some).alias("x")).select("first", "fields", F.col("x.field").alias("field"))
+    one = cut.select(F.col("first").alias("a"), F.col("fields").alias("fa"), "field")
+    two = cut.select(F.col("first").alias("b"), F.col("fields").alias("fb"), "field")
     met = one.join(two, "field").where("a < b").dropDuplicates(["a", "b"])
-    return met.where(jaccard_distance(F.col("fa"), F.col("fb")) <= most).select("a", "b")
+    return met.withColumn("distance", jaccard_distance(F.col("fa"), F.col("fb"))).where(F.col("distance") <= most).select("a", "b", "distance")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed once, without its lineage: in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
 
 
 def families(artifacts: DataFrame, most: float = 0.30, least: int = 5, id_col: str = "artifact_id", text_col: str = "artifact", rounds: int = 30) -> DataFrame:
     """(id, family): single linkage, that is connected components of close field sets; families of `least` artifacts or more.
 
-    Labels are the smallest first artifact; they spread until none changes. Work is by distinct
-    sets, which are few beside the artifacts.
+    Labels are the smallest first artifact; each round a set takes the least label around it and
+    then the label of its label, so chains shorten by doubling, until none changes. Labels that
+    have not settled after `rounds` are an error. Work is by distinct sets, which are few beside the artifacts.
     """
-    sets = field_sets(artifacts, id_col, text_col).checkpoint() if artifacts.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else field_sets(artifacts, id_col, text_col).persist()
-    links = close_sets(sets, most)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    sets = _cut(field_sets(artifacts, id_col, text_col))
+    links = close_sets(sets, most).select("a", "b")
+    both = _cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = sets.select(F.col("first").alias("node"), F.col("first").alias("family"))
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("family").alias("near"))
-        moved = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("family", F.coalesce("near", "family")).alias("family"), F.col("family").alias("was")).persist()
-        changed = not moved.where("family <> was").isEmpty()
+        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("family").alias("around"))
+        near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("family").alias("was"), F.least("family", "around").alias("near"))
+        up = labels.select(F.col("node").alias("near"), F.col("family").alias("up"))
+        moved = _cut(near.join(up, "near", "left").select("node", "was", F.least("near", "up").alias("family")))
         labels = moved.select("node", "family")
-        if not changed:
+        if moved.where("family <> was").isEmpty():
             break
+    else:
+        raise RuntimeError(f"families did not settle in {rounds} rounds")
     rows = artifacts.select(F.col(id_col).alias("id"), field_names(F.col(text_col)).alias("fields"))
     out = rows.join(sets, "fields").join(labels, F.col("first") == F.col("node")).select("id", "family", "fields")
     size = out.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") >= least)

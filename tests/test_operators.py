@@ -130,6 +130,15 @@ def test_pairs(spark):
     assert got["i"] == "it broke because successful completion" and got["s"] == "it broke after the reboot" and got["n"] is None
 
 
+def test_families_of_a_long_chain(spark):
+    # each set shares nine of eleven fields with the next one only
+    rows = [(i, ", ".join(f"f{k}=1" for k in range(i, i + 10))) for i in range(60)]
+    artifacts = spark.createDataFrame(rows, "artifact_id int, artifact string")
+    assert {r["id"]: r["family"] for r in induce.families(artifacts, most=0.2).collect()} == {i: 0 for i in range(60)}
+    with pytest.raises(RuntimeError):
+        induce.families(artifacts, most=0.2, rounds=2)
+
+
 def test_families(spark):
     rows = spark.createDataFrame([(i, '{"id": %d, "name": "x"}' % i) for i in range(5)] + [(9, "plain")], "artifact_id int, artifact string")
     assert {r["id"]: r["family"] for r in induce.families(rows).collect()} == {i: 0 for i in range(5)}
