@@ -480,7 +480,7 @@ def probe_two_level_mean(spark, d):
     return metrics.two_level_mean(read(spark, d, "events"), ["event_type"], "user_id", "value").withColumn("mean_of_means", F.round("mean_of_means", 5))
 
 
-# schema induction, over the parameters of page addresses and the structure of pages --
+# schema induction, over the parameters of page addresses and the fields in pages; three queries over fixed artifacts show single cases --
 
 
 S_FIELDS = r"""list_sort(list_distinct(list_concat(regexp_extract_all({0}, '"([^"]+)"\s*:', 1), regexp_extract_all({0}, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*[:=]\s*([^,\n}}]+)', 1))))"""
@@ -518,6 +518,37 @@ def induced_fields(spark, d):
     return induce.induced_fields(induce.families(_artifacts(spark), least=5)).withColumn("share", r6("share"))
 
 
+S_PAGES = f"""a AS (SELECT page_id AS id, {S_FIELDS.format('artifact')} AS f FROM (SELECT page_id, replace(regexp_extract(coalesce(url, ''), '\\?([^#]*)', 1), '&', chr(10)) || chr(10) || coalesce(html, '') AS artifact FROM pages)),
+s AS (SELECT f, min(id) AS id, count(*) AS n FROM a GROUP BY f),
+e AS (SELECT x.id AS a, y.id AS b, x.n AS pages_a, y.n AS pages_b, 1 - len(list_intersect(x.f, y.f)) / len(list_distinct(list_concat(x.f, y.f)))::DOUBLE AS distance FROM s x JOIN s y ON x.id <> y.id WHERE distance <= 0.30)"""
+S_FAMILIES = f"""WITH RECURSIVE {S_PAGES}, r AS (SELECT id, id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a),
+c AS (SELECT id, min(root) AS family FROM r GROUP BY id),
+m AS (SELECT a.id, c.family, a.f, count(*) OVER (PARTITION BY c.family) AS members FROM a JOIN s USING (f) JOIN c ON c.id = s.id)"""
+
+
+def _pages(spark, d):
+    """artifact_id and artifact of each page: the parameters of its address, one a line, and its HTML."""
+    parameters = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1), "&", "\n")
+    return read(spark, d, "pages").select(F.col("page_id").alias("artifact_id"), F.concat(parameters, F.lit("\n"), F.coalesce("html", F.lit(""))).alias("artifact"))
+
+
+@query(f"WITH {S_PAGES} SELECT a, b, round(distance, 6) AS distance, pages_a, pages_b FROM e WHERE a < b")
+def page_close_sets(spark, d):
+    sets = induce.field_sets(_pages(spark, d))
+    sizes = lambda side: sets.select(F.col("first").alias(side), F.col("members").alias(f"pages_{side}"))
+    return induce.close_sets(sets).join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", r6("distance").alias("distance"), "pages_a", "pages_b")
+
+
+@query(f"{S_FAMILIES} SELECT id AS page_id, family, members FROM m WHERE members >= 2")
+def page_families(spark, d):
+    return induce.families(_pages(spark, d), least=2).select(F.col("id").alias("page_id"), "family", "members")
+
+
+@query(f"{S_FAMILIES}, u AS (SELECT family, members, unnest(f) AS field FROM m WHERE members >= 5) SELECT family, field, round(count(*) / members::DOUBLE, 6) AS share, count(*) / members::DOUBLE >= 0.8 AS required FROM u GROUP BY family, members, field HAVING count(*) / members::DOUBLE >= 0.2")
+def page_induced_fields(spark, d):
+    return induce.induced_fields(induce.families(_pages(spark, d), least=5)).withColumn("share", r6("share"))
+
+
 # pipelines ----------------------------------------------------------------
 
 

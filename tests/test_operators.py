@@ -1,3 +1,4 @@
+import random
 from collections import deque
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import fidelity as V
 from lumenfold.functions import text as T
 from lumenfold.operators import compress, gate, graph, induce, lexical, metrics, pairs, retrieve, segment, state, vectors
+from lumenfold.plans import catalogue
 
 
 def test_bm25_ranks_and_skips_documents_without_terms(spark):
@@ -139,6 +141,22 @@ def test_families_of_a_long_chain(spark):
         induce.families(artifacts, most=0.2, rounds=2)
 
 
+def test_close_sets_as_brute_force(spark):
+    rng = random.Random(2)
+    sets = {frozenset(["all", *rng.sample("abcdefghijkl", rng.randint(0, 9))]) for _ in range(120)}
+    rows = [(i, ", ".join(f"{k}=1" for k in x)) for i, x in enumerate(sets)]
+    wanted = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 1 - len(x & y) / len(x | y) <= 0.30}
+    found = induce.close_sets(induce.field_sets(spark.createDataFrame(rows, "artifact_id int, artifact string")))
+    assert {(r["a"], r["b"]) for r in found.collect()} == wanted
+
+
+def test_schema_induction_reads_the_pages(spark, tmp_path):
+    pages = [(i, f"http://h.org/?page={i}&ref=x", '<p id="a">') for i in range(6)] + [(6, None, None), (7, "http://h.org/?q=1", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r["page_id"], r["family"], r["members"]) for r in catalogue.QUERIES["page_families"](spark, str(tmp_path)).collect()} == {(i, 0, 6) for i in range(6)}
+    assert {r["field"] for r in catalogue.QUERIES["page_induced_fields"](spark, str(tmp_path)).collect()} == {"page", "ref", "id"}
+
+
 def test_families(spark):
     rows = spark.createDataFrame([(i, '{"id": %d, "name": "x"}' % i) for i in range(5)] + [(9, "plain")], "artifact_id int, artifact string")
     assert {r["id"]: r["family"] for r in induce.families(rows).collect()} == {i: 0 for i in range(5)}
