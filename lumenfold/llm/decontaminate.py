@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts become templates: whole-number words, units after them and names (capitalised
-words amid a sentence) turn into typed placeholders; the other words are lower-cased and
+Texts become templates: numbers (1,250 and 1.5 are one), units after them or glued to them
+and names (capitalised words; at the start of a sentence they are read both ways) turn into typed placeholders; the other words are lower-cased and
 stripped of punctuation. Windows of WORDS template words are hashed and joined with the
 benchmark's. A document holds an item if it has at least `min_cover` of the item's
 distinct windows and, where windows have slots, the item's slot values map to the
@@ -9,9 +9,10 @@ document's consistently: for each value of the item the most frequent partner co
 these make up at least `min_consistency` of all slot matches. So a question with other
 numbers or names is found, and a text that only shares a shape is not.
 
-A window of fewer than LITERALS words that are no placeholders is compared by its raw
-words. An item's first word also stands as a name, as it may begin amid a sentence.
-Fewer than WORDS words make one window. The benchmark's windows are written out first, so
+A window with placeholders is also compared by its lower-cased raw words, one of fewer than
+LITERALS other words only so: its position counts as found by either. Items are read a second
+time in lower case, as copies may be. An item of fewer than WORDS words makes one window, and
+documents make windows of that length too where there is such an item. The benchmark's windows are written out first, so
 Catalyst sees their size and broadcasts them only if they are small; beyond that the
 join is by hash, which AQE splits where a window is frequent.
 
@@ -28,19 +29,28 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import materialize
 
 WORDS, LITERALS = 5, 2
-#: Private-use characters that stand for a name, a number and a unit.
-NAME, NUMBER, UNIT = "", "", ""
+#: Private-use characters that stand for a name, a number, a unit, and the separator within a number.
+NAME, NUMBER, UNIT, JOIN = "\ue001", "\ue002", "\ue003", "\ue004"
 #: Units of measure and currency that may follow a number.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl dl l gal s sec min h hr hrs ms d kb mb gb tb hz khz mhz ghz w kw mw v a ma c f k pct percent usd eur gbp dollars euros pounds cents hours minutes seconds days weeks months years meters metres kilometers kilometres miles feet inches grams kilograms liters litres degrees"
-_BREAK = f"[^\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}]+"
+_BREAK = f"[^\\p{{L}}\\p{{N}}{NAME}{NUMBER}{UNIT}{JOIN}]+"
+_ALONE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 
 
-def template(text: Column) -> Column:
-    """The text with placeholders for names, numbers and units, one for each word."""
-    clean = F.translate(text, NAME + NUMBER + UNIT, "   ")
-    named = F.regexp_replace(clean, r" (?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", " " + NAME)
-    counted = F.regexp_replace(named, r"(?<![\p{L}\p{N}])[0-9]+(?![\p{L}\p{N}])", NUMBER)
-    united = F.regexp_replace(counted, f"(?i)(?<={NUMBER}[^\\p{{L}}\\p{{N}}]{{0,2}})(?:{'|'.join(UNITS.split())})(?![\\p{{L}}\\p{{N}}])", UNIT)
+def normal(text: Column) -> Column:
+    """The text without placeholders of its own, numbers with separators as one word, units apart from their numbers."""
+    clean = F.translate(text, NAME + NUMBER + UNIT + JOIN, "    ")
+    joined = F.regexp_replace(clean, r"(?<=[0-9])[.,](?=[0-9])", JOIN)
+    apart = F.regexp_replace(joined, f"(?i){_ALONE}([0-9][0-9{JOIN}]*)({'|'.join(UNITS.split())}){_END}", "$1 $2")
+    return F.when(clean.rlike("[0-9]"), apart).otherwise(clean)
+
+
+def template(clean: Column, starts: bool = False) -> Column:
+    """A normal text with placeholders for names (with `starts`, all capitalised words), numbers and units, one for each word."""
+    amid, anywhere = rf" (?<=[\p{{Ll}}\p{{N}},;] )\p{{Lu}}\p{{Ll}}+{_END}", rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}]\p{{Lu}})\p{{Ll}}+{_END}"
+    named = F.regexp_replace(clean, anywhere, NAME) if starts else F.regexp_replace(clean, amid, " " + NAME)
+    counted = F.regexp_replace(named, rf"{_ALONE}[0-9][0-9{JOIN}]*{_END}", NUMBER)
+    united = F.regexp_replace(counted, f"(?i)(?<={NUMBER}[^\\p{{L}}\\p{{N}}]{{0,2}})(?:{'|'.join(UNITS.split())}){_END}", UNIT)
     return F.when(clean.rlike("[0-9]"), united).otherwise(named)
 
 
@@ -49,56 +59,79 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), _BREAK), "")
 
 
-def windows(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """_key, _at, _hash and _slots (for each word its raw form where it is a placeholder, null for a window without any)."""
+def windows(rows: DataFrame, key: str, text: str, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """_key, _at, _hash, _slots (for each word its raw form where it is a placeholder, null for a window without any and for raw words) and _size (words, WORDS at most).
+
+    Windows have WORDS words, or all of a shorter text's; and besides each number of words in `shorter`.
+    """
     shaped = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    shaped = shaped.select(F.col(key).alias("_key"), F.translate(text, NAME + NUMBER + UNIT, "   ").alias("_text"), template(F.col(text)).alias("_shape"))
-    shaped = shaped.select("_key", words(F.col("_text")).alias("_raw"), words(F.col("_shape")).alias("_form"), F.col("_shape").rlike(f"[{NAME}{NUMBER}{UNIT}]").alias("_any"))
-    at = F.when(F.size("_form") > 0, F.sequence(F.lit(0), F.greatest(F.size("_form") - WORDS, F.lit(0))))
+    shaped = shaped.select(F.col(key).alias("_key"), normal(F.col(text)).alias("_text"))
+    shaped = shaped.select("_key", "_text", template(F.col("_text")).alias("_shape"), template(F.col("_text"), True).alias("_wide"))
+    shaped = shaped.select("_key", words(F.col("_text")).alias("_raw"), words(F.col("_shape")).alias("_form"), words(F.col("_wide")).alias("_full"), F.col("_wide").rlike(f"[{NAME}{NUMBER}{UNIT}]").alias("_any"))
     held = lambda x: x.isin(NAME, NUMBER, UNIT)
-
-    # single elements are looked up: slice() copies the whole array each time when it is interpreted
-    form, raw = (lambda i, c=c: [F.get(c, i + k) for k in range(WORDS)] for c in ("_form", "_raw"))
-
-    def mixed(i: Column) -> Column:
-        shape = form(i)
-        literals = sum((F.coalesce((~held(x)).cast("int"), F.lit(0)) for x in shape), F.lit(0))
-        total = F.least(F.size("_form") - i, F.lit(WORDS))
-        mark = F.when((literals >= LITERALS) | (literals == total), F.xxhash64(*shape)).otherwise(F.xxhash64(F.lit("raw"), *raw(i)))
-        slots = F.when(literals < total, F.array(*[F.when(held(x), r) for x, r in zip(shape, raw(i), strict=True)]))
-        return F.struct(mark.alias("hash"), slots.alias("slots"))
-
-    def plain(i: Column) -> Column:
-        return F.struct(F.xxhash64(*form(i)).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
+    slotless = F.lit(None).cast("array<string>")
+
+    def made_of(size: int) -> Column:
+        short = F.size("_form") > 0 if size == WORDS else F.size("_form") >= size
+        at = F.when(short, F.sequence(F.lit(0), F.greatest(F.size("_form") - size, F.lit(0))))
+        # single elements are looked up: slice() copies the whole array each time when it is interpreted
+        form, full, raw = (lambda i, c=c: [F.get(c, i + k) for k in range(size)] for c in ("_form", "_full", "_raw"))
+
+        def reading(i: Column, shape: list[Column]) -> tuple[Column, Column, Column]:
+            literals = sum((F.coalesce((~held(x)).cast("int"), F.lit(0)) for x in shape), F.lit(0))
+            total = F.least(F.size("_form") - i, F.lit(size))
+            slots = F.when(literals < total, F.array(*[F.when(held(x), r) for x, r in zip(shape, raw(i), strict=True)]))
+            return F.when((literals >= LITERALS) | (literals == total), F.xxhash64(*shape)), slots, literals < total
+
+        def mixed(i: Column) -> Column:
+            mark, slots, held_any = reading(i, form(i))
+            # a capitalised word that begins a sentence may be a name or not: both are looked up
+            wide, wide_slots, _ = reading(i, full(i))
+            other = F.xxhash64(*full(i)) != F.xxhash64(*form(i))
+            plainly = F.when(held_any, F.xxhash64(*raw(i)))
+            return F.struct(mark.alias("hash"), slots.alias("slots"), plainly.alias("raw"), F.when(other, wide).alias("wide"), F.when(other, wide_slots).alias("wide_slots"))
+
+        def plain(i: Column) -> Column:
+            none = F.lit(None).cast("long")
+            return F.struct(F.xxhash64(*form(i)).alias("hash"), slotless.alias("slots"), none.alias("raw"), none.alias("wide"), slotless.alias("wide_slots"))
+
+        return F.when(F.col("_any"), F.transform(at, mixed)).otherwise(F.transform(at, plain))
 
     # windows are made within the row: a generator beside the word arrays would copy them for every window
-    made = shaped.select("_key", F.when(F.col("_any"), F.transform(at, mixed)).otherwise(F.transform(at, plain)).alias("_made"))
-    # the outer form: from the inner one Catalyst infers a filter on the array, which it pushes below and so works out once more
-    cut = made.select("_key", F.posexplode_outer("_made").alias("_at", "_x")).where("_x IS NOT NULL")
-    return cut.select("_key", "_at", F.col("_x.hash").alias("_hash"), F.col("_x.slots").alias("_slots"))
+    size = F.least(F.size("_form"), F.lit(WORDS)).alias("_size")
+    parts = [shaped.select("_key", size, made_of(n).alias("_made")) for n in (WORDS, *shorter)]
+    cut = None
+    for made in parts:
+        # the outer form: from the inner one Catalyst infers a filter on the array, which it pushes below and so works out once more
+        one = made.select("_key", "_size", F.posexplode_outer("_made").alias("_at", "_x")).where("_x IS NOT NULL")
+        both = F.array(F.struct(F.col("_x.hash").alias("h"), F.col("_x.slots").alias("s")), F.struct(F.col("_x.raw").alias("h"), slotless.alias("s")), F.struct(F.col("_x.wide").alias("h"), F.col("_x.wide_slots").alias("s")))
+        one = one.select("_key", "_size", "_at", F.explode_outer(both).alias("_y")).where("_y.h IS NOT NULL")
+        cut = one if cut is None else cut.unionByName(one)
+    return cut.select("_key", "_at", F.col("_y.h").alias("_hash"), F.col("_y.s").alias("_slots"), "_size")
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, at, hash, slots and n (the item's windows); the first window twice, its first word as it is and as a name."""
+    """item, at, hash, slots, n (the item's windows) and size (words of a window); of each item as it is and in lower case."""
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("_t"))
-    amid = items.select("item", F.concat(F.lit("a "), F.col("_t")).alias("_t"))
     plain = windows(items, "item", "_t")
     # behind another word a capitalised first word is a name: of that reading the first window is taken
-    shifted = windows(amid, "item", "_t").where("_at = 1").withColumn("_at", F.lit(0))
-    both = plain.unionByName(shifted).distinct()
+    amid = windows(items.withColumn("_t", F.concat(F.lit("a "), "_t")), "item", "_t").where("_at = 1").withColumn("_at", F.lit(0))
+    amid = amid.join(plain.where(F.col("_size") == WORDS).select("_key").distinct(), "_key", "left_semi")
+    both = plain.unionByName(amid).unionByName(windows(items.withColumn("_t", F.lower("_t")), "item", "_t")).distinct()
     sizes = plain.groupBy("_key").agg(F.count_distinct("_at").alias("n"))
-    return both.join(sizes, "_key").select(F.col("_key").alias("item"), F.col("_at").alias("at"), "_hash", F.col("_slots").alias("slots"), "n")
+    return both.join(sizes, "_key").select(F.col("_key").alias("item"), F.col("_at").alias("at"), "_hash", F.col("_slots").alias("slots"), "n", F.col("_size").alias("size"))
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_cover: float = 0.8, min_consistency: float = 0.8) -> DataFrame:
     """doc_id, item_id, cover and consistency (1 without slots) of every document that holds an item."""
     wanted = materialize(benchmark_windows(benchmark, item_col, item_text_col), "items")
-    met = windows(docs, id_col, text_col).join(wanted, "_hash")
+    shorter = tuple(sorted(r["size"] for r in wanted.where(F.col("size") < WORDS).select("size").distinct().collect()))  # 4 numbers at most
+    met = windows(docs, id_col, text_col, shorter).drop("_size").join(wanted.drop("size"), "_hash")
     # windows of an item are few, so what is kept of a document and an item is bounded by the item
     hits = met.groupBy("_key", "item", "n", "at", "_slots", "slots").agg(F.count("*").alias("times"))
     hits = materialize(hits, "hits")
     cover = hits.groupBy("_key", "item", "n").agg(F.count_distinct("at").alias("found")).where(F.col("found") >= min_cover * F.col("n"))
-    pairs = hits.where("slots IS NOT NULL AND _slots IS NOT NULL").select("_key", "item", "times", F.explode(F.arrays_zip("slots", "_slots")).alias("x")).where("x.slots IS NOT NULL")
+    pairs = hits.where("slots IS NOT NULL AND _slots IS NOT NULL").select("_key", "item", "times", F.explode(F.arrays_zip("slots", "_slots")).alias("x")).where("x.slots IS NOT NULL AND x._slots IS NOT NULL")
     pairs = pairs.groupBy("_key", "item", F.col("x.slots").alias("value"), F.col("x._slots").alias("partner")).agg(F.sum("times").alias("times"))
     best = pairs.groupBy("_key", "item", "value").agg(F.max("times").alias("best"), F.sum("times").alias("times"))
     held = best.groupBy("_key", "item").agg((F.sum("best") / F.sum("times")).alias("consistency"))

@@ -156,6 +156,19 @@ def test_decontamination_cases(spark):
     assert {(1, 1), (2, 1), (8, 1)} <= got and {d for d, _ in got} <= {1, 2, 7, 8}
 
 
+def test_leaks_in_other_case_numbers_and_lengths(spark):
+    sold = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. How many clips did Natalia sell altogether in April and May?"
+    ride = "A rider covers 60 km in the first hour, then another 1,250 m at 1.5 times the speed before the rest stop"
+    bench = spark.createDataFrame([(1, sold), (2, ride), (3, "purple lantern gossip")], "item_id long, text string")
+    docs = [
+        (1, "so we read " + sold.lower() + " and went on"), (2, "Today: " + sold.replace("Natalia", "Weng").replace("48", "52")), (3, sold.title()),
+        (4, "x " + ride.replace("60 km", "60km")), (5, ride.replace("60", "75").replace("1,250", "900").replace("1.5", "2")), (6, ride.lower().replace("60", "75")),
+        (7, "we all heard the purple lantern gossip last night again"), (8, "Purple curtains and a lantern, with gossip"), (9, "Maria went to town in May. Peter then stayed at home with 3 friends and 20 clips"),
+    ]
+    pairs = decontaminate.contaminated_pairs(spark.createDataFrame(docs, DOCS), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in pairs.collect()} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 2), (7, 3)}
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "The number 5 plus the number 5 plus the number 5 plus the number 5 gives the number 20 in all cases"
     same = item.replace("5", "7").replace("20", "28")
