@@ -54,3 +54,12 @@ def test_queries_are_registered():
     names = queries.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_near_copies_of_the_pipeline_start_at_0_8(spark):
+    words = [f"w{i}" for i in range(100)]
+    # one changed word amid 96 shingles changes five of them; two far apart, ten: 86 of 106 are shared
+    near = [w if i not in (30, 60) else "other" for i, w in enumerate(words)]
+    far = [w if i not in (20, 40, 60, 80) else "third" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 3]
