@@ -1,15 +1,17 @@
 """Line dedup: lines that several documents share stay in the first of them only.
 
-Lines are exploded with their positions and hashed (128 bits of the normalised
-line); documents are counted by hash in two pre-aggregated steps, so that a line
-of a third of all documents never meets in one task; positions to drop are
-gathered by document (bounded by its own lines) and the rest is put together
-again by position. Only DataFrame functions are used.
-
-Defined results: a null or empty text is one empty line. Rows with a null id
-hold no claim on a line and keep theirs. Rows of the same id are one document
-for counting; each row is rewritten by itself. Repeated rows give repeated
-results. Other columns, whatever their names, pass through `dedup_lines`.
+Lines are exploded with their positions and hashed (128 bits of the normalised line), and
+dealt once by hash and salt: the salt comes from the document, so that a line of a third of
+all documents lies in SALTS tasks. Distinct documents are counted by hash and salt where the
+lines lie, and added up by hash; what is over the threshold goes back to the hash's salts,
+where the same dealt lines meet it. Positions to drop are gathered by document (bounded by
+its own lines) and the rest is put together again by position. Only DataFrame functions are used.
+
+Defined results: a null or empty text is one empty line; a text may be of any length. Rows
+with a null id hold no claim on a line and keep theirs. Rows of the same id are one document
+for counting; each row is rewritten by itself. Repeated rows give repeated results. The line
+stays in the smallest id (ids are unique, so there are no ties). Other columns, whatever their
+names, pass through `dedup_lines`. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -19,46 +21,58 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import WHITE, ascii_lower
 
+#: Tasks that the documents of one line are spread over.
+SALTS = 64
+
 
 def line_key(line: Column) -> Column:
     """A line's key: stripped of ASCII white space at both ends, A-Z lower-cased."""
     return ascii_lower(F.trim(line, F.lit(WHITE)))
 
 
-def annotate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """docs with _ld_lines (array of lines, as they were) and _ld_drop (positions to drop, or null) in place of text."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    mark = F.xxhash64(docs[text_col])
-    lines = F.split(text, "\n", -1)
-    exploded = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("_ld_id"), mark.alias("_ld_mark"), F.posexplode(lines).alias("_ld_pos", "_ld_line"))
-    keys = exploded.select("_ld_id", "_ld_mark", "_ld_pos", line_key(F.col("_ld_line")).alias("_ld_key")).where(F.char_length("_ld_key") >= min_chars)
-    keys = keys.select("_ld_id", "_ld_mark", "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h1"), F.xxhash64(F.lit("second"), "_ld_key").alias("_ld_h2"))
-    # distinct documents first, then their number: both steps combine before the shuffle
-    by_doc = keys.select("_ld_h1", "_ld_h2", "_ld_id").distinct()
-    shared = by_doc.groupBy("_ld_h1", "_ld_h2").agg(F.count("*").alias("_ld_docs"), F.min("_ld_id").alias("_ld_first")).where(F.col("_ld_docs") >= min_docs)
-    # a plain equi-join of two shuffled sides: AQE splits the partitions of hot lines
-    drop = keys.join(shared.select("_ld_h1", "_ld_h2", "_ld_first"), ["_ld_h1", "_ld_h2"]).where("_ld_id > _ld_first")
-    drop = drop.groupBy("_ld_id", "_ld_mark").agg(F.collect_set("_ld_pos").alias("_ld_drop"))
-    cut = docs.select(*[docs[c] for c in docs.columns if c != text_col], F.xxhash64(docs[text_col]).alias("_ld_text_mark"), docs[text_col].isNull().alias("_ld_null"), lines.alias("_ld_lines"))
-    on = (cut[id_col] == drop["_ld_id"]) & (cut["_ld_text_mark"] == drop["_ld_mark"])
-    return cut.join(drop.hint("shuffle_hash"), on, "left").drop("_ld_id", "_ld_mark", "_ld_text_mark")
+def dropped_lines(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """id, mark and drop (positions) of rows (id, mark, text) that lose lines."""
+    lines = rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "mark", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
+    keys = lines.select("id", "mark", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    keys = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), salt.alias("salt"), "id", "mark", "pos")
+    dealt = keys.repartition("h1", "h2", "salt")
+    # every column is named, so that Catalyst prunes none below the exchange and can use it for the join as well
+    by_doc = dealt.groupBy("h1", "h2", "salt", "id").agg(F.min(F.col("mark").bitwiseXOR(F.col("pos").cast("long"))).alias("held"))
+    by_salt = by_doc.groupBy("h1", "h2", "salt").agg(F.count("held").alias("docs"), F.min("id").alias("first"))
+    by_key = by_salt.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.collect_list("salt").alias("salts")).where(F.col("docs") >= min_docs)
+    shared = by_key.select("h1", "h2", "first", F.explode_outer("salts").alias("salt"))
+    gone = dealt.join(shared, ["h1", "h2", "salt"]).where("id > first")
+    return gone.groupBy("id", "mark").agg(F.collect_set("pos").alias("drop"))
+
+
+def annotate_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """row (a struct of all columns of docs), lines (as they were) and drop (positions to drop, or null)."""
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])  # no name of docs can clash
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), docs[text_col].alias("text"))
+    drop = dropped_lines(rows, min_chars, min_docs).select(F.col("id").alias("drop_id"), F.col("mark").alias("drop_mark"), "drop")
+    held = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("mark"), row.alias("row"))
+    met = held.join(drop, (F.col("id") == F.col("drop_id")) & (F.col("mark") == F.col("drop_mark")), "left")
+    # whole texts are dealt by id as they are, and split behind the join
+    lines = F.split(F.coalesce(F.col(f"row.c{docs.columns.index(text_col)}"), F.lit("")), "\n", -1)
+    return met.select("row", lines.alias("lines"), "drop")
 
 
 def kept_text() -> Column:
     """The lines that stay, joined by a newline; linear in the lines."""
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.col("_ld_drop"))
-    rest = F.array_join(F.transform(kept, lambda i: F.get(F.col("_ld_lines"), i)), "\n")
-    return F.when(F.col("_ld_drop").isNull(), F.array_join("_ld_lines", "\n")).otherwise(rest)
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    rest = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    return F.when(F.col("drop").isNull(), F.array_join("lines", "\n")).otherwise(rest)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """docs, in the same columns, without the lines that an earlier document holds; null texts stay null."""
     out = annotate_lines(docs, id_col, text_col, min_chars, min_docs)
-    text = F.when(F.col("_ld_null"), F.lit(None).cast("string")).otherwise(kept_text())
-    return out.select(*[text.alias(c) if c == text_col else out[c] for c in docs.columns])
+    text = F.when(F.col(f"row.c{docs.columns.index(text_col)}").isNotNull(), kept_text())
+    return out.select(*[(text if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """For each row its id, n_lines (before), n_dropped and the text that is left."""
     out = annotate_lines(docs.select(id_col, text_col), id_col, text_col, min_chars, min_docs)
-    return out.select(out[id_col], F.size("_ld_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long").alias("n_dropped"), kept_text().alias("kept_text"))
+    return out.select(F.col("row.c0").alias(id_col), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept_text().alias("kept_text"))
