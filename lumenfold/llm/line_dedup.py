@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import WHITE, ascii_lower
 
-#: Tasks that the documents of one line are spread over.
+#: Tasks that the documents of one line are spread over; a power of two.
 SALTS = 64
 
 
@@ -34,7 +34,8 @@ def dropped_lines(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """id, mark and drop (positions) of rows (id, mark, text) that lose lines."""
     lines = rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "mark", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
     keys = lines.select("id", "mark", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    # no null can come of it, so the join below adds no filter that would make its side another plan
+    salt = F.xxhash64("id").bitwiseAND(F.lit(SALTS - 1))
     keys = keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), salt.alias("salt"), "id", "mark", "pos")
     dealt = keys.repartition("h1", "h2", "salt")
     # every column is named, so that Catalyst prunes none below the exchange and can use it for the join as well
