@@ -16,8 +16,14 @@ documents make windows of that length too where there is such an item. The bench
 Catalyst sees their size and broadcasts them only if they are small; beyond that the
 join is by hash, which AQE splits where a window is frequent.
 
+Words that are no placeholder match by their lower-cased form alone, so a document that holds an
+item has some of its plain word sequences: one cheap pass over the plain windows of all texts finds
+the documents with any, and only they are read as templates. For items without enough
+plain words all documents are read as templates; no document is left out.
+
 Defined results: null, empty or wordless texts and items match nothing; null ids neither.
 Rows that repeat a document id are one document, as are rows that repeat an item id.
+A document that holds several items is told once for each (ties are all told).
 Repeated windows count once. Other columns pass through `drop_contaminated`.
 """
 
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.common import materialize
 
-WORDS, LITERALS = 5, 2
+WORDS, LITERALS, PART = 5, 2, 3
 #: Private-use characters that stand for a name, a number, a unit, and the separator within a number.
 NAME, NUMBER, UNIT, JOIN = "\ue001", "\ue002", "\ue003", "\ue004"
 #: Units of measure and currency that may follow a number.
@@ -122,14 +128,64 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return both.join(sizes, "_key").select(F.col("_key").alias("item"), F.col("_at").alias("at"), "_hash", F.col("_slots").alias("slots"), "n", F.col("_size").alias("size"))
 
 
+def plain_windows(rows: DataFrame, key: str, text: str, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """_key and _hash of the windows of lower-cased words, without placeholders; sizes as in `windows`."""
+    held = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    clean = F.when(F.col(text).rlike(f"[{NAME}{NUMBER}{UNIT}{JOIN}]"), F.translate(F.col(text), NAME + NUMBER + UNIT + JOIN, "    ")).otherwise(F.col(text))
+    cut = held.select(F.col(key).alias("_key"), words(clean).alias("_raw"))
+
+    def made_of(size: int) -> Column:
+        short = F.size("_raw") > 0 if size == WORDS else F.size("_raw") >= size
+        at = F.when(short, F.sequence(F.lit(0), F.greatest(F.size("_raw") - size, F.lit(0))))
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("_raw"), i + k) for k in range(size)]))
+
+    # arrays are put together within the row, so that texts are read once
+    made = made_of(WORDS) if not shorter else F.flatten(F.array(*[F.coalesce(made_of(n), F.array().cast("array<bigint>")) for n in (WORDS, *shorter)]))
+    return cut.select("_key", F.explode_outer(made).alias("_hash")).where("_hash IS NOT NULL")
+
+
+def necessary_windows(benchmark: DataFrame, item_col: str, text_col: str, min_cover: float) -> DataFrame:
+    """item, hash and size of plain word sequences one of which a document must hold if it holds the item.
+
+    Words that no reading of the item turns into a placeholder are found by their lower-cased form
+    only, so a window that is found has its plain sequences in the document. Whole windows are
+    taken where those without any placeholder are so many that the rest can't make `min_cover`; else
+    the first PART plain words of each window that has as many. Items that miss that as well
+    (made of names and numbers nearly) have no rows.
+    """
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("_t"))
+    shaped = items.select("item", normal(F.col("_t")).alias("_text"))
+    shaped = shaped.select("item", words(F.col("_text")).alias("_raw"), words(template(F.col("_text"), True)).alias("_full"))
+    size = F.least(F.size("_full"), F.lit(WORDS))
+    at = F.when(F.size("_full") > 0, F.sequence(F.lit(0), F.size("_full") - size))
+    held = lambda i: F.coalesce(F.get(F.col("_full"), i).isin(NAME, NUMBER, UNIT), F.lit(True))
+    lower = lambda i, n: F.xxhash64(*[F.get(F.col("_raw"), i + k) for k in range(n)])
+    plain = lambda i, n: ~sum((held(i + k).cast("int") for k in range(n)), F.lit(0)).cast("boolean")
+    whole = lambda i: F.when(~F.exists(F.slice("_full", i + 1, WORDS), lambda w: w.isin(NAME, NUMBER, UNIT)), lower(i, WORDS))
+    part = lambda i: F.coalesce(*[F.when((k + PART <= F.col("size")) & plain(i + k, PART), lower(i + k, PART)) for k in range(WORDS - PART + 1)])
+    made = shaped.withColumn("size", size).select("item", "size", F.explode_outer(F.transform(at, lambda i: F.struct(i.alias("at"), whole(i).alias("whole"), part(i).alias("part")))).alias("x"))
+    made = materialize(made.select("item", "size", "x.*").where("at IS NOT NULL"), "places")
+    # rows that repeat an id are one item: a place counts if all of them have it
+    places = made.groupBy("item", "at").agg(F.min(F.col("whole").isNotNull()).alias("whole"), F.min(F.col("part").isNotNull()).alias("part"))
+    able = places.groupBy("item").agg(*[(F.sum((~F.col(c)).cast("int")) < min_cover * F.count("*")).alias(f"by_{c}") for c in ("whole", "part")])
+    met = made.join(places.select("item", "at", F.col("whole").alias("all_whole"), F.col("part").alias("all_part")), ["item", "at"]).join(able, "item")
+    one = met.where("by_whole AND all_whole").select("item", F.col("whole").alias("hash"), "size")
+    return one.unionByName(met.where("NOT by_whole AND by_part AND all_part").select("item", F.col("part").alias("hash"), F.lit(PART).alias("size"))).distinct()
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_cover: float = 0.8, min_consistency: float = 0.8) -> DataFrame:
     """doc_id, item_id, cover and consistency (1 without slots) of every document that holds an item."""
     wanted = materialize(benchmark_windows(benchmark, item_col, item_text_col), "items")
-    shorter = tuple(sorted(r["size"] for r in wanted.where(F.col("size") < WORDS).select("size").distinct().collect()))  # 4 numbers at most
-    met = windows(docs, id_col, text_col, shorter).drop("_size").join(wanted.drop("size"), "_hash")
-    # windows of an item are few, so what is kept of a document and an item is bounded by the item
-    hits = met.groupBy("_key", "item", "n", "at", "_slots", "slots").agg(F.count("*").alias("times"))
-    hits = materialize(hits, "hits")
+    must = materialize(necessary_windows(benchmark, item_col, item_text_col, min_cover), "must")
+    slim = docs.select(docs[id_col].alias("_dc_id"), docs[text_col].alias("_dc_text"))
+    some = wanted.join(must.select("item").distinct(), "item", "left_semi")
+    rest = wanted.join(must.select("item").distinct(), "item", "left_anti")
+    near = plain_windows(slim, "_dc_id", "_dc_text", sizes(must)).join(must.select(F.col("hash").alias("_hash")).distinct(), "_hash", "left_semi")
+    near = materialize(near.select(F.col("_key").alias("_dc_id")).distinct(), "candidates")
+    found = window_hits(slim.join(near, "_dc_id", "left_semi"), some)
+    if not rest.isEmpty():  # of these items every document's windows are looked up
+        found = found.unionByName(window_hits(slim, rest))
+    hits = materialize(found, "hits")
     cover = hits.groupBy("_key", "item", "n").agg(F.count_distinct("at").alias("found")).where(F.col("found") >= min_cover * F.col("n"))
     pairs = hits.where("slots IS NOT NULL AND _slots IS NOT NULL").select("_key", "item", "times", F.explode(F.arrays_zip("slots", "_slots")).alias("x")).where("x.slots IS NOT NULL AND x._slots IS NOT NULL")
     pairs = pairs.groupBy("_key", "item", F.col("x.slots").alias("value"), F.col("x._slots").alias("partner")).agg(F.sum("times").alias("times"))
@@ -139,6 +195,20 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out.select(F.col("_key").alias("doc_id"), F.col("item").alias("item_id"), (F.col("found") / F.col("n")).alias("cover"), "consistency")
 
 
+def sizes(rows: DataFrame) -> tuple[int, ...]:
+    """The window sizes under WORDS: 4 numbers at most."""
+    return tuple(sorted(r["size"] for r in rows.where(F.col("size") < WORDS).select("size").distinct().collect()))
+
+
+def window_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """_key, item, n, at, _slots, slots and times of the windows that docs (_dc_id, _dc_text) and items share."""
+    # equal windows of a document are one row before they meet the items that have them
+    made = windows(docs, "_dc_id", "_dc_text", sizes(wanted)).groupBy("_key", "_hash", "_slots").agg(F.count("*").alias("times"))
+    met = made.join(wanted.drop("size"), "_hash")
+    # windows of an item are few, so what is kept of a document and an item is bounded by the item
+    return met.groupBy("_key", "item", "n", "at", "_slots", "slots").agg(F.sum("times").alias("times"))
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each document that holds an item: doc_id, n_items, item_ids and the best cover."""
     pairs = contaminated_pairs(docs, benchmark, **options)
