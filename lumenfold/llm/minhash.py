@@ -6,14 +6,17 @@
 2. Each set is posted under its coordinate-value pairs. Pairs that only one set has are
    dropped, then sets with fewer than MATCHES pairs left: they can't collide MATCHES times.
 3. Prefix skipping: two sets with MATCHES common pairs share one among the rarest
-   (own pairs - MATCHES + 1) of each, so only these are merged. Each posting list links its
-   members to its first one, and the links' components are the clusters in which all
-   partners of a set are found.
-4. Clusters are cut into chunks of bounded weight; each pair of chunks counts the
-   intersections of its full sets by an inverted index, keeps links of at least the wanted
-   similarity, and returns no more of them than a spanning forest needs. Nothing is emitted
-   for all pairs of a group, and no set is left out.
-5. The links' components, carried over to equal sets, are the result.
+   (own pairs - MATCHES + 1) of each, so only these are merged.
+4. Most links are to the head of a list: each set meets the smaller one that heads most of its lists;
+   their collisions are counted, and from MATCHES on the full sets are compared. One
+   link a set at most, and the links' components become labels.
+5. Only lists in which several labels are left need more. Their labels' components are clusters in which all
+   partners are found; they are cut into chunks of bounded weight, and in each pair of chunks that
+   holds different labels collisions are counted by merging posting lists, pairs with
+   MATCHES of them are compared as full sets, and what a link connects bears one label from then on. So
+   nothing is emitted for all pairs of a group, no set is left out, and a group that its
+   heads connect costs no pair of chunks.
+6. The links' components, carried over to equal sets, are the result.
 
 Two sets of similarity s collide in a coordinate with probability s**BAND; at 0.85 a link is
 missed with a probability of about 2e-7 (fewer than MATCHES of COORDINATES collisions), and
@@ -22,7 +25,8 @@ less above. Confirmation is exact.
 Defined results: texts that are null, empty or white space have no shingles and link with
 nothing; with fewer than five words the whole sequence is one shingle. Null ids are left out of
 the groups, and kept. Rows that repeat an id share its component; if their texts differ, the
-one whose set hash is least stands for the id. Other columns pass through `keep_first`.
+one whose set hash is least stands for the id. Ties between heads go to the smaller id. Texts of any
+length are taken whole. Other columns, whatever their names, pass through `keep_first`.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ from lumenfold.llm.components import connected_components
 WORDS, BAND, COORDINATES, MATCHES = 5, 4, 40, 5
 #: Shingles in a chunk of a cluster, at most (a single longer document is a chunk).
 CHUNK = 200_000
+#: Documents that a task compares with one pivot.
+GROUP = 2_000
 #: Words remembered by a process.
 MEMO = 250_000
 
@@ -109,118 +115,179 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash string, signature array<long>")
 
 
-def clusters(sets: DataFrame) -> DataFrame:
-    """(rep, cluster) of the sets (rep, signature) that collide often enough with another one to be looked at."""
+def postings(sets: DataFrame) -> DataFrame:
+    """(rep, pair) of the coordinate-value pairs under which sets (rep, signature) have to meet: the rarest of each, as partners share one of them."""
     posted = sets.select("rep", F.posexplode("signature").alias("at", "value")).select("rep", F.xxhash64("at", "value").alias("pair"))
     shared = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
     own = posted.join(shared, "pair").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("own"))
     able = own.where(F.size("own") >= MATCHES)
     prefix = able.select("rep", F.explode(F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))).alias("x")).select("rep", F.col("x.pair").alias("pair"))
-    prefix = materialize(prefix, "prefix")
-    first = prefix.groupBy("pair").agg(F.min("rep").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = prefix.join(first, "pair").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    return connected_components(stars).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-
-
-def _links(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between documents of a pair of chunks."""
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    ends = np.append(starts[1:], len(flat))
-    many = ends - starts > 1
-    if not many.any():
-        return []
-    spans = np.repeat(np.arange(len(starts)), ends - starts)
-    useful = many[spans]
-    by_owner = np.argsort(owner[useful], kind="stable")
-    owners, kinds = owner[useful][by_owner], spans[useful][by_owner]
-    cuts = np.searchsorted(owners, np.arange(len(sets) + 1))
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    return materialize(prefix, "prefix")
+
+
+def pivots(prefix: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, pivot): for each set the smaller one that heads most of its lists, if they collide MATCHES times."""
+    heads = prefix.groupBy("pair").agg(F.min("rep").alias("head"))
+    met = prefix.join(heads, "pair").where("rep > head").groupBy("rep", "head").agg(F.count("*").alias("n"))
+    best = met.groupBy("rep").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("pivot"))
+    both = best.join(sets.select("rep", "signature"), "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("signature").alias("other")), "pivot")
+    collisions = F.size(F.filter(F.zip_with("signature", "other", lambda x, y: x == y), lambda same: same))
+    return both.where(collisions >= MATCHES).select("rep", "pivot")
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes are at least that similar."""
+    if len(one) > len(two):
+        one, two = two, one
+    if 100 * len(one) < percent * len(two):
+        return False
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    hits = int((two[at] == one).sum())
+    return 100 * hits >= percent * (len(one) + len(two) - hits)
+
+
+def _links(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], marks: np.ndarray, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar and bears different labels, in a pair of chunks.
+
+    Collisions are counted by merging the posting lists of a document's rarest pairs; lists
+    of one document are skipped, and so are documents that bear the same label by then. Only candidates
+    with MATCHES collisions are compared as full sets.
+    """
+    n, width = marks.shape
+    codes = _mix(marks.view(np.uint64) + np.arange(width, dtype=np.uint64) * _ODD[0]).ravel()
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], codes[order][1:] != codes[order][:-1]]))
+    lengths = np.diff(np.append(starts, len(order)))
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(starts)), lengths)
+    of, owner = of.reshape(n, width), order // width
+    lab = np.unique(labels, return_inverse=True)[1]
     out = []
-    for i in range(len(sets)):
+    for i in range(n):
         if not same and sides[i]:
             continue
-        own = kinds[cuts[i] : cuts[i + 1]]
+        own = of[i][lengths[of[i]] > 1]
+        own = own[np.argsort(lengths[own], kind="stable")][: max(len(own) - MATCHES + 1, 0)]
         if not len(own):
             continue
-        # the postings of all its shared shingles, one after another
-        lengths = ends[own] - starts[own]
-        offset = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        hits = np.bincount(owner[offset + np.arange(lengths.sum())], minlength=len(sets))
-        linked = 100 * hits >= percent * (sizes + sizes[i] - hits)
-        linked[i] = False
-        linked &= (hits > 0) & (np.arange(len(sets)) > i if same else sides)
-        for j in np.flatnonzero(linked):
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[a] = b
-                out.append((int(ids[i]), int(ids[j])))
+        met = np.unique(np.concatenate([owner[starts[k] : starts[k] + lengths[k]] for k in own]))
+        met = met[(lab[met] != lab[i]) & (met > i if same else sides[met])]
+        if len(met):
+            collisions = (marks[met] == marks[i]).sum(1)
+            for j in met[np.argsort(-collisions, kind="stable")][: int((collisions >= MATCHES).sum())]:
+                if lab[j] != lab[i] and _similar(sets[i], sets[j], percent):
+                    out.append((int(ids[i]), int(ids[j])))
+                    lab[lab == lab[j]] = lab[i]
     return out
 
 
-def confirmed(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is at least `percent` similar within clusters; docs has rep and text, members rep, cluster and n_shingles."""
-    weight = members.groupBy("cluster").agg((F.floor(F.sum("n_shingles") / CHUNK) + 1).cast("int").alias("chunks"))
-    placed = members.join(weight, "cluster").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).select("rep", "set_hash", "cluster", "chunk", "chunks")
+def _sets(blobs: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in blobs]
+
+
+def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, hashes, marks) of members (rep, set_hash): the packed shingles and signature of docs (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            mine = [_name(x) == name for x, name in zip(raw, batch.column("set_hash").to_pylist(), strict=True)]
-            if not all(mine):  # another row of the same id
-                raw, batch = [x for x, ok in zip(raw, mine, strict=True) if ok], batch.filter(pa.array(mine))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("cluster"), batch.column("chunk"), batch.column("chunks"), pa.array(raw, pa.binary())], names=["rep", "cluster", "chunk", "chunks", "hashes"])
+            rows = [(rep, found) for rep, name, text in zip(*[batch.column(c).to_pylist() for c in ("rep", "set_hash", "text")], strict=True) if _name((found := shingles(text)).tobytes()) == name]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([f.tobytes() for _, f in rows], pa.binary()), pa.array([signature(f).tobytes() for _, f in rows], pa.binary())], names=["rep", "hashes", "marks"])
+
+    held = docs.join(members.hint("shuffle_hash"), "rep").select("rep", "set_hash", "text").mapInArrow(run, "rep long, hashes binary, marks binary")
+    return materialize(held.dropDuplicates(["rep"]), "sets")
+
 
-    full = docs.join(placed.hint("shuffle_hash"), "rep").select("rep", "set_hash", "cluster", "chunk", "chunks", "text").mapInArrow(run, "rep long, cluster long, chunk int, chunks int, hashes binary")
-    met = full.select("rep", "cluster", "chunk", "hashes", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.select("rep", "cluster", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), (F.col("chunk") > F.col("other")).alias("side"), "hashes")
+def pivot_links(full: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (rep, pivot) that are similar, as links (a, b). A pivot is sent to a task for every GROUP of its documents, which pass by it one at a time."""
+    counts = pairs.groupBy("pivot").agg((F.floor(F.count("*") / GROUP) + 1).alias("parts"))
+    dealt = materialize(pairs.join(counts, "pivot").select("rep", "pivot", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")), "pivots")
+    theirs = full.select("rep", "hashes").join(dealt, "rep").select("pivot", "part", F.lit(1).alias("turn"), "rep", "hashes")
+    heads = dealt.select("pivot", "part").distinct().join(full.select(F.col("rep").alias("pivot"), "hashes"), "pivot").select("pivot", "part", F.lit(0).alias("turn"), F.col("pivot").alias("rep"), "hashes")
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sides, sets = None, [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head = None, None
+        for batch in batches:
+            found = []
+            for pivot, turn, rep, own in zip(batch.column("pivot").to_pylist(), batch.column("turn").to_pylist(), batch.column("rep").to_pylist(), _sets(batch.column("hashes").to_pylist()), strict=True):
+                if not turn:
+                    at, head = pivot, own.copy()
+                elif pivot == at and _similar(head, own, percent):
+                    found.append((rep, pivot))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return heads.unionByName(theirs).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "turn", "rep").mapInArrow(run, "a long, b long")
+
+
+def open_members(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    """(rep, label, cluster) of what shares a posting list with another label; all partners that are not yet linked are in one cluster."""
+    named = materialize(prefix.join(labels, "rep").select("pair", "rep", "label"), "named")
+    opened = named.groupBy("pair").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("pair", "least")
+    left = materialize(named.join(opened, "pair"), "open")
+    stars = left.where("label > least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct()
+    found = connected_components(stars).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    return left.select("rep", "label").distinct().join(found, "label")
+
+
+def open_links(full: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between members (rep, label, cluster, n_shingles) of different labels.
+
+    A cluster is cut into chunks of about CHUNK shingles; a label of more than that has
+    chunks of its own, which need not meet one another. Every other pair of chunks is a task.
+    """
+    weights = members.groupBy("cluster", "label").agg(F.sum("n_shingles").alias("weight"))
+    weights = weights.withColumn("big", F.col("weight") > CHUNK)
+    owner = F.when(F.col("big"), F.col("label"))
+    packs = weights.groupBy("cluster", "big", owner.alias("owner")).agg((F.floor(F.sum("weight") / CHUNK) + 1).cast("int").alias("parts"))
+    chunks = packs.select("cluster", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct("big", "owner", i.alias("part")))).alias("chunk"))
+    others = chunks.groupBy("cluster").agg(F.collect_list("chunk").alias("chunks"))
+    placed = members.join(weights.select("cluster", "label", "big"), ["cluster", "label"]).withColumn("owner", owner)
+    placed = placed.join(packs.select("cluster", "big", F.col("owner").alias("whose"), "parts"), ["cluster", "big"]).where(F.col("owner").eqNullSafe(F.col("whose")))
+    part = F.pmod(F.xxhash64(F.when(F.col("big"), F.col("rep")).otherwise(F.col("label"))), F.col("parts")).cast("int")
+    placed = materialize(placed.select("rep", "label", "cluster", F.struct("big", "owner", part.alias("part")).alias("chunk")).join(others, "cluster"), "chunks")
+    met = placed.select("rep", "label", "cluster", "chunk", F.explode(F.filter("chunks", lambda c: ~(c["big"] & c["owner"].eqNullSafe(F.col("chunk.owner"))))).alias("other"))
+    met = met.select("rep", "label", "cluster", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), (F.col("chunk") > F.col("other")).alias("side"))
+    met = met.join(full, "rep").withColumn("task", F.xxhash64("cluster", "one", "two")).withColumn("same", F.col("one") == F.col("two")).drop("one", "two", "cluster")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1 and (found := _links(np.array(ids), np.array(sides, bool), sets, key[1] == key[2], percent)):
+            if len(held) > 1:
+                ids, labels, sides, hashes, marks = zip(*held, strict=True)
+                found = _links(np.array(ids), np.array(labels), np.array(sides, bool), _sets(list(hashes)), np.frombuffer(b"".join(marks), np.int64).reshape(len(ids), -1), key[1], percent)
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("rep", "cluster", "one", "two", "side", "hashes")]
-            for rep, cluster, one, two, side, hashes in zip(*cols, strict=True):
-                if key == (cluster, one, two) and ids and ids[-1] == rep and sides[-1] == side:
-                    continue  # a repeated row
-                if key != (cluster, one, two):
+            for task, same, *row in zip(*[batch.column(c).to_pylist() for c in ("task", "same", "rep", "label", "side", "hashes", "marks")], strict=True):
+                if key != (task, same):
                     yield from flush()
-                    key, ids, sides, sets = (cluster, one, two), [], [], []
-                ids.append(rep)
-                sides.append(side)
-                sets.append(np.frombuffer(hashes, np.uint64))
+                    key, held = (task, same), []
+                held.append(row)
         yield from flush()
 
-    grouped = met.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "side", "rep")
-    return grouped.mapInArrow(link, "a long, b long")
+    return met.repartition("task").sortWithinPartitions("task", "same", "side", "rep").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept, for every row."""
     sketched = materialize(sketch(docs, id_col, text_col), "sketch")
     known = sketched.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    sets = materialize(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "sets")
+    sets = materialize(known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "classes")
     chosen = sets.groupBy("rep").agg(F.min_by(F.struct("set_hash", "n_shingles"), "set_hash").alias("x")).select("rep", "x.*")
     marks = known.select(F.col("doc_id").alias("rep"), "set_hash", "signature")
     reps = marks.join(chosen.select("rep", "set_hash"), ["rep", "set_hash"]).dropDuplicates(["rep"]).select("rep", "signature")
-    members = materialize(clusters(reps).join(chosen, "rep"), "members")
+    prefix = postings(reps)
+    pairs = materialize(pivots(prefix, reps), "pairs")
     texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
-    links = materialize(confirmed(texts, members, percent), "links")
-    found = connected_components(links).select(F.col("node").alias("rep"), "component")
+    full = full_sets(texts, chosen.select("rep", "set_hash").join(prefix.select("rep").distinct(), "rep"))
+    first = materialize(connected_components(materialize(pivot_links(full, pairs, percent), "links")).select(F.col("node").alias("rep"), F.col("component").alias("label")), "first")
+    labels = prefix.select("rep").distinct().join(first, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    members = materialize(open_members(prefix, labels).join(chosen.select("rep", "n_shingles"), "rep"), "members")
+    links = materialize(open_links(full, members, percent), "links")
+    of_label = labels.select(F.col("rep").alias("a"), F.col("label").alias("la"))
+    of_other = labels.select(F.col("rep").alias("b"), F.col("label").alias("lb"))
+    merged = connected_components(links.join(of_label, "a").join(of_other, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    found = labels.join(merged.select(F.col("node").alias("label"), "component"), "label", "left").select("rep", F.coalesce("component", "label").alias("component"))
     classes = sets.join(found, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     component = F.coalesce("component_id", "doc_id")
