@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import remembering
+
 #: Pre-tokens of at most this many characters are remembered, so many of them in each of two generations, and so many pairs of ids.
 MEMO_CHARS, MEMO_ENTRIES, PAIR_ENTRIES = 32, 200_000, 300_000
 #: Bytes of pre-tokens that lie in one linked list (a longer one is alone).
@@ -205,6 +207,7 @@ _LOADED: dict[tuple[str, str], Bpe] = {}
 
 def loaded(path: str, pattern: str) -> Bpe:
     """The encoder of this process."""
+    remembering("bpe", _LOADED.clear)
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = Bpe(path, pattern)
     return _LOADED[path, pattern]

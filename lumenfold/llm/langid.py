@@ -133,10 +133,16 @@ def fit_arrays(x: np.ndarray, langs: list[str]) -> LanguageModel:
     return model
 
 
+#: Languages that a model tells apart, at most; more are an error.
+MOST_LANGS = 500
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2400) -> LanguageModel:
     """The model of at most about `sample_rows` labelled rows (the bound of what is gathered; 24 KB a row)."""
     rows = labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull()).select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"), labelled[id_col].alias("id"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages are labelled")
     if not counts:
         return LanguageModel()
     each = max(1, sample_rows // len(counts))

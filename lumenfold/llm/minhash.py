@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import materialize
+from lumenfold.llm.common import materialize, remembering
 from lumenfold.llm.components import connected_components
 
 WORDS, BAND, COORDINATES, MATCHES = 5, 4, 40, 5
@@ -48,7 +48,7 @@ CHUNK = 200_000
 #: Documents that a task compares with one pivot.
 GROUP = 2_000
 #: Words remembered by a process.
-MEMO = 250_000
+MEMO = 100_000
 
 _ODD = np.random.default_rng(17).integers(0, 1 << 63, BAND * COORDINATES + WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = _ODD[WORDS:, None]
@@ -103,6 +103,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, n_shingles, set_hash (32 hex digits, null for an empty set) and signature (array of long, empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("minhash", _HASHES.clear)
         for batch in batches:
             ids, counts, names, marks = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
@@ -189,6 +190,7 @@ def full_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(rep, hashes, marks) of members (rep, set_hash): the packed shingles and signature of docs (rep, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembering("minhash", _HASHES.clear)
         for batch in batches:
             rows = [(rep, found) for rep, name, text in zip(*[batch.column(c).to_pylist() for c in ("rep", "set_hash", "text")], strict=True) if _name((found := shingles(text)).tobytes()) == name]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([f.tobytes() for _, f in rows], pa.binary()), pa.array([signature(f).tobytes() for _, f in rows], pa.binary())], names=["rep", "hashes", "marks"])

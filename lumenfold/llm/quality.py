@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     if not n:
         return QualityModel(vectors, 0.5)
     draw = F.pmod(F.xxhash64("_q_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.where(draw < min(1.0, sample_rows / n))
+    sample = rows.where(draw < min(1.0, sample_rows / n)).distinct()  # an id that is labelled over and over is one row a label
     shared = spark.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
