@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 WIDTH, GRAM = 50, 20
 #: Bytes of a text looked at once, of a shard, and of text for each bucket of anchors and each shard task.
-PIECE, SHARD, BUCKET_TEXT = 1 << 19, 1 << 21, 24 << 20
+PIECE, SHARD, BUCKET_TEXT = 1 << 19, 1 << 21, 12 << 20
 _LOW = 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
@@ -184,7 +184,7 @@ def covered(segments: list[bytes], docs: np.ndarray) -> Iterator[tuple[int, int]
         yield from zip((a + owner[hit]).tolist(), offset[hit].tolist(), strict=True)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together to about `most` bytes: the more documents, the more equal segments combine."""
     held, size = [], 0
     for batch in batches:
