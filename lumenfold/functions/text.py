@@ -62,12 +62,22 @@ def words(text: Column) -> Column:
 
 
 def _words_like(text: Column, pattern: str) -> Column:
-    return F.filter(words(text), lambda w: w.rlike(pattern))
+    """Whole words that a pattern of single words (^...$) describes, found at once: other words are never cut out."""
+    return _all(text, rf"(?<!{P.W})(?:{pattern[1:-1]})(?!{P.W})")
+
+
+def files(text: Column) -> Column:
+    """Matches of the file pattern, each begun where its run of characters begins: from there on a match is found if there is any, in one go."""
+    return F.when(text.contains("."), _all(text, r"(?<![\p{L}\p{N}_./\-])" + P.FILE)).otherwise(F.array().cast("array<string>"))
+
+
+def steps(text: Column) -> Column:
+    return F.when(text.rlike("(?i)step"), _all(text, P.STEP)).otherwise(F.array().cast("array<string>"))
 
 
 def entity_texts(text: Column) -> Column:
     """The sorted set of technical entities, in lower case."""
-    found = F.concat(_words_like(text, P.ALL_CAPS), _all(text, P.FILE), _all(text, P.STEP), _words_like(text, P.NUMBER), _words_like(text, P.ERROR_NAME))
+    found = F.concat(_words_like(text, P.ALL_CAPS), files(text), steps(text), _words_like(text, P.NUMBER), _words_like(text, P.ERROR_NAME))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
@@ -181,8 +191,23 @@ def score_of_reply(reply: Column, most: int = 5) -> Column:
 # facts -------------------------------------------------------------------
 
 
+#: For whether a fact's pattern occurs at all: an equal question without the runs that a search would begin anew at each character.
+_OCCURS = {
+    r"[\p{L}\p{N}_./\-]+\.[\p{L}\p{N}_]{2,4}": r"(?<=[\p{L}\p{N}_./\-])\.[\p{L}\p{N}_]{2}",
+    r"[\p{L}\p{N}_./\-]+\.[\p{L}\p{N}_]{2,4}|line\s+[0-9]+|at\s+[\p{L}\p{N}_]+\.[\p{L}\p{N}_]+": r"(?<=[\p{L}\p{N}_./\-])\.[\p{L}\p{N}_]{2}|line\s+[0-9]|at\s+[\p{L}\p{N}_]+\.[\p{L}\p{N}_]",
+    r"[\p{L}\p{N}_./\-]*(test|spec)[\p{L}\p{N}_./\-]*\.[\p{L}\p{N}_]+": r"(?:test|spec)[\p{L}\p{N}_./\-]*\.[\p{L}\p{N}_]",
+    r"[\p{L}\p{N}_]+_table|[\p{L}\p{N}_]+s\s+table|table\s+[\p{L}\p{N}_]+": r"(?<=[\p{L}\p{N}_])_table|(?<=[\p{L}\p{N}_])s\s+table|table\s+[\p{L}\p{N}_]",
+    r"[0-9]+\s*(s|ms|seconds|minutes|min)": r"[0-9]\s*(?:s|ms|min)",
+    r"[0-9]+\s*(tests?\s+)?(fail|pass|error)": r"[0-9]\s*(?:tests?\s+)?(?:fail|pass|error)",
+    r"[A-Z][a-zA-Z]+Error|[A-Z][a-zA-Z]+Exception|HTTP\s+[45][0-9][0-9]": r"[A-Z]{2}(?:Error|Exception)|HTTP\s+[45][0-9][0-9]",
+}
+#: Facts that can't occur without a character.
+_NEEDS = {r"[a-zA-Z_][\p{L}\p{N}_]*\s*\(": "(", r"[\p{L}\p{N}_./\-]+\.[\p{L}\p{N}_]{2,4}": ".", r"[\p{L}\p{N}_./\-]*(test|spec)[\p{L}\p{N}_./\-]*\.[\p{L}\p{N}_]+": "."}
+
+
 def has_fact(text: Column, pattern: str) -> Column:
-    return text.rlike("(?i)(?:" + pattern + ")")
+    found = text.rlike("(?i)(?:" + _OCCURS.get(pattern, pattern) + ")")
+    return text.contains(_NEEDS[pattern]) & found if pattern in _NEEDS else found
 
 
 def facts(text: Column, kind: str, schemas=P.SCHEMAS) -> dict[str, Column]:

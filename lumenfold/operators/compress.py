@@ -10,17 +10,25 @@ from lumenfold.functions.patterns import HIGH_VALUE
 
 
 def sentence_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, sentence, score): tf-idf within the text, and 0.3 for each word of high value."""
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(T.extractive_sentences(F.col(text_col))).alias("pos", "sentence"))
-    tokens = cut.select("id", "pos", F.explode(T.extractive_tokens(F.col("sentence"))).alias("tok"))
-    tf = tokens.groupBy("id", "pos", "tok").agg(F.count("*").alias("n"))
-    doc = Window.partitionBy("id", "tok")
-    tf = tf.withColumn("df", F.count("*").over(doc)).withColumn("total", F.sum("n").over(Window.partitionBy("id", "pos")))
-    size = cut.groupBy("id").agg(F.count("*").alias("sentences"))
-    part = F.col("n") / F.col("total") * (F.log((F.col("sentences") + 1) / (F.col("df") + 1)) + 1)
-    scores = tf.join(size, "id").groupBy("id", "pos").agg(F.sum(part).alias("base"))
-    bonus = 0.3 * F.size(F.regexp_extract_all("sentence", F.lit(HIGH_VALUE), 0))
-    return cut.join(scores, ["id", "pos"], "left").select("id", "pos", "sentence", (F.coalesce("base", F.lit(0.0)) + bonus).alias("score"))
+    """(id, pos, sentences, score): tf-idf within the text, and 0.3 for each word of high value.
+
+    Tokens are counted within their sentence; what is shuffled is tokens by id, once: the
+    documents' frequencies and the sums over a sentence lie in the same partitions. Repeated ids are one text.
+    """
+
+    def scored(s: Column) -> Column:
+        tokens = T.extractive_tokens(s)
+        return F.struct(tokens.alias("tokens"), (0.3 * F.size(F.regexp_extract_all(s, F.lit(HIGH_VALUE), 0))).alias("bonus"))
+
+    cut = docs.select(F.col(id_col).alias("id"), F.transform(T.extractive_sentences(F.col(text_col)), scored).alias("made"))
+    rows = cut.select("id", F.size("made").alias("sentences"), F.posexplode_outer("made").alias("pos", "one")).where("pos IS NOT NULL")
+    kinds = F.transform(F.array_distinct("one.tokens"), lambda t: F.struct(t.alias("tok"), F.size(F.filter(F.col("one.tokens"), lambda x: x == t)).alias("n")))
+    long = rows.select("id", "sentences", "pos", F.col("one.bonus").alias("bonus"), F.size("one.tokens").alias("total"), F.explode_outer(kinds).alias("x"))
+    long = long.select("id", "sentences", "pos", "bonus", "total", "x.tok", "x.n").repartition("id")
+    df = F.count("tok").over(Window.partitionBy("id", "tok"))
+    part = F.col("n") / F.col("total") * (F.log((F.col("sentences") + 1) / (df + 1)) + 1)
+    parts = long.select("id", "pos", "sentences", "bonus", part.alias("part"))
+    return parts.groupBy("id", "pos").agg(F.first("sentences").alias("sentences"), (F.coalesce(F.sum("part"), F.lit(0.0)) + F.first("bonus")).alias("score"))
 
 
 def extractive(docs: DataFrame, budget: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,14 +36,14 @@ def extractive(docs: DataFrame, budget: float, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if budget <= 0 or budget >= 1:
         return source.select("id", F.col("text").alias("compressed") if budget >= 1 else F.lit("").alias("compressed"))
-    scored = sentence_scores(source, "id", "text")
-    group = Window.partitionBy("id")
-    ranked = scored.withColumn("n", F.count("*").over(group)).withColumn("rank", F.row_number().over(group.orderBy(F.desc("score"), "pos")))
-    kept = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * budget)))
-    joined = kept.groupBy("id").agg(F.first("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda s: s["sentence"]), " ").alias("many"))
+    ranked = sentence_scores(source, "id", "text").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos")))
+    kept = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("sentences") * budget)))
+    kept = kept.groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
+    both = source.join(kept, "id", "left").withColumn("parts", T.extractive_sentences(F.col("text")))
+    many = F.array_join(F.transform("kept", lambda i: F.get(F.col("parts"), i)), " ")
     words = T.whitespace_tokens(F.col("text"))
     one = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.ceil(F.size(words) * budget).cast("int"))), " ")
-    return source.join(joined, "id", "left").select("id", F.when(F.col("n") > 1, F.col("many")).otherwise(F.coalesce(one, F.lit(""))).alias("compressed"))
+    return both.select("id", F.when(F.size("parts") > 1, many).otherwise(F.coalesce(one, F.lit(""))).alias("compressed"))
 
 
 def ladder(text: Column, budget: Column, compress, distance, gap, commit: float = 0.35) -> Column:

@@ -10,10 +10,12 @@ from lumenfold.functions.text import lexical_tokens
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, length, term, tf) of every document's terms."""
+def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, length, term, tf) of every document's terms; with `wanted` (term) only of these, before anything is shuffled."""
     tokens = docs.select(F.col(id_col).alias("id"), lexical_tokens(F.col(text_col)).alias("tokens"))
-    long = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    # the outer form: the inner one would work the tokens out once more, in a filter on them
+    long = tokens.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
+    long = long if wanted is None else long.join(wanted, "term", "left_semi")
     return long.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -25,12 +27,12 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, id, score): the k best documents of each query.
 
-    Only postings of query terms are joined, so documents that share no term are never
-    scored; a repeated query term counts twice. Equal scores go to smaller ids.
+    Only postings of query terms are counted and shuffled, so documents that share no term
+    are never scored; a repeated query term counts twice. Equal scores go to smaller ids.
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct()
-    hits = postings(docs, id_col, text_col).join(wanted, "term", "left_semi")
+    hits = postings(docs, id_col, text_col, wanted)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, text_col)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -50,11 +52,13 @@ def contains_any(docs: DataFrame, words: list[str], text_col: str = "text") -> D
 
 
 def search(docs: DataFrame, query: str, limit: int = 10, id_col: str = "doc_id", text_col: str = "text", session_col: str | None = None, session: str | None = None) -> DataFrame:
-    """Ranked search, or containment where that finds nothing; within a session unless none is given."""
+    """Ranked search, containment where that finds nothing, and else the first rows; within a session unless none is given."""
     scope = docs.where(F.col(session_col) == session) if session_col and session is not None else docs
     spark = docs.sparkSession
     ranked = bm25_topk(spark.createDataFrame([(0, query)], "query_id int, query string"), scope, limit, id_col=id_col, text_col=text_col).select("rank", "id", "score")
-    plain = contains_any(scope, query.split(), text_col).select(F.col(id_col).alias("id")).orderBy("id").limit(limit)
-    plain = plain.select(F.row_number().over(Window.orderBy("id")).alias("rank"), "id", F.lit(0.0).alias("score"))  # `limit` rows at most
-    none = ranked.agg((F.count("*") == 0).alias("none"))
-    return ranked.unionByName(plain.crossJoin(F.broadcast(none)).where("none").drop("none"))
+    first = lambda rows: rows.select(F.col(id_col).alias("id")).orderBy("id").limit(limit)
+    tries = [ranked.select(F.lit(0).alias("try"), "rank", "id", "score")]
+    for i, rows in enumerate((first(contains_any(scope, query.split(), text_col)), first(scope)), 1):
+        tries.append(rows.select(F.lit(i).alias("try"), F.row_number().over(Window.orderBy("id")).alias("rank"), "id", F.lit(0.0).alias("score")))  # `limit` rows at most
+    found = tries[0].unionByName(tries[1]).unionByName(tries[2])  # a few rows
+    return found.withColumn("best", F.min("try").over(Window.partitionBy())).where("try = best").select("rank", "id", "score")

@@ -132,7 +132,8 @@ def bm25_corpus_stats(spark, d):
 
 @query(f"SELECT doc_id, array_to_string({s_entities('text')}, '|') AS entities FROM documents WHERE len({s_entities('text')}) > 0")
 def entity_extract(spark, d):
-    found = read(spark, d, "documents").select("doc_id", T.entity_texts(F.col("text")).alias("e"))
+    # behind a generator a filter stays where it is, so the entities are found once
+    found = read(spark, d, "documents").select("doc_id", F.explode_outer(F.array(T.entity_texts(F.col("text")))).alias("e"))
     return found.where(F.size("e") > 0).select("doc_id", F.array_join("e", "|").alias("entities"))
 
 
@@ -155,7 +156,7 @@ S_FACTS = f"SELECT source AS session, doc_id AS seq, unnest({s_entities('text')}
 
 
 def _facts(spark, d):
-    return read(spark, d, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.explode(T.entity_texts(F.col("text"))).alias("entity")).withColumn("type", F.lit("entity"))
+    return read(spark, d, "documents").select(F.col("source").alias("session"), F.col("doc_id").alias("seq"), F.explode_outer(T.entity_texts(F.col("text"))).alias("entity")).where("entity IS NOT NULL").withColumn("type", F.lit("entity"))
 
 
 @query(f"SELECT session, entity, min(seq) AS first_seq, count(*) AS ref_count FROM ({S_FACTS}) GROUP BY ALL")
