@@ -84,7 +84,8 @@ def entity_texts(text: Column) -> Column:
 def typed_entities(text: Column) -> Column:
     """Distinct structs of text and type: file_path, error_code, step_reference, in this order."""
     kinds = [("file_path", P.FILE), ("error_code", r"[A-Z][A-Z_]+Error|HTTP [0-9]{3}|[0-9]{3} [A-Z]+"), ("step_reference", r"(?i)step\s+[0-9]+|\[step\s+[0-9]+\]")]
-    return F.array_distinct(F.concat(*[F.transform(_all(text, p), lambda x, k=k: F.struct(x.alias("text"), F.lit(k).alias("type"))) for k, p in kinds]))
+    named = lambda k: lambda x: F.struct(x.alias("text"), F.lit(k).alias("type"))  # noqa: E731  a second parameter would be the place
+    return F.array_distinct(F.concat(*[F.transform(files(text) if k == "file_path" else _all(text, p), named(k)) for k, p in kinds]))
 
 
 def key_tokens(text: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import fidelity
-from lumenfold.functions.text import artifact_type, artifacts, polarity_inverted, typed_entities
+from lumenfold.functions.text import artifact_type, artifacts, typed_entities
 
 
 def fact_rows(segments: DataFrame, session: str, seq: str, text: str = "text", extractor=typed_entities) -> DataFrame:
     """(session, seq, entity, type): one row for each distinct entity and type of a segment."""
-    return segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.explode(extractor(F.col(text))).alias("e")).select("session", "seq", F.col("e.text").alias("entity"), F.col("e.type").alias("type"))
+    found = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.explode_outer(extractor(F.col(text))).alias("e")).where("e IS NOT NULL")
+    return found.select("session", "seq", F.col("e.text").alias("entity"), F.col("e.type").alias("type"))
 
 
 def fact_index(rows: DataFrame) -> DataFrame:
@@ -76,10 +77,6 @@ def contradictions(segments: DataFrame, session: str, seq: str, text: str = "tex
     return (far.where(F.col("distance") <= most) if most is not None else far).dropDuplicates(["session", "seq", "stale_seq"])
 
 
-def contradicts(a: str, b: str):
-    return polarity_inverted(F.col(a), F.col(b))
-
-
 def miss_counters(log: DataFrame, key: str, turn: str, query: str, miss) -> DataFrame:
     """(key, misses, hits, last_turn): misses are sticky, hits are the other look-ups."""
     return log.groupBy(F.col(key).alias("key")).agg(F.count_if(miss).alias("misses"), F.count_if(~miss).alias("hits"), F.max(turn).alias("last_turn"))
