@@ -73,10 +73,12 @@ def prompt(text: str, budget: float, anchors: list[str]) -> str:
 
 
 def compressor(make: Callable[[], Callable[[str], str]], seconds: float = 30.0):
-    """A column function (text, budget, anchors) -> struct<text, timed_out>: the model's answer, or the text itself
-    if it is late or fails."""
+    """A column function (text, budget, anchors) -> struct<text, timed_out, failed>: the model's answer, or the text itself
+    if it is late or fails. Where `failed` says so the caller takes an extractive compressor (`compress.with_fallback`).
 
-    @F.pandas_udf("text string, timed_out boolean")
+    A late call can't be stopped; its pool is left to itself and later rows get a new one, so that they don't wait for it."""
+
+    @F.pandas_udf("text string, timed_out boolean, failed boolean")
     def compress(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model, pool = make(), ThreadPoolExecutor(2)
         try:
@@ -84,12 +86,14 @@ def compressor(make: Callable[[], Callable[[str], str]], seconds: float = 30.0):
                 out = []
                 for t, b, a in zip(texts, budgets, anchors, strict=True):
                     try:
-                        out.append((pool.submit(model, prompt(t or "", b, list(a) if a is not None else [])).result(seconds), False))
+                        out.append((pool.submit(model, prompt(t or "", b, list(a) if a is not None else [])).result(seconds), False, False))
                     except Late:
-                        out.append((t, True))
+                        out.append((t, True, False))
+                        pool.shutdown(wait=False, cancel_futures=True)
+                        pool = ThreadPoolExecutor(2)
                     except Exception:
-                        out.append((t, False))
-                yield pd.DataFrame(out, columns=["text", "timed_out"])
+                        out.append((t, False, True))
+                yield pd.DataFrame(out, columns=["text", "timed_out", "failed"])
         finally:
             pool.shutdown(wait=False, cancel_futures=True)
 

@@ -36,7 +36,7 @@ def extractive(docs: DataFrame, budget: float, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if budget <= 0 or budget >= 1:
         return source.select("id", F.col("text").alias("compressed") if budget >= 1 else F.lit("").alias("compressed"))
-    ranked = sentence_scores(source, "id", "text").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos")))
+    ranked = sentence_scores(source, "id", "text").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", 6)), "pos")))
     kept = ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("sentences") * budget)))
     kept = kept.groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
     both = source.join(kept, "id", "left").withColumn("parts", T.extractive_sentences(F.col("text")))
@@ -46,6 +46,14 @@ def extractive(docs: DataFrame, budget: float, id_col: str = "doc_id", text_col:
     return both.select("id", F.when(F.size("parts") > 1, many).otherwise(F.coalesce(one, F.lit(""))).alias("compressed"))
 
 
+def with_fallback(docs: DataFrame, model, budget: float, id_col: str = "doc_id", text_col: str = "text", anchors_col: str | None = None) -> DataFrame:
+    """(id, compressed, timed_out): a model's answer (`seams.compressor`); extractive compression where the model failed, the text itself where it was late."""
+    held = F.col(anchors_col) if anchors_col else F.array().cast("array<string>")
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), model(F.col(text_col), F.lit(budget), held).alias("x"))
+    short = extractive(docs, budget, id_col, text_col)
+    return told.join(short, "id", "left").select("id", F.when(F.col("x.failed"), F.col("compressed")).otherwise(F.col("x.text")).alias("compressed"), F.col("x.timed_out").alias("timed_out"))
+
+
 def ladder(text: Column, budget: Column, compress, distance, gap, commit: float = 0.35) -> Column:
     """The first of three attempts (budget, +0.2, +0.4, 1 at most) whose loss is within `commit`; else the text itself.
 
@@ -65,14 +73,19 @@ def token_reduction(original: Column, compressed: Column) -> Column:
     return 1 - compressed / F.greatest(original, F.lit(1)).cast("double")
 
 
-def adaptive(sessions: DataFrame, session: str = "session_id", text_col: str = "text", compress=T.truncate) -> DataFrame:
+def adaptive(sessions: DataFrame, session: str = "session_id", text_col: str = "text", compress=T.truncate, predict=lambda s: T.truncate(s, 0.5), dim: int = 64) -> DataFrame:
     """(session, text, reduction): sections with a plan each, compressed and joined again.
 
-    Without a predictor all distances are 0, so a section's share is its type's floor.
+    A section's raw score is its distance from what `predict` makes of it (by default the section
+    without its second half), so sections that say more than their beginnings get more.
     """
     cut = sessions.select(F.col(session).alias("session"), F.posexplode(T.sections(F.col(text_col))).alias("pos", "segment"))
-    z = fidelity.z_score(F.lit(0.0), Window.partitionBy("session"))
-    planned = cut.withColumn("z", z).withColumn("budget", fidelity.budget_plan(F.col("z"), F.lit("BACKGROUND"), T.is_artifact(F.col("segment")), F.lit(None).cast("double")))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    code = lambda t: F.coalesce(fidelity.hashed_encoding(t, dim), zeros)
+    raw = cut.withColumn("raw", fidelity.epe(code(predict(F.col("segment"))), code(F.col("segment"))))
+    of = raw.groupBy("session").agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("spread"))
+    planned = raw.join(of, "session").withColumn("z", (F.col("raw") - F.col("mean")) / F.greatest("spread", F.lit(1e-9)))
+    planned = planned.withColumn("budget", fidelity.budget_plan(F.col("z"), F.lit("BACKGROUND"), T.is_artifact(F.col("segment")), F.lit(None).cast("double")))
     small = planned.withColumn("short", F.when(F.col("budget") >= 1, F.col("segment")).otherwise(compress(F.col("segment"), F.col("budget"))))
     total = small.groupBy("session").agg(F.sum(T.token_count(F.col("segment"))).alias("before"), F.sum(T.token_count(F.col("short"))).alias("after"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "short"))), lambda s: s["short"]), "\n").alias("text"))
     return total.select("session", "text", F.greatest(F.lit(0.0), token_reduction(F.col("before"), F.col("after"))).alias("reduction"))

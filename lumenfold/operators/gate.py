@@ -63,24 +63,31 @@ def novelty_gate(segments: DataFrame, threshold: float = 0.05, session: str = "s
     return rows.groupBy("session").applyInPandas(whole, f"session {kind['session']}, seq {kind['seq']}, novel boolean, score double")
 
 
-def ingest(segments: DataFrame, threshold: float = 0.05, schema_threshold: float = 0.5, session: str = "session_id", seq: str = "seq", text: str = "text", dim: int = 64) -> DataFrame:
-    """The write path of a batch: decision, schema, budget, committed text and its scores, a row for each segment.
+def ingest(segments: DataFrame, threshold: float = 0.05, schema_threshold: float = 0.5, session: str = "session_id", seq: str = "seq", text: str = "text", dim: int = 64, alpha: float = 0.5, references: int = 3) -> DataFrame:
+    """The write path of a batch, a row for each segment: decision, schema, budget, committed text and its scores.
 
-    Segments that are not novel stay in cold storage only; their scores are null.
+    Admitted segments write their facts; one that names an entity written `references` times by then, or an
+    artifact, keeps all. What is new to all schemas is queued for induction (and committed all the same).
+    Segments that are not novel stay in cold storage only: they write no facts, and their scores are null.
     """
+    from lumenfold.operators.memory import references as referenced
+
     coded = segments.withColumn("vector", fidelity.hashed_encoding(F.col(text), dim))
     gate = novelty_gate(coded, threshold, session, seq, text)
     body = F.col(text)
-    joined = coded.join(gate.withColumnRenamed("session", "_s").withColumnRenamed("seq", "_q"), (F.col(session) == F.col("_s")) & (F.col(seq) == F.col("_q"))).drop("_s", "_q")
+    joined = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), body.alias("original")).join(gate, ["session", "seq"])
+    most = referenced(joined.where("novel"), "session", "seq", "original")
     by_kind = lambda make: F.coalesce(*[F.when(F.col("schema") == k, make(k)) for k in T.P.SCHEMA_TYPES], F.lit(0.0))
     far = lambda a, b: fidelity.cosine_distance(fidelity.hashed_encoding(a, dim), F.coalesce(fidelity.hashed_encoding(b, dim), F.array_repeat(F.lit(0.0), dim)))
-    made = joined.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.when(F.col("novel"), "hot").otherwise("cold_only").alias("action"), F.col("score").alias("novelty"), T.detect_schema(body).alias("schema"), (T.schema_novelty(body) > schema_threshold).alias("schema_novel"), body.alias("original"))
-    gap = by_kind(lambda k: T.schema_gap(F.col("original"), k))
-    made = made.withColumn("budget", fidelity.write_budget(F.lit("BACKGROUND"), gap, T.is_artifact(F.col("original"))))
-    short = ladder(F.col("original"), F.col("budget"), T.truncate, far, lambda a, b: by_kind(lambda k: T.schema_gap_pair(a, b, k)))
-    hot = F.col("action") == "hot"
-    made = made.withColumn("committed", F.when(hot, short)).withColumn("cosine_epe", F.when(hot, far(F.col("original"), F.col("committed"))))
-    return made.withColumn("tokens", T.token_count(F.col("original"))).withColumn("kept_tokens", F.when(hot, T.token_count(F.col("committed"))))
+    original, hot = F.col("original"), F.col("action") == "hot"
+    made = joined.join(most, ["session", "seq"], "left").select("session", "seq", F.when(F.col("novel"), "hot").otherwise("cold_only").alias("action"), F.col("score").alias("novelty"), T.detect_schema(original).alias("schema"), (T.schema_novelty(original) > schema_threshold).alias("schema_novel"), F.coalesce("most", F.lit(0)).cast("long").alias("references"), "original")
+    keep_all = T.is_artifact(original) | (F.col("references") >= references)
+    made = made.withColumn("queued", hot & F.col("schema_novel")).withColumn("budget", F.when(hot, fidelity.write_budget(F.lit("BACKGROUND"), by_kind(lambda k: T.schema_gap(original, k)), keep_all, alpha)))
+    lost = lambda a, b: by_kind(lambda k: T.schema_gap_pair(a, b, k))
+    made = made.withColumn("committed", F.when(hot, ladder(original, F.col("budget"), T.truncate, far, lost)))
+    made = made.withColumn("cosine_epe", F.when(hot, far(original, F.col("committed")))).withColumn("gap", F.when(hot, lost(original, F.col("committed"))))
+    made = made.withColumn("combined", F.when(hot, fidelity.combined_epe(F.col("cosine_epe"), F.col("gap"), alpha))).withColumn("r_build", F.when(hot, fidelity.r_build(F.col("cosine_epe"), F.col("gap"))))
+    return made.withColumn("tokens", T.token_count(original)).withColumn("kept_tokens", F.when(hot, T.token_count(F.col("committed"))))
 
 
 def dump(hot: DataFrame, session: str = "session", seq: str = "seq", text: str = "committed") -> DataFrame:

@@ -39,7 +39,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str =
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = hits.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part).join(terms, "term")  # stats is one row
     total = scored.groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score")).where("score > 0")
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))  # sums differ in their last digits from run to run
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

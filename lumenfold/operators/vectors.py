@@ -18,7 +18,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: st
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
     pairs = v.join(q, "_block").where(F.col("query_id") != F.col("id")) if skip_self else v.join(q, "_block")
     scored = pairs.select("query_id", "id", dot(F.col("_q"), F.col("_v")).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

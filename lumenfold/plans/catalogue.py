@@ -137,13 +137,6 @@ def entity_extract(spark, d):
     return found.where(F.size("e") > 0).select("doc_id", F.array_join("e", "|").alias("entities"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(list_distinct([n for n in regexp_extract_all(text, '[0-9]+') if regexp_matches(n, '^[45][0-9][0-9]$')])) AS artifact FROM documents)
-SELECT doc_id, artifact, 'error' AS kind FROM x""")
-def artifact_extract(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.explode(T.artifacts(F.col("text"))).alias("artifact"))
-    return rows.select("doc_id", "artifact", T.artifact_type(F.col("artifact")).alias("kind")).where("kind = 'error'")
-
-
 @query(f"""WITH t AS (SELECT conv_id, turn, unnest(list_distinct({s_words('text', P.KEY_TOKEN)})) AS token FROM conversations),
 f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, token) AS first FROM t)
 SELECT c.conv_id, c.turn, count(f.token) AS tokens, count(*) FILTER (WHERE f.first = f.turn) AS new_tokens
@@ -332,11 +325,6 @@ def extractive_topk(spark, d):
     return ranked.where("rank <= 3").select("doc_id", "rank", "pos", "score")
 
 
-@query()
-def extractive_compress(spark, d):
-    return compress.extractive(read(spark, d, "documents"), 0.5).select(F.col("id").alias("doc_id"), F.md5("compressed").alias("short"))
-
-
 @query("WITH b AS (SELECT CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.5 ELSE 0.95 END AS b FROM documents) SELECT count(*) AS segments, round(avg(b), 6) AS mean_budget, count(*) FILTER (WHERE b >= 0.95) AS high, count(*) FILTER (WHERE b <= 0.35) AS low FROM b")
 def compression_report(spark, d):
     k = F.col("doc_id") % 4
@@ -441,32 +429,9 @@ def miss_counters(spark, d):
     return state.miss_counters(read(spark, d, "events"), "user_id", "event_id", "event_type", F.col("event_type") == "error")
 
 
-@query("SELECT source, count(*) AS entries, CAST(sum(n_chars) AS BIGINT) AS tokens FROM documents WHERE doc_id % 3 <> 0 GROUP BY source")
-def hot_cache_stats(spark, d):
-    rows = read(spark, d, "documents").select("source", F.col("n_chars").alias("tokens"), (F.col("doc_id") % 3 == 0).alias("stale"))
-    return state.hot_stats(rows, ["source"])
-
-
 # retrieval ----------------------------------------------------------------
 
 
-@query()
-def fused_retrieval(spark, d):
-    entries = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", V.hashed_encoding(F.col("text")).alias("vector")).where("vector IS NOT NULL")
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), V.hashed_encoding(F.col("text")).alias("vector")).where("vector IS NOT NULL")
-    return retrieve.enriched(asked, entries, None, 5)
-
-
-@query("""WITH s AS (SELECT conv_id * 1000 + turn AS question_id, length(text) % 10 / 10.0 AS c FROM conversations WHERE role = 'user'),
-a AS (SELECT question_id, 1 AS attempt, 'hot_cache' AS route, c AS confidence FROM s UNION ALL SELECT question_id, 2, 'enriched', c + 0.2 FROM s UNION ALL SELECT question_id, 3, 'cold_storage', c + 0.3 FROM s),
-f AS (SELECT question_id, coalesce(min(attempt) FILTER (WHERE round(confidence, 6) >= 0.7), 3) AS attempt FROM a GROUP BY question_id)
-SELECT question_id, attempt, route, round(confidence, 6) AS confidence FROM f JOIN a USING (question_id, attempt)""")
-def escalation_ladder(spark, d):
-    rows = read(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), (F.char_length("text") % 10 / 10.0).alias("c"))
-    stages = [rows.select("question_id", F.lit(route).alias("route"), F.round(F.col("c") + more, 6).alias("confidence")) for route, more in (("hot_cache", 0.0), ("enriched", 0.2), ("cold_storage", 0.3))]
-    return retrieve.escalate(rows, stages)
-
-
 # metrics ------------------------------------------------------------------
 
 
@@ -553,11 +518,6 @@ def page_induced_fields(spark, d):
 # pipelines ----------------------------------------------------------------
 
 
-@query()
-def ingest_pipeline(spark, d):
-    return gate.ingest(read(spark, d, "conversations"), session="conv_id", seq="turn").drop("original", "committed")
-
-
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o)
 SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts))) AS BIGINT) + 1800 AS end_s, count(*) AS events FROM s GROUP BY user_id, n""")
@@ -568,9 +528,3 @@ def session_windows(spark, d):
     out = windows(read(spark, d, "events"))
     wall = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({c} as timestamp_ntz))")
     return out.select("user_id", wall("session_start").alias("start_s"), wall("session_end").alias("end_s"), "events")
-
-
-@query()
-def novelty_gate(spark, d):
-    rows = read(spark, d, "conversations").withColumn("vector", V.hashed_encoding(F.col("text")))
-    return gate.novelty_gate(rows, session="conv_id", seq="turn").withColumn("score", r6("score"))

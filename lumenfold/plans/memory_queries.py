@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import fidelity as V
 from lumenfold.functions import patterns as P
 from lumenfold.functions import text as T
-from lumenfold.operators import compress, gate, graph, memory, metrics, retrieve, state, vectors
+from lumenfold.operators import compress, gate, graph, lexical, memory, metrics, retrieve, state, vectors
 from lumenfold.plans.catalogue import KINDS, S_BY, S_COUNTS, S_DOT, S_EDGES, S_FACTS, S_KIND, _edges, _facts, _pairs, q, query, r6, read, s_any, s_fit, s_share, s_words
 
 S_TOKENS = lambda t: f"len([x for x in regexp_split_to_array({t}, '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\p{{Z}}]+') if x <> ''])"
@@ -316,3 +316,91 @@ def probe_table(spark, d):
     rows = read(spark, d, "events").select((F.col("user_id") % 5).alias("session"), "event_type", "value")
     kinds = sorted(r[0] for r in rows.select("event_type").distinct().limit(100).collect())
     return metrics.probe_table(rows, "session", "event_type", "value", kinds).select("session", *[F.round(k, 5).alias(k) for k in kinds])
+
+
+# write path ---------------------------------------------------------------
+
+
+def s_vector(t: str, dim: int = 64) -> str:
+    """The default encoding of a text: hashed counts of its tokens as a unit vector, null without tokens."""
+    places = f"[CAST(('0x' || substr(md5(x), 1, 8)) AS BIGINT) % {dim} for x in regexp_split_to_array(lower({t}), {q(P.TOKEN_BREAK)}) if length(x) >= 2]"
+    counts = f"[len([p for p in {places} if p = i])::DOUBLE for i in range({dim})]"
+    return f"CASE WHEN len({places}) > 0 THEN {counts} END"
+
+
+S_UNIT = lambda v: f"[y / sqrt(list_dot_product({v}, {v})) for y in {v}]"
+S_SEEN = f"t AS (SELECT conv_id, turn, unnest(list_distinct({s_words('text', P.KEY_TOKEN)})) AS token FROM conversations), o AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, token) AS first FROM t), w AS (SELECT conv_id, turn, count(*) FILTER (WHERE first = turn) AS new_tokens FROM o GROUP BY ALL)"
+S_SURE = "(coalesce(new_tokens, 0) > 0 OR len(mem) = 0 OR vec IS NULL)"
+S_SCORE = f"CASE WHEN {S_SURE} THEN 1.0::DOUBLE ELSE 1 - list_max([list_dot_product(m, vec) for m in mem]) END"
+S_GATE = f"""{S_SEEN}, c AS (SELECT conv_id, turn, {s_vector('text')} AS counts FROM conversations),
+v AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {S_UNIT('counts')} AS vec, new_tokens FROM c LEFT JOIN w USING (conv_id, turn)),
+gate AS (SELECT conv_id, turn, n, true AS novel, 1.0::DOUBLE AS score, CASE WHEN vec IS NULL THEN CAST([] AS DOUBLE[][]) ELSE [vec] END AS mem FROM v WHERE n = 1
+UNION ALL SELECT v.conv_id, v.turn, v.n, {S_SURE} OR ({S_SCORE}) > 0.05, {S_SCORE}, CASE WHEN vec IS NOT NULL AND ({S_SURE} OR ({S_SCORE}) > 0.05) THEN list_append(mem, vec)[-50:] ELSE mem END FROM gate JOIN v ON v.conv_id = gate.conv_id AND v.n = gate.n + 1)"""
+
+
+@query(f"WITH RECURSIVE {S_GATE} SELECT conv_id AS session, turn AS seq, novel, round(score, 6) AS score FROM gate")
+def novelty_gate(spark, d):
+    rows = read(spark, d, "conversations").withColumn("vector", V.hashed_encoding(F.col("text")))
+    return gate.novelty_gate(rows, session="conv_id", seq="turn").withColumn("score", r6("score"))
+
+
+S_LOST = "CASE schema " + " ".join(f"WHEN '{k}' THEN {{}}" for k in P.SCHEMA_TYPES) + " ELSE 0.0 END"
+
+
+def s_lost_by(a: str, b: str) -> str:
+    from lumenfold.plans.catalogue import s_lost
+
+    return S_LOST.format(*[s_lost(a, b, k) for k in P.SCHEMA_TYPES])
+
+
+@query(f"""WITH RECURSIVE {S_GATE},
+e AS ({' UNION ALL '.join(f"SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, {q(p)}))) AS entity FROM conversations JOIN gate USING (conv_id, turn) WHERE novel" for _, p in TYPED)}),
+r AS (SELECT conv_id, turn, max(n) AS most FROM (SELECT *, count(*) OVER (PARTITION BY conv_id, entity ORDER BY turn RANGE UNBOUNDED PRECEDING) AS n FROM e) GROUP BY ALL),
+k0 AS (SELECT conv_id, turn, text, {S_COUNTS} FROM conversations), k1 AS (SELECT *, greatest({', '.join('n_' + k for k in P.SCHEMA_TYPES)}) AS m FROM k0),
+k AS (SELECT conv_id, turn, text, {S_KIND} AS schema, 1 - greatest({', '.join(s_fit('text', k) for k in P.SCHEMA_TYPES)}) > 0.5 AS schema_novel, len({S_ARTIFACTS}) > 0 AS art FROM k1),
+b AS (SELECT k.*, novel, score, coalesce(most, 0) AS refs, CASE WHEN art OR coalesce(most, 0) >= 3 THEN 1.0 ELSE least(0.2 * (1 + 0.5 + 0.5 * ({S_GAP_BY})), 1.0) END AS budget FROM k JOIN gate USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)),
+a AS (SELECT *, substr(text, 1, CAST(floor(length(text) * least(budget + 0.2 * i, 1.0)) AS INT)) AS short FROM b, (SELECT unnest([0, 1, 2]) AS i) UNION ALL SELECT *, 3, text FROM b),
+x AS (SELECT *, {s_vector('text')} AS va, coalesce({s_vector('short')}, [0.0::DOUBLE for i in range(64)]) AS vb, {s_lost_by('text', 'short')} AS gap FROM a),
+y AS (SELECT *, 1 - CASE WHEN list_dot_product(vb, vb) = 0 THEN 0.0 ELSE list_dot_product(va, vb) / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb)) END AS far FROM x),
+z AS (SELECT *, least(greatest(0.6 * far + 0.4 * gap, 0), 1) AS r FROM y),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS first FROM z WHERE i = 3 OR round(r, 9) <= 0.35)
+SELECT conv_id AS session, turn AS seq, CASE WHEN novel THEN 'hot' ELSE 'cold_only' END AS action, round(score, 6) AS novelty, schema, schema_novel, refs AS "references", novel AND schema_novel AS queued,
+CASE WHEN novel THEN round(budget, 6) END AS budget, CASE WHEN novel THEN round(abs(far), 6) END AS cosine_epe, CASE WHEN novel THEN round(gap, 6) END AS gap, CASE WHEN novel THEN round(abs(0.5 * far + 0.5 * gap), 6) END AS combined, CASE WHEN novel THEN round(r, 6) END AS r_build,
+{S_TOKENS('text')} AS tokens, CASE WHEN novel THEN {S_TOKENS('short')} END AS kept_tokens FROM f WHERE first = 1""")
+def ingest_pipeline(spark, d):
+    made = gate.ingest(read(spark, d, "conversations"), session="conv_id", seq="turn")
+    size = lambda c: F.round(F.abs(c), 6).alias(c)  # noqa: E731  no negative zero
+    return made.select("session", "seq", "action", r6("novelty").alias("novelty"), "schema", "schema_novel", "references", "queued", r6("budget").alias("budget"), size("cosine_epe"), size("gap"), size("combined"), size("r_build"), "tokens", "kept_tokens")
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {s_vector('text')} AS c FROM documents), e AS (SELECT item_id AS query_id, {s_vector('text')} AS c FROM benchmark),
+dn AS (SELECT id, {S_UNIT('c')} AS v FROM d WHERE c IS NOT NULL), en AS (SELECT query_id, {S_UNIT('c')} AS v FROM e WHERE c IS NOT NULL),
+near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(en.v, dn.v), 9) DESC, id) AS rank FROM dn, en),
+t AS (SELECT doc_id, {S_T} AS toks FROM documents JOIN dn ON id = doc_id), p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM t),
+w AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({S_T}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM t),
+s AS (SELECT query_id, doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM tf JOIN df USING (term) JOIN w USING (term), n GROUP BY ALL),
+words AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0),
+x AS (SELECT query_id, id, 0 AS part, rank FROM near WHERE rank <= 10 UNION ALL SELECT query_id, id, 1, rank FROM words WHERE rank <= 10),
+f AS (SELECT query_id, id, min((part, rank)) AS place FROM x GROUP BY ALL), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS rank FROM f)
+SELECT query_id, CAST(rank AS INT) AS rank, id FROM r WHERE rank <= 15""")
+def fused_retrieval(spark, d):
+    entries = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", V.hashed_encoding(F.col("text")).alias("vector")).where("vector IS NOT NULL")
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), V.hashed_encoding(F.col("text")).alias("vector")).where("vector IS NOT NULL")
+    near = vectors.cosine_topk(asked, entries, 10, query_vector="vector", id_col="id", vector_col="vector", skip_self=False)
+    return retrieve.ordered_union([near, lexical.bm25_topk(asked, entries, 10, id_col="id")], 15)
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, [trim(x) for x in string_split(regexp_replace(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) if trim(x) <> ''] AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS s, unnest(range(len(parts))) AS pos, len(parts) AS n FROM p),
+k AS (SELECT doc_id, pos, n, unnest(regexp_extract_all(lower(s), '[a-z0-9_/\\.]+')) AS tok FROM l),
+tf AS (SELECT doc_id, pos, n, tok, count(*) AS c FROM k GROUP BY ALL),
+w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, tok) AS df, sum(c) OVER (PARTITION BY doc_id, pos) AS total FROM tf),
+b AS (SELECT doc_id, pos, sum(c / total * (ln((n + 1) / (df + 1)) + 1)) AS base FROM w GROUP BY ALL),
+s AS (SELECT l.doc_id, l.pos, l.n, l.s, round(coalesce(base, 0) + 0.3 * len(regexp_extract_all(s, {q(P.HIGH_VALUE)})), 6) AS score FROM l LEFT JOIN b USING (doc_id, pos)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM s),
+j AS (SELECT doc_id, string_agg(s, ' ' ORDER BY pos) AS many FROM r WHERE rank <= greatest(1, ceil(n * 0.5)) GROUP BY doc_id),
+o AS (SELECT doc_id, len(parts) AS n, [x for x in regexp_split_to_array(text, '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\p{{Z}}]+') if x <> ''] AS ws FROM p)
+SELECT doc_id, md5(CASE WHEN n > 1 THEN many ELSE array_to_string(ws[1:greatest(1, CAST(ceil(len(ws) * 0.5) AS INT))], ' ') END) AS short FROM o LEFT JOIN j USING (doc_id)""")
+def extractive_compress(spark, d):
+    return compress.extractive(read(spark, d, "documents"), 0.5).select(F.col("id").alias("doc_id"), F.md5("compressed").alias("short"))
