@@ -96,18 +96,15 @@ class Bpe:
                 before[end] = -1
         queue, pair, learn = self.queue, self.pairs.get, self.learn
         low, buckets, top = queue.low, queue.buckets, 0
-        fresh = [(rank, i) for i, rank in enumerate(waits) if rank >= 0]
-        while True:
-            for rank, i in fresh:  # push
-                bucket = buckets[rank]
-                if bucket is None:
+        for i, rank in enumerate(waits):
+            if rank >= 0:
+                if buckets[rank] is None:
                     buckets[rank] = [i]
                     low[rank >> 8] |= 1 << (rank & 255)
                     top |= 1 << (rank >> 8)
                 else:
-                    bucket.append(i)
-            if not top:
-                break
+                    buckets[rank].append(i)
+        while top:
             k = (top & -top).bit_length() - 1  # find first set, twice
             word = low[k]
             taken = k << 8 | (word & -word).bit_length() - 1
@@ -118,8 +115,9 @@ class Bpe:
                 top &= top - 1
             if len(bucket) > 1:
                 bucket.sort()
-            fresh, lowest = [], taken
-            for at, i in enumerate(bucket):
+            lowest, met = taken, 0
+            for i in bucket:
+                met += 1
                 if waits[i] != taken:
                     continue  # stale
                 j = after[i]
@@ -128,30 +126,44 @@ class Bpe:
                 waits[j] = -1
                 if k < n:
                     before[k] = i
-                    key = taken << 32 | ids[k]
-                    again = pair(key)
+                    right = ids[k]
+                    again = pair(taken << 32 | right)
                     if again is None:
-                        again = learn(taken, ids[k])
+                        again = learn(taken, right)
                     waits[i] = again
-                    if again >= 0:
-                        fresh.append((again, i))
+                    if again >= 0:  # push
+                        if buckets[again] is None:
+                            buckets[again] = [i]
+                            low[again >> 8] |= 1 << (again & 255)
+                            top |= 1 << (again >> 8)
+                        else:
+                            buckets[again].append(i)
                         if again < lowest:
                             lowest = again
                 else:
                     waits[i] = -1
                 h = before[i]
                 if h >= 0:
-                    again = pair(ids[h] << 32 | taken)
+                    left = ids[h]
+                    again = pair(left << 32 | taken)
                     if again is None:
-                        again = learn(ids[h], taken)
+                        again = learn(left, taken)
                     if again != waits[h]:
                         waits[h] = again
-                        if again >= 0:
-                            fresh.append((again, h))
+                        if again >= 0:  # push
+                            if buckets[again] is None:
+                                buckets[again] = [h]
+                                low[again >> 8] |= 1 << (again & 255)
+                                top |= 1 << (again >> 8)
+                            else:
+                                buckets[again].append(h)
                             if again < lowest:
                                 lowest = again
                 if lowest < taken:  # a lower rank has come up: it goes first, and the rest of the bucket waits
-                    fresh += [(taken, x) for x in bucket[at + 1 :]]
+                    if met < len(bucket):
+                        buckets[taken] = bucket[met:] + (buckets[taken] or [])
+                        low[taken >> 8] |= 1 << (taken & 255)
+                        top |= 1 << (taken >> 8)
                     break
         out = []
         for i in starts[:-1]:
