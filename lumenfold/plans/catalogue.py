@@ -446,16 +446,10 @@ def probe_two_level_mean(spark, d):
     return metrics.two_level_mean(read(spark, d, "events"), ["event_type"], "user_id", "value").withColumn("mean_of_means", F.round("mean_of_means", 5))
 
 
-# schema induction, over the parameters of page addresses and the fields in pages; three queries over fixed artifacts show single cases --
+# schema induction, over the parameters of page addresses and the fields in pages --
 
 
 S_FIELDS = r"""list_sort(list_distinct(list_concat(regexp_extract_all({0}, '"([^"]+)"\s*:', 1), regexp_extract_all({0}, '\b([a-zA-Z_][a-zA-Z0-9_]*)\s*[:=]\s*([^,\n}}]+)', 1))))"""
-ARTIFACTS = [(0, '{"id": 1, "name": "a", "size": 3}'), (1, '{"id": 2, "name": "b", "size": 4}'), (2, '{"id": 3, "name": "c", "size": 5, "tag": "x"}'), (3, '{"id": 4, "name": "d", "size": 5, "tag": "y"}'), (4, '{"id": 5, "name": "e", "size": 9}'), (5, "host = alpha, port = 80"), (6, "host = beta, port = 81, tls = true"), (7, "plain words")]
-S_ARTIFACTS = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(a)})" for i, a in ARTIFACTS) + ") AS v(artifact_id, artifact)"
-
-
-def _artifacts(spark):
-    return spark.createDataFrame(ARTIFACTS, "artifact_id int, artifact string")
 
 
 @query(f"SELECT event_id, array_to_string({S_FIELDS.format('props')}, '|') AS fields FROM events")
@@ -463,27 +457,6 @@ def key_signature(spark, d):
     return read(spark, d, "events").select("event_id", F.array_join(induce.signature(F.col("props"))["fields"], "|").alias("fields"))
 
 
-@query(f"WITH a AS (SELECT artifact_id, {S_FIELDS.format('artifact')} AS f FROM ({S_ARTIFACTS})), p AS (SELECT a.artifact_id AS a, b.artifact_id AS b, a.f AS fa, b.f AS fb FROM a JOIN a b ON a.artifact_id < b.artifact_id) SELECT a, b, round(CASE WHEN len(fa) = 0 AND len(fb) = 0 THEN 0.0 ELSE 1 - len(list_intersect(fa, fb)) / len(list_distinct(list_concat(fa, fb)))::DOUBLE END, 6) AS distance FROM p")
-def jaccard_pairs(spark, d):
-    rows = _artifacts(spark).select("artifact_id", induce.field_names(F.col("artifact")).alias("f"))
-    pairs = rows.select(F.col("artifact_id").alias("a"), F.col("f").alias("fa")).join(rows.select(F.col("artifact_id").alias("b"), F.col("f").alias("fb")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", r6(induce.jaccard_distance(F.col("fa"), F.col("fb"))).alias("distance"))
-
-
-@query(f"""WITH RECURSIVE a AS (SELECT artifact_id AS id, {S_FIELDS.format('artifact')} AS f FROM ({S_ARTIFACTS})),
-e AS (SELECT x.id AS a, y.id AS b FROM a x JOIN a y ON len(list_distinct(list_concat(x.f, y.f))) = 0 OR 1 - len(list_intersect(x.f, y.f)) / greatest(len(list_distinct(list_concat(x.f, y.f))), 1)::DOUBLE <= 0.30),
-r AS (SELECT id, id AS root FROM a UNION SELECT e.b, r.root FROM r JOIN e ON r.id = e.a), c AS (SELECT id, min(root) AS family FROM r GROUP BY id)
-SELECT id, family, count(*) OVER (PARTITION BY family) AS members FROM c QUALIFY count(*) OVER (PARTITION BY family) >= 2""")
-def key_components(spark, d):
-    return induce.families(_artifacts(spark), least=2).select("id", "family", "members")
-
-
-@query(f"""WITH a AS (SELECT artifact_id, unnest({S_FIELDS.format('artifact')}) AS field FROM ({S_ARTIFACTS}) WHERE artifact_id < 5)
-SELECT 0 AS family, field, round(count(*) / 5.0, 6) AS share, count(*) / 5.0 >= 0.8 AS required FROM a GROUP BY field HAVING count(*) / 5.0 >= 0.2""")
-def induced_fields(spark, d):
-    return induce.induced_fields(induce.families(_artifacts(spark), least=5)).withColumn("share", r6("share"))
-
-
 S_PAGES = f"""a AS (SELECT page_id AS id, {S_FIELDS.format('artifact')} AS f FROM (SELECT page_id, replace(regexp_extract(coalesce(url, ''), '\\?([^#]*)', 1), '&', chr(10)) || chr(10) || coalesce(html, '') AS artifact FROM pages)),
 s AS (SELECT f, min(id) AS id, count(*) AS n FROM a GROUP BY f),
 e AS (SELECT x.id AS a, y.id AS b, x.n AS pages_a, y.n AS pages_b, 1 - len(list_intersect(x.f, y.f)) / len(list_distinct(list_concat(x.f, y.f)))::DOUBLE AS distance FROM s x JOIN s y ON x.id <> y.id WHERE distance <= 0.30)"""
