@@ -38,9 +38,7 @@ def episode_lines(rows: DataFrame, most_chars: int = 600) -> DataFrame:
 
 def episode_at(rows: DataFrame, index: int, order: str = "episode_id") -> DataFrame:
     """The episode at a place of the order; an error past the end."""
-    from pyspark.sql import Window
-
-    got = rows.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_n") == index).drop("_n")
+    got = rows.orderBy(order).offset(index).limit(1)
     if got.isEmpty():
         raise IndexError(f"there is no episode {index}")
     return got

@@ -42,10 +42,30 @@ def stream_gate(segments: DataFrame, threshold: float = 0.05, session: str = "se
     return rows.groupBy("session").applyInPandasWithState(run, "session string, seq long, novel boolean, score double", "seen string, recent string", "append", GroupStateTimeout.NoTimeout)
 
 
-def replay_events(decisions: DataFrame) -> DataFrame:
-    """Decisions as the events that a viewer gets: a start, the ingest, and its completion, in order."""
-    kinds = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(k).alias("type")) for i, k in enumerate(("start", "ingest", "complete"))])
-    return decisions.select("session", "seq", "novel", F.explode(kinds).alias("e")).select("session", "seq", "e.step", "e.type", F.when(F.col("novel"), "hot").otherwise("cold_only").alias("action"))
+def replay_events(decisions: DataFrame, contradictions: DataFrame | None = None, late: DataFrame | None = None, totals: bool = False) -> DataFrame:
+    """Decisions as the events that a viewer gets: a start, the ingest, and its completion, in order.
+
+    Besides, where given, a contradiction for each entry that a segment makes stale (session, seq, stale_seq), a timeout instead of the
+    completion of what was late (session, seq), and with `totals` the session's counts behind its last segment.
+    """
+    steps = ("start", "ingest", "contradiction", "complete", "timeout", "stats")
+    kinds = F.array(*[F.struct(F.lit(steps.index(k)).alias("step"), F.lit(k).alias("type")) for k in ("start", "ingest", "complete")])
+    action = F.when(F.col("novel"), "hot").otherwise("cold_only").alias("action")
+    out = decisions.select("session", "seq", "novel", F.explode(kinds).alias("e")).select("session", "seq", "e.step", "e.type", action)
+
+    def more(rows: DataFrame, kind: str, what) -> DataFrame:
+        return rows.select("session", "seq", F.lit(steps.index(kind)).alias("step"), F.lit(kind).alias("type"), what.alias("action"))
+
+    if late is not None:
+        gone = late.select("session", "seq").distinct()
+        done = out.where("type = 'complete'").join(gone, ["session", "seq"], "left_anti")
+        out = out.where("type <> 'complete'").unionByName(done).unionByName(more(gone, "timeout", F.lit("late")))
+    if contradictions is not None:
+        out = out.unionByName(more(contradictions, "contradiction", F.concat(F.lit("stale "), F.col("stale_seq").cast("string"))))
+    if totals:
+        sums = decisions.groupBy("session").agg(F.max("seq").alias("seq"), F.count_if("novel").alias("hot"), F.count("*").alias("all"))
+        out = out.unionByName(more(sums, "stats", F.concat_ws(" of ", F.col("hot").cast("string"), F.col("all").cast("string"))))
+    return out
 
 
 def newly_stale(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,12 +73,21 @@ def newly_stale(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     return after.where("stale").join(before.where("stale"), keys, "left_anti")
 
 
+#: Lines of a block of the running sum of delays.
+BLOCK_LINES = 100_000
+
+
 def with_event_time(replay: DataFrame, start: str = "2024-01-01 00:00:00", speed: float = 1.0, order: str = "line") -> DataFrame:
     """Replay lines with the time they come at: the sum of delays so far over the speed."""
     from pyspark.sql import Window
 
-    past = F.sum("delay_seconds").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return replay.withColumn("event_time", (F.lit(start).cast("timestamp").cast("double") + past / speed).cast("timestamp"))
+    # sums in two levels: of lines within a block, and of whole blocks before it, of which there are few
+    rows = replay.withColumn("_block", F.floor(F.col(order) / BLOCK_LINES))
+    blocks = rows.groupBy("_block").agg(F.sum("delay_seconds").alias("_sum"))
+    blocks = blocks.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))
+    past = F.sum("delay_seconds").over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    timed = rows.withColumn("_past", past).join(blocks, "_block")
+    return timed.withColumn("event_time", (F.lit(start).cast("timestamp").cast("double") + (F.col("_before") + F.col("_past")) / speed).cast("timestamp")).select(*replay.columns, "event_time")
 
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", time_col: str = "ts", key: str = "user_id") -> DataFrame:

@@ -204,3 +204,36 @@ def test_keyword_lines_and_faithful_pairs(spark):
     short = lambda t, r: spark.createDataFrame([(t,)], "t string").select(pairs.faithful_compress(F.col("t"), r).alias("c")).first()["c"]
     assert short("We did the long thing in order to win", 0.9) == "We long thing to win"
     assert short("one two three four in five six seven", 0.5) == "one two three four" and short("one two three in five six seven eight", 0.5) == "one two three six"
+
+
+def test_entities_bear_their_types(spark):
+    from lumenfold.operators import memory
+
+    rows = spark.createDataFrame([("s", 0, "see src/a.py at step 3"), ("s", 1, "src/a.py again"), ("s", 2, "src/a.py and more"), ("s", 3, "plain")], "session string, seq long, text string")
+    facts = {(r["seq"], r["entity"], r["type"]) for r in state.fact_rows(rows, "session", "seq").collect()}
+    assert {(0, "src/a.py", "file_path"), (0, "step 3", "step_reference")} <= facts
+    made = {r["seq"]: (r["most"], r["budget"]) for r in memory.write_budgets(rows.withColumn("text", F.regexp_replace("text", "src/", "x/")), "session", "seq").collect()}
+    assert made[2] == (3, 1.0) and made[1][0] == 2 and made[1][1] < 1 and made[3][0] == 0
+
+
+def test_retry_asks_only_the_unsure_again(spark):
+    from lumenfold.operators import memory
+
+    asked = []
+
+    def find(queries, route, k):
+        asked.append((route, k, sorted(r["query_id"] for r in queries.collect())))
+        return queries.select("query_id", F.lit(k).alias("rank"), F.lit(0).alias("id"))
+
+    sure = lambda found: found.select("query_id", F.when((F.col("query_id") == 1) | (F.col("rank") > 3) & (F.col("query_id") == 2), 0.9).otherwise(0.1).alias("confidence"))
+    got = {tuple(r) for r in memory.retry(spark.createDataFrame([(1,), (2,), (3,)], "query_id long"), find, sure, 3, "hot_cache").collect()}
+    assert got == {(1, 1, "hot_cache", 3, 0.9), (2, 2, "enriched", 6, 0.9), (3, 3, "cold_storage", 8, 0.1)}
+    assert asked == [("hot_cache", 3, [1, 2, 3]), ("enriched", 6, [2, 3]), ("cold_storage", 8, [3])]
+
+
+def test_new_session_keeps_cold_rows_facts_and_graph(spark):
+    from lumenfold.operators import memory
+
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "session string, seq long")
+    left = memory.new_session({"cold": one, "facts": one, "hot": one}, "a")
+    assert left["cold"].count() == 2 and [r["session"] for r in left["hot"].collect()] == ["b"]

@@ -53,3 +53,18 @@ def test_sinks(spark, tmp_path):
 def test_replay(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"text": "a", "delay_seconds": 1}\n\n{"text": "b", "delay_seconds": 2}\n')
     assert sessions.replay(spark, str(tmp_path / "r.jsonl")).count() == 2
+
+
+def test_replay_events_of_all_kinds(spark):
+    decided = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("b", 0, True)], "session string, seq long, novel boolean")
+    late = spark.createDataFrame([("a", 1)], "session string, seq long")
+    stale = spark.createDataFrame([("a", 1, 0)], "session string, seq long, stale_seq long")
+    rows = stream.replay_events(decided, stale, late, totals=True).where("session = 'a'").orderBy("seq", "step").collect()
+    assert [(r["seq"], r["type"], r["action"]) for r in rows] == [(0, "start", "hot"), (0, "ingest", "hot"), (0, "complete", "hot"), (1, "start", "cold_only"), (1, "ingest", "cold_only"), (1, "contradiction", "stale 0"), (1, "timeout", "late"), (1, "stats", "1 of 2")]
+
+
+def test_event_time_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stream, "BLOCK_LINES", 3)
+    rows = spark.createDataFrame([(i, 1.5) for i in range(10)], "line long, delay_seconds double")
+    got = stream.with_event_time(rows, "2024-01-01 00:00:00").selectExpr("line", "cast(event_time as double) - cast(timestamp'2024-01-01 00:00:00' as double) as t").orderBy("line").collect()
+    assert [round(r["t"], 6) for r in got] == [1.5 * (i + 1) for i in range(10)]
