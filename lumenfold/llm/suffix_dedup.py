@@ -5,7 +5,10 @@ least hash, the leftmost of equals. Equal windows so name equal pieces (anchors)
 windows from one anchor make a run (a segment) of at most 2 * WIDTH - GRAM bytes.
 
 1. A text that an earlier document repeats as a whole is settled by its hash.
-2. Anchors are packed by bucket of their hash; each bucket keeps those of several documents.
+2. Anchors are packed by bucket of their hash (by its low bits, as least hashes have small high
+   ones); each bucket keeps those of several documents and packs them by group of documents; each
+   group sends one row a document. Only the low halves of the hashes are sent back: equal halves of
+   different hashes merely send a segment that meets nothing.
 3. Documents send the segments of such anchors; of equal segments in a batch only the first
    document's, as the others are covered by it (combining before the shuffle).
 4. Segments meet by anchor, sorted: of equal ones again all but the first are covered. What is
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 WIDTH, GRAM = 50, 20
 #: Bytes of a text looked at once, of a shard, and of text for each bucket of anchors and each shard task.
 PIECE, SHARD, BUCKET_TEXT = 1 << 19, 1 << 21, 12 << 20
-_LOW = 20
+_LOW, _HALF = 20, np.uint64(0xFFFFFFFF)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 
 
@@ -202,6 +205,10 @@ def covered_windows(docs: DataFrame, text_bytes: int) -> DataFrame:
     """(doc_id, mark, ranges) of docs (doc_id, mark, text, skip): packed pairs of first and last covered window starts."""
     buckets = max(1, -(-text_bytes // BUCKET_TEXT))
 
+    def dealt(mixed: np.ndarray) -> np.ndarray:
+        """The bucket of a hash, or the group of a document, by 32 mixed bits."""
+        return (mixed & _HALF) * np.uint64(buckets) >> np.uint64(32)
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             ids, hashes, owners = batch.column("doc_id").fill_null(0).to_numpy(), [], []
@@ -214,7 +221,7 @@ def covered_windows(docs: DataFrame, text_bytes: int) -> DataFrame:
             if not hashes:
                 continue
             h, owner = np.concatenate(hashes), np.concatenate(owners)
-            bucket = (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            bucket = dealt(h)
             order = np.argsort(bucket, kind="stable")
             h, owner = h[order], owner[order]
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -235,13 +242,14 @@ def covered_windows(docs: DataFrame, text_bytes: int) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
             keep = np.repeat(several, np.diff(np.append(starts, len(h))))
-            h, ids = h[keep], ids[keep]
-            order = np.argsort(ids, kind="stable")
-            h, ids = h[order], ids[order]
-            for part in range(0, len(h), 1 << 20):
-                x, y = h[part : part + (1 << 20)], ids[part : part + (1 << 20)]
-                cuts = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(y[cuts], pa.int64()), pa.array([z.tobytes() for z in np.split(x, cuts[1:])], pa.binary())], names=["found_id", "anchors"])
+            h, ids = (h[keep] & _HALF).astype(np.uint32), ids[keep]
+            group = dealt(ids.view(np.uint64) * _C[0] >> np.uint64(32))
+            order = np.lexsort((ids, group))
+            h, ids, group = h[order], ids[order], group[order]
+            begins = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), group[1:] != group[:-1]]))
+            for x, y in zip(begins, np.append(begins[1:], len(h)), strict=True):
+                names, sizes = np.unique(ids[x:y], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([group[x]], pa.int32()), pa.array([names.tobytes()], pa.binary()), pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()), pa.array([h[x:y].tobytes()], pa.binary())], names=["part", "ids", "sizes", "anchors"])
 
         for batch in batches:
             for bucket, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -251,22 +259,42 @@ def covered_windows(docs: DataFrame, text_bytes: int) -> DataFrame:
                 held.append(row)
         yield from flush()
 
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                ids = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.uint32)) for i, n, _ in held])
+                h = np.concatenate([np.frombuffer(x, np.uint32) for _, _, x in held])
+                order = np.argsort(ids, kind="stable")
+                names, begins = np.unique(ids[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([x.tobytes() for x in np.split(h[order], begins[1:])], pa.binary())], names=["found_id", "anchors"])
+
+        for batch in batches:
+            for part, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if part != at:
+                    yield from flush()
+                    at, held = part, []
+                held.append(row)
+        yield from flush()
+
     # rows to skip are left to Python: a filter would go below the exchange of the texts, which then could not be used again
     sent = docs.select("doc_id", "text", "skip").mapInArrow(anchors, "bucket int, hashes binary, ids binary, owners binary")
-    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "found_id long, anchors binary")
-    by_doc = found.groupBy("found_id").agg(F.collect_list("anchors").alias("anchors"))
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "part int, ids binary, sizes binary, anchors binary")
+    by_doc = found.repartition("part").sortWithinPartitions("part").mapInArrow(unpacked, "found_id long, anchors binary")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             ids, marks, skips = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("skip").to_pylist()
             first: dict[bytes, int] = {}
             made, done = [], []
-            for i, (text, blobs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
-                if skips[i] or not blobs:
+            for i, (text, blob) in enumerate(zip(batch.column("text").to_pylist(), batch.column("anchors").to_pylist(), strict=True)):
+                if skips[i] or not blob:
                     continue
-                raw, wanted = text.encode(), np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs]))
+                raw, wanted = text.encode(), np.unique(np.frombuffer(blob, np.uint32))
                 for h, start, end in runs(raw):
-                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                    half = (h & _HALF).astype(np.uint32)
+                    hit = wanted[np.minimum(np.searchsorted(wanted, half), len(wanted) - 1)] == half
                     for anchor, x, y in zip(h[hit].view(np.int64).tolist(), start[hit].tolist(), end[hit].tolist(), strict=True):
                         s = raw[x : y + WIDTH]
                         k = first.get(s)
