@@ -31,6 +31,8 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import materialize
+
 #: An edit: how many characters of the value are kept (None: all), and what follows them. None in its place drops a line.
 Edit = tuple[int | None, str]
 
@@ -145,15 +147,18 @@ def _plain(docs: DataFrame, id_col: str, columns: tuple[str, ...], more) -> Data
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("_columns"), more)
 
 
-def coded_branch(docs: DataFrame, name: str, shift: int, id_col: str = "doc_id", columns: tuple[str, ...] = ("lang", "source"), text_col: str = "text") -> RDD:
-    """A branch that a code decides: crc32("name:id:thing") modulo 17 of each row, column and line (numbered from 0).
+def row_shapes(docs: DataFrame, id_col: str = "doc_id", columns: tuple[str, ...] = ("lang", "source"), text_col: str = "text") -> DataFrame:
+    """_id, _columns and _lines (the number of lines) of the rows with an id, written to the shared folder: what branches are coded by, without the texts."""
+    text = F.coalesce(text_col, F.lit(""))
+    return materialize(_plain(docs, id_col, columns, (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("_lines")), "branch-shapes")
+
+
+def coded_branch(shapes: DataFrame, name: str, shift: int, columns: tuple[str, ...] = ("lang", "source")) -> RDD:
+    """A branch that a code decides: crc32("name:id:thing") modulo 17 of each row, column and line (numbered from 0) of row_shapes.
 
     0 drops it (a column: empties it), 1 and 2 append "!" or "?" to a column or line, 3 and 4 insert such a
-    line after a line, or add a row of that text under the id shift - id with the columns of the row. Only ids,
-    columns and numbers of lines leave the scan.
+    line after a line, or add a row of that text under the id shift - id with the columns of the row.
     """
-    text = F.coalesce(text_col, F.lit(""))
-    rows = _plain(docs, id_col, columns, (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("_lines"))
 
     def changes(row) -> Iterator[tuple[int, Change]]:
         start = zlib.crc32(f"{name}:{row[0]}:".encode())
@@ -168,4 +173,4 @@ def coded_branch(docs: DataFrame, name: str, shift: int, id_col: str = "doc_id",
         if own in (3, 4):
             yield shift - row[0], Change(added=(tuple(row[1]), MARKS[own]))
 
-    return rows.rdd.flatMap(changes)
+    return shapes.rdd.flatMap(changes)

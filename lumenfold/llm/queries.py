@@ -160,7 +160,8 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    merged = branch_merge.merged_table(docs, branch_merge.coded_branch(docs, "L", -1), branch_merge.coded_branch(docs, "R", -5))
+    shapes = branch_merge.row_shapes(docs)
+    merged = branch_merge.merged_table(docs, branch_merge.coded_branch(shapes, "L", -1), branch_merge.coded_branch(shapes, "R", -5))
     return merged.select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"), "n_clean", "n_edit_edit", "n_edit_delete", "n_insert_insert")
 
 

@@ -209,7 +209,8 @@ def slow_merge(rows):
 
 def merged(spark, rows, **more):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").withColumns(more).repartition(3)
-    table = branch_merge.merged_table(docs, branch_merge.coded_branch(docs, "L", -1), branch_merge.coded_branch(docs, "R", -5)).withColumn("text", F.sha2("text", 256))
+    shapes = branch_merge.row_shapes(docs)
+    table = branch_merge.merged_table(docs, branch_merge.coded_branch(shapes, "L", -1), branch_merge.coded_branch(shapes, "R", -5)).withColumn("text", F.sha2("text", 256))
     return {r[0]: tuple(r[1:]) for r in table.collect()}, table
 
 
@@ -227,8 +228,7 @@ def test_branches_of_awkward_tables(spark):
     rows = [(i, "en", "web", "one\ntwo") for i in range(40)]
     assert merged(spark, rows * 3 + [(None, "en", "web", "x")])[0] == slow_merge(rows)
     assert merged(spark, [(3, "z", "web", "other"), (3, None, None, None)])[0] == slow_merge([(3, None, None, None)])
-    docs = spark.createDataFrame([], "doc_id long, lang string, source string, text string")
-    assert branch_merge.merged_table(docs, branch_merge.coded_branch(docs, "L", -1), branch_merge.coded_branch(docs, "R", -5)).count() == 0
+    assert merged(spark, [])[0] == {}
 
 
 def test_merge_of_scripts():
