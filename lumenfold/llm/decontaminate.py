@@ -18,8 +18,9 @@ join is by hash, which AQE splits where a window is frequent.
 
 Words that are no placeholder match by their lower-cased form alone, so a document that holds an
 item has some of its plain word sequences: one cheap pass over the plain windows of all texts finds
-the documents with any, and only they are read as templates. For items without enough
-plain words all documents are read as templates; no document is left out.
+the documents with any, and only they are read as templates. Plain are only words without a digit that are no
+unit either: the plain pass reads texts as they are, and there "3.11" and "60km" are other words than in a template.
+For items without enough plain words all documents are read as templates; no document is left out.
 
 Defined results: null, empty or wordless texts and items match nothing; null ids neither.
 Rows that repeat a document id are one document, as are rows that repeat an item id.
@@ -147,7 +148,7 @@ def plain_windows(rows: DataFrame, key: str, text: str, shorter: tuple[int, ...]
 def necessary_windows(benchmark: DataFrame, item_col: str, text_col: str, min_cover: float) -> DataFrame:
     """item, hash and size of plain word sequences one of which a document must hold if it holds the item.
 
-    Words that no reading of the item turns into a placeholder are found by their lower-cased form
+    Words without a digit that are no unit and that no reading of the item turns into a placeholder are found by their lower-cased form
     only, so a window that is found has its plain sequences in the document. Whole windows are
     taken where those without any placeholder are so many that the rest can't make `min_cover`; else
     the first PART plain words of each window that has as many. Items that miss that as well
@@ -156,12 +157,14 @@ def necessary_windows(benchmark: DataFrame, item_col: str, text_col: str, min_co
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("_t"))
     shaped = items.select("item", normal(F.col("_t")).alias("_text"))
     shaped = shaped.select("item", words(F.col("_text")).alias("_raw"), words(template(F.col("_text"), True)).alias("_full"))
+    other = lambda full, raw: F.coalesce(full.isin(NAME, NUMBER, UNIT) | raw.rlike("[0-9]") | raw.isin(*UNITS.split()), F.lit(True))
+    shaped = shaped.withColumn("_held", F.zip_with("_full", "_raw", other))
     size = F.least(F.size("_full"), F.lit(WORDS))
     at = F.when(F.size("_full") > 0, F.sequence(F.lit(0), F.size("_full") - size))
-    held = lambda i: F.coalesce(F.get(F.col("_full"), i).isin(NAME, NUMBER, UNIT), F.lit(True))
+    held = lambda i: F.coalesce(F.get(F.col("_held"), i), F.lit(True))
     lower = lambda i, n: F.xxhash64(*[F.get(F.col("_raw"), i + k) for k in range(n)])
     plain = lambda i, n: ~sum((held(i + k).cast("int") for k in range(n)), F.lit(0)).cast("boolean")
-    whole = lambda i: F.when(~F.exists(F.slice("_full", i + 1, WORDS), lambda w: w.isin(NAME, NUMBER, UNIT)), lower(i, WORDS))
+    whole = lambda i: F.when(~F.exists(F.slice("_held", i + 1, WORDS), lambda w: w), lower(i, WORDS))
     part = lambda i: F.coalesce(*[F.when((k + PART <= F.col("size")) & plain(i + k, PART), lower(i + k, PART)) for k in range(WORDS - PART + 1)])
     made = shaped.withColumn("size", size).select("item", "size", F.explode_outer(F.transform(at, lambda i: F.struct(i.alias("at"), whole(i).alias("whole"), part(i).alias("part")))).alias("x"))
     made = materialize(made.select("item", "size", "x.*").where("at IS NOT NULL"), "places")

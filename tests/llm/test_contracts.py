@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, common, decontaminate, html_wrapper, line_dedup, minhash, queries
+from lumenfold.llm import bpe, common, decontaminate, html_wrapper, kdtree, line_dedup, minhash, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,6 +109,29 @@ def test_candidates_lose_no_leak(spark, monkeypatch):
     assert decontaminate.contaminated_pairs(d, b.limit(0)).count() == 0
 
 
+def test_leaks_with_digits_in_words(spark, monkeypatch):
+    items = [(1, "install python3.11 before using numpy1.26 here"), (2, "the mp3 file has 3.5mb and the h264 film has 60km of track"), (3, "walk 5km north then 12 km south of here")]
+    docs = [(1, items[0][1]), (2, f"first {items[0][1]} and then rest"), (3, items[1][1]), (4, "so walk 5 km north then 12km south of here again"), (5, "install it before using here")]
+    rng = random.Random(2)
+    vocab = ["mp3", "v1.2", "python3.11", "1,250", "2.5kg", "7km", "km", "m", "and", "we", "read", "the", "old", "Anna", "x86", "3d", "4", "kg.", "c3.5", "9.9.9"]
+    words = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items += [(10 + i, words(rng.randint(3, 20))) for i in range(60)]
+    glue = lambda t: t.replace(" km", "km") if rng.random() < 0.5 else t.replace("7km", "7 km")
+    docs += [(10 + i, f"{words(6)} {glue(rng.choice(items)[1])} {words(6)}") for i in range(400)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    some = {tuple(r) for r in decontaminate.contaminated_pairs(d, b).collect()}
+    assert {(1, 1), (2, 1), (3, 2), (4, 3)} <= {x[:2] for x in some} and (5, 1) not in {x[:2] for x in some}
+    monkeypatch.setattr(decontaminate, "necessary_windows", lambda *a: spark.createDataFrame([], "item long, hash long, size int"))
+    assert some == {tuple(r) for r in decontaminate.contaminated_pairs(d, b).collect()} and len(some) > 100
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    for big in (1e8, 1e30):
+        rows = spark.createDataFrame([(i, [big, big]) for i in range(3)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            kdtree.exact_topk(rows, F.col("vec_id") == 0).collect()
+
+
 def test_large_group_needs_no_pair_of_chunks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "GROUP", 10)
     base = [f"w{i}" for i in range(60)]
