@@ -13,7 +13,8 @@ Components are made integers first: floor(scale * x), as double; sums are exact.
 Defined results: vectors that are null, empty or hold null, NaN or infinite components
 take no part. Vectors meet only those of their own length. A candidate with the query's
 own id is not its partner; equal scores go to smaller ids; repeated rows of a candidate
-count as they are, repeated query ids as one (the least vector). Null ids take no part.
+count as they are, repeated query ids as one (the least vector). Null ids take no part. Components so large that
+a score may pass 64 bits raise ValueError.
 """
 
 from __future__ import annotations
@@ -113,8 +114,10 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 def _exact(*parts: np.ndarray) -> list[np.ndarray]:
     """As double where every product sum stays below 2**53, else as long."""
-    most = max([1, *(int(np.abs(p).max()) for p in parts if p.size)])
+    most = max([1, *(max(int(p.max()), -int(p.min())) for p in parts if p.size)])
     wide = max(p.shape[1] for p in parts)
+    if most * most * wide >= 1 << 63:
+        raise ValueError(f"components of up to {most} make scores beyond 64 bits")
     return [p.astype(np.float64 if most * most * wide < 1 << 53 else np.int64) for p in parts]
 
 
