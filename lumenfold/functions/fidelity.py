@@ -105,9 +105,9 @@ def write_budget(kind: Column, gap: Column, keep_all: Column, alpha: float = 0.5
     return F.when(keep_all, 1.0).otherwise(F.least(by_type(kind, 2, 0.5) * (1 + beta * (alpha * 1.0 + (1 - alpha) * gap)), F.lit(1.0)))
 
 
-def eviction_score(turn: Column, misses: Column, hits: Column, novelty: Column, over: WindowSpec, recency: str = "as_coded") -> Column:
-    """Who goes first: higher scores. `recency='age'` lets older entries go first instead of newer ones."""
-    part = lambda x: F.when(F.max(x).over(over) > 0, x / F.max(x).over(over).cast("double")).otherwise(0.0)
+def eviction_rank(turn: tuple[Column, Column], misses: tuple[Column, Column], hits: tuple[Column, Column], novelty: Column, recency: str = "as_coded") -> Column:
+    """Who goes first: higher scores. Each pair is a value and its group's maximum. `recency='age'` lets older entries go first instead of newer ones."""
+    part = lambda x: F.when(x[1] > 0, x[0] / x[1].cast("double")).otherwise(0.0)
     time = part(turn) if recency == "as_coded" else 1 - part(turn)
     return 0.3 * time + 0.4 * part(misses) - 0.2 * part(hits) + 0.1 * (1 - novelty)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import anchor_tokens, is_stopword_or_short, is_tier_one
+from lumenfold.functions.text import anchor_tokens, is_stopword_or_short, is_tier_one, typed_entities
+from lumenfold.operators.ordered import keyed_fold, kinds_of, running_totals, stage
 
 #: Below so many segments only structural tokens are anchors, and so many anchors a segment has at most.
 LEAST_SEGMENTS, MOST = 20, 10
@@ -14,8 +17,8 @@ LEAST_SEGMENTS, MOST = 20, 10
 def anchors(segments: DataFrame, session: str = "session_id", seq: str = "seq", text: str = "text", most: int = MOST) -> DataFrame:
     """(session, seq, anchors): structural tokens in order, then the session's rare ones, rarest first.
 
-    Rare is an idf of at least the median of the session's tokens. Counts are those of the batch: a
-    session's segments are taken together, as a running median has no set form.
+    Rare is an idf of at least the median of the session's tokens. Counts are those of the whole
+    session; `running_anchors` takes those up to each segment.
     """
     rows = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(text).alias("text"))
     first = F.array_distinct(F.filter(anchor_tokens(F.col("text"), lower=False), is_tier_one))
@@ -29,6 +32,81 @@ def anchors(segments: DataFrame, session: str = "session_id", seq: str = "seq",
     return both.select("session", "seq", F.slice(F.concat("first", F.coalesce("second", F.array().cast("array<string>"))), 1, most).alias("anchors"))
 
 
+class Middle:
+    """The median of document frequencies while they grow: counts by frequency, and a pointer that moves as they do."""
+
+    def __init__(self) -> None:
+        self.counts: dict[int, int] = {}
+        self.at, self.below, self.total = 1, 0, 0
+
+    def grow(self, to: int) -> None:
+        """A token now is in `to` segments, one more than before."""
+        if to > 1:
+            self.counts[to - 1] -= 1
+            if not self.counts[to - 1]:
+                del self.counts[to - 1]
+        else:
+            self.total += 1
+        self.counts[to] = self.counts.get(to, 0) + 1
+        self.below += (to < self.at) - (1 < to <= self.at)
+
+    def middle(self) -> tuple[int, int] | None:
+        """The frequencies in the middle, the same one twice for an odd number of tokens."""
+        if not self.total:
+            return None
+        low, high = (self.total + 1) // 2, self.total // 2 + 1
+        while self.below >= low:
+            self.at -= 1
+            self.below -= self.counts.get(self.at, 0)
+        while self.below + self.counts.get(self.at, 0) < low:
+            self.below += self.counts.get(self.at, 0)
+            self.at += 1
+        up = self.at
+        if self.below + self.counts[up] < high:
+            up += 1
+            while up not in self.counts:
+                up += 1
+        return self.at, up
+
+
+def running_anchors(segments: DataFrame, session: str = "session_id", seq: str = "seq", text: str = "text", most: int = MOST, least: int = LEAST_SEGMENTS) -> DataFrame:
+    """(session, seq, n, median_idf, anchors): the anchors of each segment as its session stands then, its own tokens counted.
+
+    First come typed entities and structural tokens. From the session's `least`-th segment on, tokens follow whose idf
+    is at least the median of all the session's tokens so far, the rarest first (of equals the smaller); a
+    new session begins anew. A token's frequency so far is a running total over ranges; the exact median follows from these
+    frequencies alone, in a fold that holds one count for each frequency. Repeated (session, seq) are not allowed.
+    """
+    rows = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(text).alias("text"))
+    none = F.array().cast("array<string>")
+    first = F.array_distinct(F.concat(F.transform(typed_entities(F.col("text")), lambda e: e["text"]), F.filter(anchor_tokens(F.col("text"), lower=False), is_tier_one)))
+    held = F.filter(F.array_distinct(anchor_tokens(F.col("text"))), lambda t: ~is_stopword_or_short(t) & ~is_tier_one(t))
+    made = stage(rows.select("session", "seq", F.coalesce(first, none).alias("first"), F.coalesce(held, none).alias("held")), "segments")
+    tokens = made.select("session", "seq", F.explode_outer("held").alias("tok")).where("tok IS NOT NULL")
+    counted = stage(running_totals(tokens, ["session", "tok"], ["seq"]).select("session", "seq", "tok", (F.col("before") + 1).cast("int").alias("df")), "frequencies")
+    levels = made.select("session", "seq").join(counted.groupBy("session", "seq").agg(F.collect_list("df").alias("levels")), ["session", "seq"], "left")
+
+    def start():
+        middle, seen = Middle(), [0]
+
+        def step(row: dict) -> list[tuple]:
+            seen[0] += 1
+            for df in row["levels"] or ():
+                middle.grow(df)
+            low, high = middle.middle() or (None, None)
+            idf = lambda df: math.log(1 + seen[0] / (1 + df))
+            return [(row["session"], row["seq"], seen[0], low, None if low is None else (idf(low) + idf(high)) / 2)]
+
+        return step
+
+    medians = stage(keyed_fold(levels, ["session"], ["seq"], start, f"{kinds_of(levels, 'session', 'seq')}, n long, middle int, median_idf double"), "medians")
+    # a frequency of at most the lower middle is an idf of at least the median: whole numbers, so equals are equal
+    rare = counted.join(medians.where(F.col("n") >= least), ["session", "seq"]).where("df <= middle")
+    second = rare.groupBy("session", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("second"))
+    out = made.join(medians, ["session", "seq"]).join(second, ["session", "seq"], "left")
+    return out.select("session", "seq", "n", "median_idf", F.slice(F.array_distinct(F.concat("first", F.coalesce("second", none))), 1, most).alias("anchors"))
+
+
 def token_roles(text: Column, held: Column) -> Column:
     """Each token with its role: anchor, stopword or compressible."""
     tokens = F.split(F.trim(text), r"\s+")

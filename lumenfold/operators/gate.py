@@ -2,7 +2,7 @@
 
 A segment is admitted if it has a key token that its session has not seen. Seen tokens
 only grow with admitted segments, and a segment with an unseen token always is
-admitted, so "unseen" is "first occurrence in the session": a window, without state.
+admitted, so "unseen" is "first occurrence in the session": a minimum, without state.
 Only the rest is compared with the last admitted vectors, one session at a time.
 """
 
@@ -12,22 +12,23 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import fidelity, text as T
 from lumenfold.operators.compress import ladder
+from lumenfold.operators.ordered import keyed_fold, kinds_of
 
 MEMORY = 50
 
 
 def first_seen(segments: DataFrame, session: str = "session_id", seq: str = "seq", text: str = "text") -> DataFrame:
-    """(session, seq, tokens, new_tokens) of each segment: its key tokens, and those that no earlier one has."""
-    tokens = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.explode_outer(T.key_tokens(F.col(text))).alias("token"))
-    first = F.min("seq").over(Window.partitionBy("session", "token"))
-    marked = tokens.withColumn("new", F.col("token").isNotNull() & (first == F.col("seq")))
-    return marked.groupBy("session", "seq").agg(F.count("token").alias("tokens"), F.count_if("new").alias("new_tokens"))
+    """(session, seq, tokens, new_tokens) of each segment: its key tokens, and those that no earlier one has. A token's first segment is a minimum, combined before the shuffle."""
+    rows = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), T.key_tokens(F.col(text)).alias("held"))
+    tokens = rows.select("session", "seq", F.explode_outer("held").alias("token")).where("token IS NOT NULL")
+    first = tokens.groupBy("session", "token").agg(F.min("seq").alias("seq")).groupBy("session", "seq").agg(F.count("*").alias("new_tokens"))
+    known = rows.select("session", "seq", F.coalesce(F.size("held"), F.lit(0)).cast("long").alias("tokens"))
+    return known.join(first, ["session", "seq"], "left").select("session", "seq", "tokens", F.coalesce("new_tokens", F.lit(0)).alias("new_tokens"))
 
 
 def admit(vectors: Iterable[np.ndarray | None], sure: Iterable[bool], threshold: float, recent: deque) -> Iterator[tuple[bool, float]]:
@@ -44,23 +45,28 @@ def admit(vectors: Iterable[np.ndarray | None], sure: Iterable[bool], threshold:
 
 
 def novelty_gate(segments: DataFrame, threshold: float = 0.05, session: str = "session_id", seq: str = "seq", text: str = "text", vector: str = "vector") -> DataFrame:
-    """(session, seq, novel, score). One session is handled in one place, as each decision follows from those before; sessions spread."""
+    """(session, seq, novel, score). Each decision follows from those before it: a session's sorted segments stream by, and the last admitted vectors are all that is held."""
     seen = first_seen(segments, session, seq, text)
     rows = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(vector).alias("vector")).join(seen, ["session", "seq"])
 
-    def run(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(batches)).sort_values("seq")
-        vectors = [None if v is None else np.asarray(v, dtype=float) for v in frame["vector"]]
-        # a segment without key tokens is admitted only where the session has seen none at all
-        none_yet = (frame["tokens"].shift(fill_value=0).cumsum() == 0) & (frame["tokens"] == 0)
-        out = list(admit(vectors, (frame["new_tokens"] > 0) | none_yet & (np.arange(len(frame)) == 0), threshold, deque(maxlen=MEMORY)))
-        yield pd.DataFrame({"session": frame["session"], "seq": frame["seq"], "novel": [y for y, _ in out], "score": [s for _, s in out]})
+    def start():
+        recent: deque = deque(maxlen=MEMORY)
+        begun: list[bool] = []
 
-    def whole(key, frame: pd.DataFrame) -> pd.DataFrame:
-        return next(run(key, iter([frame])))
+        def step(row: dict) -> list[tuple]:
+            v = None if row["vector"] is None else np.asarray(row["vector"], dtype=float)
+            # a segment without key tokens is admitted for that only where it is its session's first
+            sure = row["new_tokens"] > 0 or not begun and row["tokens"] == 0
+            begun[:] = [True]
+            return [(row["session"], row["seq"], *map(_plain, decision)) for decision in admit([v], [sure], threshold, recent)]
 
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy("session").applyInPandas(whole, f"session {kind['session']}, seq {kind['seq']}, novel boolean, score double")
+        return step
+
+    return keyed_fold(rows, ["session"], ["seq"], start, f"{kinds_of(rows, 'session', 'seq')}, novel boolean, score double")
+
+
+def _plain(x):
+    return x.item() if isinstance(x, np.generic) else x
 
 
 def ingest(segments: DataFrame, threshold: float = 0.05, schema_threshold: float = 0.5, session: str = "session_id", seq: str = "seq", text: str = "text", dim: int = 64, alpha: float = 0.5, references: int = 3) -> DataFrame:

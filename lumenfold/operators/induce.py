@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import key_style, nesting_depth, value_type
+from lumenfold.operators.ordered import stage
 
 _JSON_KEY, _PAIR = r'"([^"]+)"\s*:', r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*[:=]\s*([^,\n}]+)"
 
@@ -51,11 +52,6 @@ def close_sets(sets: DataFrame, most: float = 0.30) -> DataFrame:
     return met.withColumn("distance", jaccard_distance(F.col("fa"), F.col("fb"))).where(F.col("distance") <= most).select("a", "b", "distance")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df computed once, without its lineage: in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
-
-
 def families(artifacts: DataFrame, most: float = 0.30, least: int = 5, id_col: str = "artifact_id", text_col: str = "artifact", rounds: int = 30) -> DataFrame:
     """(id, family): single linkage, that is connected components of close field sets; families of `least` artifacts or more.
 
@@ -63,15 +59,15 @@ def families(artifacts: DataFrame, most: float = 0.30, least: int = 5, id_col: s
     then the label of its label, so chains shorten by doubling, until none changes. Labels that
     have not settled after `rounds` are an error. Work is by distinct sets, which are few beside the artifacts.
     """
-    sets = _cut(field_sets(artifacts, id_col, text_col))
+    sets = stage(field_sets(artifacts, id_col, text_col))
     links = close_sets(sets, most).select("a", "b")
-    both = _cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = sets.select(F.col("first").alias("node"), F.col("first").alias("family"))
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("family").alias("around"))
         near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("family").alias("was"), F.least("family", "around").alias("near"))
         up = labels.select(F.col("node").alias("near"), F.col("family").alias("up"))
-        moved = _cut(near.join(up, "near", "left").select("node", "was", F.least("near", "up").alias("family")))
+        moved = stage(near.join(up, "near", "left").select("node", "was", F.least("near", "up").alias("family")))
         labels = moved.select("node", "family")
         if moved.where("family <> was").isEmpty():
             break

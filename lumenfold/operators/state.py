@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import fidelity
 from lumenfold.functions.text import artifact_type, artifacts, typed_entities
+from lumenfold.operators.ordered import join_same, running_totals
 
 
 def fact_rows(segments: DataFrame, session: str, seq: str, text: str = "text", extractor=typed_entities) -> DataFrame:
@@ -51,13 +52,13 @@ def evict(entries: DataFrame, ceiling: int, by: list[str], seq: str = "seq", tok
     """Entries (seq, tokens, turn, misses, hits, novelty) with their score and whether they go.
 
     Entries go by score until the rest is within keep * ceiling: one goes if what is left
-    after all before it is still over that.
+    after all before it is still over that. Maxima are worked out by group and joined back, what comes before
+    an entry is a running total over ranges, so no group needs a task of its own.
     """
-    group = Window.partitionBy(*by)
-    scored = entries.withColumn("score", fidelity.eviction_score(F.col("turn"), F.col("misses"), F.col("hits"), F.col("novelty"), group, recency))
-    order = group.orderBy(F.desc("score"), seq).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum(tokens).over(group) - F.coalesce(F.sum(tokens).over(order), F.lit(0))
-    return scored.withColumn("evicted", left > keep * ceiling)
+    tops = entries.groupBy(*by).agg(*[F.max(c).alias(f"_{c}") for c in ("turn", "misses", "hits")])
+    scored = join_same(entries, tops, by).withColumn("score", fidelity.eviction_rank(*[(F.col(c), F.col(f"_{c}")) for c in ("turn", "misses", "hits")], F.col("novelty"), recency)).drop("_turn", "_misses", "_hits")
+    summed = running_totals(scored, by, [F.desc("score"), F.col(seq)], tokens)
+    return summed.withColumn("evicted", F.col("total") - F.col("before") > keep * ceiling).drop("before", "total")
 
 
 def contradictions(segments: DataFrame, session: str, seq: str, text: str = "text", vector: str = "vector", least: float = 0.28, most: float | None = None) -> DataFrame:
