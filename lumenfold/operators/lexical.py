@@ -2,45 +2,147 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import lexical_tokens
+from lumenfold.operators.ordered import stage
 
 K1, B = 1.5, 0.75
 
 
+#: Query terms that are looked for within a document's tokens; beyond so many, tokens and terms meet by a join.
+MOST_TERMS = 10_000
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(id, length, term, tf) of every document's terms; with `wanted` (term) only of these, before anything is shuffled."""
+    """(id, length, term, tf) of every document's terms; with `wanted` (term) only of these."""
+    return counted(matched(docs, id_col, text_col, wanted), wanted)
+
+
+def matched(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, length, terms): the number of a document's tokens and, of a bounded set of wanted terms, only the tokens among these."""
     tokens = docs.select(F.col(id_col).alias("id"), lexical_tokens(F.col(text_col)).alias("tokens"))
+    length = F.coalesce(F.size("tokens"), F.lit(0))
+    some = None if wanted is None else wanted.distinct().limit(MOST_TERMS + 1).collect()
+    if some is None or len(some) > MOST_TERMS:
+        return tokens.select("id", length.alias("length"), F.col("tokens").alias("terms"))
+    terms = [r["term"] for r in some]
+    return tokens.select("id", length.alias("length"), F.filter("tokens", lambda t: t.isin(terms) if terms else F.lit(False)).alias("terms"))
+
+
+def counted(rows: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """(id, length, term, tf) of what `matched` gives."""
     # the outer form: the inner one would work the tokens out once more, in a filter on them
-    long = tokens.select("id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
-    long = long if wanted is None else long.join(wanted, "term", "left_semi")
+    long = rows.select("id", "length", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    long = long if wanted is None else long.join(wanted.select("term").distinct(), "term", "left_semi")
     return long.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     """One row: n_docs, total_tokens, avg_length. Documents without tokens count as documents."""
-    return docs.select(F.size(lexical_tokens(F.col(text_col))).alias("n")).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_tokens"), F.avg("n").alias("avg_length"))
+    return _stats(docs.select(F.coalesce(F.size(lexical_tokens(F.col(text_col))), F.lit(0)).alias("length")))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_tokens"), F.avg("length").alias("avg_length"))
+
+
+def query_terms(queries: DataFrame, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, id, score): the k best documents of each query.
 
-    Only postings of query terms are counted and shuffled, so documents that share no term
-    are never scored; a repeated query term counts twice. Equal scores go to smaller ids.
+    Texts are read once: what is written of them is their length and the tokens that a query names, so only these are
+    shuffled, and documents that share no term are never scored. A repeated query term counts twice; equal scores go to smaller ids.
     """
-    terms = queries.select(F.col(query_id).alias("query_id"), F.explode(lexical_tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = query_terms(queries, query_id, query_text)
     wanted = terms.select("term").distinct()
-    hits = postings(docs, id_col, text_col, wanted)
+    rows = stage(matched(docs, id_col, text_col, wanted), "matched")
+    return ranked(terms, counted(rows, wanted), _stats(rows), k)
+
+
+def ranked(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, score) of query terms (query_id, term, times) and all postings of these terms (id, length, term, tf)."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, text_col)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     scored = hits.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part).join(terms, "term")  # stats is one row
     total = scored.groupBy("query_id", "id").agg(F.sum(F.col("part") * F.col("times")).alias("score")).where("score > 0")
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))  # sums differ in their last digits from run to run
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    out = total.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))  # sums differ in their last digits from run to run
+    return out.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+@dataclass(frozen=True)
+class Index:
+    """A ranked index: base postings sorted by term with the documents' lengths, and what changed since.
+
+    gone has the ids of base documents that are out; added and added_lengths what came in. A document is in the base or
+    added, not both. `compact` makes a new base of it.
+    """
+
+    base: DataFrame
+    lengths: DataFrame
+    added: DataFrame | None = None
+    added_lengths: DataFrame | None = None
+    gone: DataFrame | None = None
+
+    def _live(self, base: DataFrame, added: DataFrame | None) -> DataFrame:
+        kept = base if self.gone is None else base.join(self.gone, "id", "left_anti")
+        return kept if added is None else kept.unionByName(added)
+
+    def documents(self) -> DataFrame:
+        """(id, length) of what is indexed now."""
+        return self._live(self.lengths, self.added_lengths)
+
+    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(id, length, term, tf) now, of the wanted terms."""
+        cut = lambda rows: rows if wanted is None or rows is None else rows.join(wanted.select("term").distinct(), "term", "left_semi")
+        return self._live(cut(self.base), cut(self.added)).select("id", "length", "term", "tf")
+
+    def search(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
+        """As bm25_topk over the texts that are indexed now."""
+        terms = query_terms(queries, query_id, query_text)
+        return ranked(terms, stage(self.postings(terms), "hits"), _stats(self.documents()), k)
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Postings written in ranges of terms, so that a file's statistics tell which terms it can hold."""
+    return stage(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """An index of documents; rows that repeat an id are one document, the least text. Null ids take no part."""
+    once = stage(matched(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(text_col).alias(text_col)), id_col, text_col), "tokens")
+    return Index(_sorted(counted(once, None)), once.select("id", "length"))
+
+
+def change(index: Index, changes: DataFrame, at: str = "at", id_col: str = "id", op: str = "op", text_col: str = "text") -> Index:
+    """The index after changes in the order of `at`: op 'add' of an id that is indexed is a no-op, 'remove' takes it out; a later 'add' puts it in again.
+
+    What the order comes to is found by aggregates: an id's last removal, and the first addition after it (or at all). Only
+    postings of what is added are made, the base is left as it is. Two changes of an id at one time are not allowed.
+    """
+    rows = changes.select(F.col(id_col).alias("id"), F.col(at).alias("at"), F.col(op).alias("op"), F.col(text_col).alias("text")).where("id IS NOT NULL AND op IN ('add', 'remove')")
+    last = rows.groupBy("id").agg(F.max(F.when(F.col("op") == "remove", F.col("at"))).alias("out"))
+    came = rows.join(last, "id").where((F.col("op") == "add") & (F.col("out").isNull() | (F.col("at") > F.col("out")))).groupBy("id").agg(F.min_by("text", "at").alias("text"))
+    out = stage(last.where("out IS NOT NULL").select("id"), "gone")
+    live = index.documents().join(out, "id", "left_anti").select("id")
+    fresh = stage(matched(came.join(live, "id", "left_anti"), "id", "text"), "tokens")
+    keep = lambda rows: None if rows is None else rows.join(out, "id", "left_anti")
+    both = lambda one, two: stage(two if one is None else keep(one).unionByName(two), "added")
+    gone = out.join(index.lengths.select("id"), "id", "left_semi")
+    gone = stage(gone if index.gone is None else gone.unionByName(index.gone).distinct(), "gone")
+    return Index(index.base, index.lengths, both(index.added, counted(fresh, None)), both(index.added_lengths, fresh.select("id", "length")), gone)
+
+
+def compact(index: Index) -> Index:
+    """The same index with its changes worked into a new base."""
+    return Index(_sorted(index.postings()), stage(index.documents(), "lengths"))
 
 
 def contains_any(docs: DataFrame, words: list[str], text_col: str = "text") -> DataFrame:
@@ -55,9 +157,9 @@ def search(docs: DataFrame, query: str, limit: int = 10, id_col: str = "doc_id",
     """Ranked search, containment where that finds nothing, and else the first rows; within a session unless none is given."""
     scope = docs.where(F.col(session_col) == session) if session_col and session is not None else docs
     spark = docs.sparkSession
-    ranked = bm25_topk(spark.createDataFrame([(0, query)], "query_id int, query string"), scope, limit, id_col=id_col, text_col=text_col).select("rank", "id", "score")
+    best = bm25_topk(spark.createDataFrame([(0, query)], "query_id int, query string"), scope, limit, id_col=id_col, text_col=text_col).select("rank", "id", "score")
     first = lambda rows: rows.select(F.col(id_col).alias("id")).orderBy("id").limit(limit)
-    tries = [ranked.select(F.lit(0).alias("try"), "rank", "id", "score")]
+    tries = [best.select(F.lit(0).alias("try"), "rank", "id", "score")]
     for i, rows in enumerate((first(contains_any(scope, query.split(), text_col)), first(scope)), 1):
         tries.append(rows.select(F.lit(i).alias("try"), F.row_number().over(Window.orderBy("id")).alias("rank"), "id", F.lit(0.0).alias("score")))  # `limit` rows at most
     found = tries[0].unionByName(tries[1]).unionByName(tries[2])  # a few rows

@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.fidelity import dot
 
-#: Queries in a block; every vector meets every block once, by an equi-join on the block.
-BLOCK = 512
+#: Queries in a block, and vectors in a chunk: each chunk meets each block in one bounded task.
+BLOCK, CHUNK = 512, 8_192
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k highest scores of a row, of equals the earlier; -inf takes no part."""
+    able = np.flatnonzero(scores > -np.inf)
+    if len(able) > k:
+        able = able[scores[able] >= np.partition(scores[able], len(able) - k)[len(able) - k]]
+    return able[np.argsort(-scores[able], kind="stable")][:k]
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id", query_vector: str = "vector", id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = True) -> DataFrame:
-    """(query_id, rank, id, score): exact, by inner product of unit vectors; equal scores go to smaller ids."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"), F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("_block"))
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
-    pairs = v.join(q, "_block").where(F.col("query_id") != F.col("id")) if skip_self else v.join(q, "_block")
-    scored = pairs.select("query_id", "id", dot(F.col("_q"), F.col("_v")).alias("score"))
+    """(query_id, rank, id, score): exact, by inner product of unit vectors; equal scores (to nine places) go to smaller ids.
+
+    Vectors lie in chunks, queries in blocks; a task multiplies one chunk with one block and keeps k a query, so no
+    row stands for a pair; what is kept of all chunks is ranked again. Null, empty and other-sized vectors find nothing.
+    """
+    named = lambda df, i, v, kind: df.where(F.col(v).isNotNull() & F.col(i).isNotNull() & (F.size(v) > 0)).select(F.col(i).alias(kind), F.col(v).cast("array<double>").alias("v"), F.size(v).alias("size"))
+    asked, rows = named(queries, query_id, query_vector, "query_id"), named(vectors, id_col, vector_col, "id")
+    blocks, chunks = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // CHUNK))
+
+    def dealt(df: DataFrame, own: str, many: int, other: str, count: int) -> DataFrame:
+        mixed = F.pmod(F.xxhash64(df.columns[0]), F.lit(many)).cast("int")
+        return df.select("*", mixed.alias(own), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(other))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = {"query_id": left.schema.field("query_id").type, "id": right.schema.field("id").type}
+        out: list[tuple] = []
+        if len(left) and len(right):
+            right = right.take(pc.sort_indices(right.column("id")))
+            scores = np.round(_matrix(left.column("v"), len(left)) @ _matrix(right.column("v"), len(right)).T, 12)
+            asked_ids, ids = left.column("query_id").to_pylist(), right.column("id").to_pylist()
+            places: dict = {}
+            for n, i in enumerate(ids if skip_self else ()):
+                places.setdefault(i, []).append(n)
+            ranked = np.round(scores, 9)
+            for n, i in enumerate(asked_ids):
+                ranked[n, places.get(i, [])] = -np.inf
+                out += [(i, ids[at], float(scores[n, at])) for at in _best(ranked[n], k)]
+        columns = list(zip(*out, strict=True)) or [(), (), ()]
+        return pa.table({"query_id": pa.array(columns[0], kinds["query_id"]), "id": pa.array(columns[1], kinds["id"]), "score": pa.array(columns[2], pa.float64())})
+
+    keys = ["_block", "_chunk", "size"]
+    left, right = dealt(asked, "_block", blocks, "_chunk", chunks), dealt(rows, "_chunk", chunks, "_block", blocks)
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

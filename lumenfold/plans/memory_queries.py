@@ -311,11 +311,13 @@ def message_counts(spark, d):
     return read(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("messages"))
 
 
-@query("PIVOT (SELECT event_type, user_id % 5 AS session, value FROM events) ON event_type USING round(avg(value), 5) GROUP BY session")
+EVENT_KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT user_id % 5 AS session, " + ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{k}'), 5) AS \"{k}\"" for k in EVENT_KINDS) + " FROM events GROUP BY 1")
 def probe_table(spark, d):
     rows = read(spark, d, "events").select((F.col("user_id") % 5).alias("session"), "event_type", "value")
-    kinds = sorted(r[0] for r in rows.select("event_type").distinct().limit(100).collect())
-    return metrics.probe_table(rows, "session", "event_type", "value", kinds).select("session", *[F.round(k, 5).alias(k) for k in kinds])
+    return metrics.probe_table(rows, "session", "event_type", "value", EVENT_KINDS).select("session", *[F.round(k, 5).alias(k) for k in EVENT_KINDS])
 
 
 # write path ---------------------------------------------------------------

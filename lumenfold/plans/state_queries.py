@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lumenfold.functions import fidelity as V
 from lumenfold.functions import patterns as P
 from lumenfold.functions import text as T
-from lumenfold.operators import anchors, graph, reuse, rewrites
-from lumenfold.plans.catalogue import S_DOT, S_TIER, q, query, r6, read
-from lumenfold.plans.memory_queries import TYPED
+from lumenfold.operators import anchors, graph, lexical, memory, reuse, rewrites
+from lumenfold.operators.ordered import stage
+from lumenfold.plans.catalogue import S_TIER, q, query, r6, read
+from lumenfold.plans.memory_queries import S_T, S_UNIT, TYPED, s_vector
 
 # rewrites -----------------------------------------------------------------
 
@@ -107,3 +108,56 @@ SELECT s.seq AS doc_id, s.n, round(m.median_idf, 6) AS median_idf, coalesce(stri
 def running_anchors(spark, d):
     out = anchors.running_anchors(read(spark, d, "documents"), "source", "doc_id")
     return out.select(F.col("seq").alias("doc_id"), "n", r6("median_idf").alias("median_idf"), F.array_join("anchors", "|").alias("anchors"))
+
+
+# retrieval ----------------------------------------------------------------
+
+ROUTES = ["hot_cache", "enriched", "cold_storage"]
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {s_vector('text')} AS c FROM documents), e AS (SELECT item_id AS query_id, {s_vector('text')} AS c FROM benchmark),
+dn AS (SELECT id, {S_UNIT('c')} AS v FROM d WHERE c IS NOT NULL), en AS (SELECT query_id, {S_UNIT('c')} AS v FROM e WHERE c IS NOT NULL),
+near AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(en.v, dn.v), 9) DESC, id) AS rank FROM dn, en),
+t AS (SELECT doc_id, {S_T} AS toks FROM documents), p AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM t),
+w AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({S_T}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM t),
+s AS (SELECT query_id, doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM tf JOIN df USING (term) JOIN w USING (term), n GROUP BY ALL),
+words AS (SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0),
+x AS (SELECT query_id, id, 0 AS part, rank FROM near WHERE rank <= 3 UNION ALL SELECT query_id, id, 1, rank FROM words WHERE rank <= 3),
+f AS (SELECT query_id, id, min((part, rank)) AS place FROM x GROUP BY ALL), seeds AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS rank FROM f),
+hot AS (SELECT query_id, id FROM near WHERE rank <= 3),
+calls AS (SELECT query_id, CASE WHEN bool_or(h.id IS NULL) THEN 3 ELSE 1 END AS step, row_number() OVER (ORDER BY query_id) - 1 AS nth, count(*) OVER () AS calls FROM seeds LEFT JOIN hot h USING (query_id, id) GROUP BY query_id HAVING count(*) > 1),
+edges AS (SELECT a.id AS a, b.id AS b, sum(step) AS c, max(CAST(floor(nth / 50) AS BIGINT)) AS last, max(CAST(floor(calls / 50) AS BIGINT)) AS decays FROM seeds a JOIN seeds b ON a.query_id = b.query_id AND a.id < b.id JOIN calls ON calls.query_id = a.query_id GROUP BY a.id, b.id),
+g AS (SELECT a, b, c / (c + 2.0::DOUBLE) * pow(0.95::DOUBLE, decays - last) AS weight FROM edges), both_ways AS (SELECT a AS node, b AS neighbor, weight FROM g UNION ALL SELECT b, a, weight FROM g),
+steps AS (SELECT node, neighbor, row_number() OVER (PARTITION BY node ORDER BY weight DESC, neighbor) AS step FROM both_ways WHERE weight >= 0.2),
+y AS (SELECT query_id, id, 0 AS part, rank FROM seeds UNION ALL SELECT query_id, neighbor, 1, rank * 10 + step FROM seeds JOIN steps ON node = id WHERE rank <= 5 AND step <= 3),
+z AS (SELECT query_id, id, min((part, rank)) AS place FROM y GROUP BY ALL), u AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS rank FROM z)
+SELECT query_id, route, CAST(rank AS INT) AS rank, id, how FROM (
+  SELECT query_id, 'hot_cache' AS route, rank, id, 'hot' AS how FROM near WHERE rank <= 3 AND query_id % 3 = 0
+  UNION ALL SELECT u.query_id, 'enriched', u.rank, u.id, CASE WHEN h.id IS NULL THEN 'cold' ELSE 'hot' END FROM u LEFT JOIN hot h USING (query_id, id) WHERE u.rank <= 8 AND query_id % 3 = 1
+  UNION ALL SELECT query_id, 'cold_storage', rank, id, 'ranked' FROM words WHERE rank <= 8 AND query_id % 3 = 2)""")
+def retrieval_loop(spark, d):
+    entries = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", V.hashed_encoding(F.col("text")).alias("vector"))
+    entries = stage(entries, "entries")
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), V.hashed_encoding(F.col("text")).alias("vector"))
+    _, record = memory.retrieve_batch(asked.withColumn("route", F.lit("enriched")), entries, entries, None, 8, 3)
+    learnt = stage(graph.replay(record, cold="cold"), "graph")
+    route = F.get(F.array(*[F.lit(r) for r in ROUTES]), (F.col("query_id") % 3).cast("int"))
+    found, _ = memory.retrieve_batch(asked.withColumn("route", route), entries, entries, learnt, 8, 3)
+    return found
+
+
+@query(f"""WITH c AS (SELECT conv_id AS id, turn AS place, CASE WHEN role = 'user' OR turn = 0 THEN 'add' ELSE 'remove' END AS op, text FROM conversations),
+l AS (SELECT id, max(place) FILTER (WHERE op = 'remove') AS gone FROM c GROUP BY id), a AS (SELECT id, arg_min(text, place) AS text FROM c JOIN l USING (id) WHERE op = 'add' AND (gone IS NULL OR place > gone) GROUP BY id),
+docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT id FROM l WHERE gone IS NOT NULL) UNION ALL SELECT id, text FROM a WHERE id NOT IN (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT id FROM l WHERE gone IS NOT NULL))),
+t AS (SELECT id, {S_T} AS toks FROM docs), p AS (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM t),
+w AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({S_T}) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM t),
+s AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM tf JOIN df USING (term) JOIN w USING (term), n GROUP BY ALL),
+r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE score > 0)
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def changed_index(spark, d):
+    changes = read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("at"), F.when((F.col("role") == "user") | (F.col("turn") == 0), "add").otherwise("remove").alias("op"), "text")
+    now = lexical.change(lexical.build(read(spark, d, "documents")), changes)
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return now.search(asked, 5).withColumn("score", r6("score"))
