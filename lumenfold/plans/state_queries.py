@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from lumenfold.functions import fidelity as V
 from lumenfold.functions import patterns as P
 from lumenfold.functions import text as T
-from lumenfold.operators import anchors, graph, lexical, memory, reuse, rewrites
+from lumenfold.operators import anchors, graph, lexical, memory, pairs, reuse, rewrites
 from lumenfold.operators.ordered import stage
 from lumenfold.plans.catalogue import S_TIER, q, query, r6, read
 from lumenfold.plans.memory_queries import S_T, S_UNIT, TYPED, s_vector
+from lumenfold.streaming import history
 
 # rewrites -----------------------------------------------------------------
 
@@ -161,3 +162,49 @@ def changed_index(spark, d):
     now = lexical.change(lexical.build(read(spark, d, "documents")), changes)
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return now.search(asked, 5).withColumn("score", r6("score"))
+
+
+# training pairs and viewers -----------------------------------------------
+
+S_WS = "[x for x in regexp_split_to_array({}, '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\p{{Z}}]+') if x <> '']"
+
+
+@query(f"""WITH r AS (SELECT conv_id * 100000 + turn AS id, text AS original, {S_WS.format('text')} AS w FROM conversations), p AS (SELECT *, unnest(range(3)) AS copy FROM r),
+c AS (SELECT 'head' AS strategy, 'faithful' AS label, 0.9::DOUBLE AS most, id, original, w, md5('7|head|' || id || '|' || copy) AS lot, 'head' AS kind FROM p UNION ALL SELECT 'part', 'hard_negative', 0.6::DOUBLE, id, original, w, md5('7|part|' || id || '|' || copy), 'part' FROM p),
+m AS (SELECT *, CASE kind WHEN 'head' THEN array_to_string(w[1:CAST(ceil(len(w) * 0.7) AS INT)], ' ') ELSE array_to_string(w[1 + ('0x' || substr(lot, 1, 8))::BIGINT % 4:1 + ('0x' || substr(lot, 1, 8))::BIGINT % 4 + 3], ' ') END AS compressed FROM c),
+a AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY lot) AS n FROM m WHERE compressed <> original AND len({S_WS.format('compressed')}) >= 3), t AS (SELECT * FROM a WHERE n <= 160),
+v AS (SELECT *, {s_vector('original')} AS va, {s_vector('compressed')} AS vb FROM t),
+k AS (SELECT *, coalesce(list_dot_product(va, vb) / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb)), 0.0::DOUBLE) AS cosine FROM v),
+f AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY lot) AS rank FROM k WHERE round(cosine, 9) <= most)
+SELECT strategy, label, CAST(rank AS INT) AS rank, id, md5(compressed) AS digest, round(cosine, 6) AS cosine FROM f WHERE rank <= 40""")
+def training_pairs(spark, d):
+    rows = read(spark, d, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+    words = lambda t: T.whitespace_tokens(t)
+    head = lambda t, pick: F.array_join(F.slice(words(t), F.lit(1), F.ceil(F.size(words(t)) * 0.7).cast("int")), " ")
+    part = lambda t, pick: F.array_join(F.slice(words(t), (F.lit(1) + pick % 4).cast("int"), F.lit(4)), " ")
+    made = pairs.training_pairs(rows, {"head": (head, "faithful", 0.9), "part": (part, "hard_negative", 0.6)}, 40, V.hashed_encoding, copies=3)
+    return made.select("strategy", "label", "rank", "id", F.md5("compressed").alias("digest"), r6("cosine").alias("cosine"))
+
+
+@query(f"""WITH r AS (SELECT source AS session, doc_id AS seq, text, {S_WS.format('text')} AS w FROM documents), n AS (SELECT session, count(*) AS lines FROM r GROUP BY session HAVING count(*) > 4),
+d AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY md5('7|' || session || '|' || seq), seq) AS rank FROM r JOIN n USING (session)), e AS (SELECT *, CAST(floor((rank - 1) / 2) AS BIGINT) AS pair FROM d WHERE rank <= 20),
+g AS (SELECT a.session, a.text AS a, b.text AS b FROM e a JOIN e b ON a.session = b.session AND a.pair = b.pair AND a.rank < b.rank WHERE a.pair < least(10, CAST(floor(a.lines / 2) AS BIGINT)) AND a.text <> b.text)
+SELECT session, 'positive' AS label, md5(array_to_string(w[1:CAST(floor(len(w) / 2) AS INT)], ' ')) AS compressed, md5(text) AS original FROM r WHERE len(w) > 12
+UNION ALL SELECT session, 'negative', md5(substr(a, 1, 100)), md5(substr(b, 1, 300)) FROM g""")
+def session_pairs(spark, d):
+    made = pairs.session_pairs(read(spark, d, "documents"), "source", "doc_id")
+    return made.select("session", "label", F.md5("compressed").alias("compressed"), F.md5("original").alias("original"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS v FROM embeddings), p AS (SELECT a.vec_id AS id, b.vec_id AS positive, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+l AS (SELECT vec_id AS id, row_number() OVER (ORDER BY md5('7|' || vec_id), vec_id) - 1 AS place, count(*) OVER () AS total FROM e)
+SELECT p.id, p.positive, CASE WHEN a.id <> p.positive THEN a.id ELSE b.id END AS negative FROM p JOIN l USING (id) JOIN l a ON a.place = (l.place + 1) % l.total JOIN l b ON b.place = (l.place + 2) % l.total WHERE rank = 1""")
+def vector_triplets(spark, d):
+    return pairs.triplets(read(spark, d, "embeddings")).select("id", "positive", "negative")
+
+
+@query(f"""WITH t AS (SELECT conv_id AS session, turn AS seq, [tok for tok in regexp_extract_all(text, {q(P.ANCHOR_TOKEN)}) if length(tok) >= 6] AS held, {S_WS.format('text')} AS w FROM conversations),
+x AS (SELECT session, seq, held, unnest(w) AS token, unnest(range(len(w))) AS pos FROM t) SELECT session, seq, CAST(pos AS INT) AS pos, token, list_contains(held, trim(token, '.,;:!?')) AS is_anchor FROM x""")
+def token_events(spark, d):
+    held = F.filter(T.anchor_tokens(F.col("text"), lower=False), lambda t: F.char_length(t) >= 6)
+    return history.token_events(read(spark, d, "conversations").withColumn("anchors", held), "conv_id", "turn")
