@@ -133,30 +133,44 @@ def retrieve_batch(questions: DataFrame, hot: DataFrame, cold: DataFrame, graph:
     neighbours of the first seeds, and texts that are not among the nearest come from cold rows (id, text); `cold_storage` searches cold
     rows. What finds nothing falls to cold storage. how is hot or cold, and ranked, contains or first of a cold search. Enriched questions
     record their first k seeds together, as cold calls if any text came from cold rows: `graph.replay` makes the next batch's graph of it.
+    Questions may have a depth of their own, in a column k.
     """
-    wide = wide or 2 * k
-    by = lambda *names: questions.where(F.col("route").isin(*names))
-    near = stage(cosine_topk(by("hot_cache", "enriched"), hot, wide, query_vector="vector", id_col="id", vector_col="vector", skip_self=False).join(questions.select("query_id", "route"), "query_id"), "near")
-    words = bm25_topk(by("enriched"), hot, wide, id_col="id")
-    first = stage(ordered_union([near.where("route = 'enriched'"), words], 2 * wide), "seeds")
+    own = F.col("k") if "k" in questions.columns else F.lit(k)
+    asked = questions.select("query_id", "query", "vector", "route", own.cast("int").alias("k"))
+    depths = asked.select("query_id", "route", "k", (F.lit(wide) if wide else 2 * F.col("k")).alias("wide"))
+    most = (asked.agg(F.max("k")).first()[0] or 1) if "k" in questions.columns else k
+    by = lambda *names: asked.where(F.col("route").isin(*names))
+    deep = lambda rows, col: rows.join(depths, "query_id").where(F.col("rank") <= F.col(col))
+    near = stage(deep(cosine_topk(by("hot_cache", "enriched"), hot, wide or 2 * most, query_vector="vector", id_col="id", vector_col="vector", skip_self=False), "wide"), "near")
+    words = deep(bm25_topk(by("enriched"), hot, wide or 2 * most, id_col="id"), "wide")
+    first = stage(ordered_union([near.where("route = 'enriched'"), words], 2 * (wide or 2 * most)), "seeds")
     parts = [first]
     if graph is not None:
         base = first.where(F.col("rank") <= seeds)
         steps = G.neighbors(graph, base, 3, 0.2, "id").withColumnRenamed("rank", "step")
         parts.append(base.join(steps, F.col("id") == F.col("node")).select("query_id", (F.col("rank") * 10 + F.col("step")).alias("rank"), F.col("neighbor").alias("id")))
     at_hand = near.select("query_id", "id", F.lit("hot").alias("how"))
-    taken = ordered_union(parts, k).join(at_hand, ["query_id", "id"], "left")
+    taken = deep(ordered_union(parts, most), "k").select("query_id", "rank", "id").join(at_hand, ["query_id", "id"], "left")
     known = taken.join(cold.select("id").distinct().withColumn("_cold", F.lit("cold")), "id", "left").withColumn("how", F.coalesce("how", "_cold")).where("how IS NOT NULL")
     mixed = stage(known.select("query_id", F.lit("enriched").alias("route"), "rank", "id", "how"), "mixed")
-    direct = near.where((F.col("route") == "hot_cache") & (F.col("rank") <= k)).select("query_id", "route", "rank", "id", F.lit("hot").alias("how"))
-    found = direct.unionByName(mixed)
-    rest = stage(by("cold_storage").unionByName(by("hot_cache", "enriched").join(found.select("query_id").distinct(), "query_id", "left_anti")).select("query_id", "query", "route"), "rest")
-    fallen = cold_fallback(rest.select("query_id", "query"), cold, k, "id").join(rest.select("query_id", "route"), "query_id").select("query_id", "route", "rank", "id", "how")
+    found = near.where((F.col("route") == "hot_cache") & (F.col("rank") <= F.col("k"))).select("query_id", "route", "rank", "id", F.lit("hot").alias("how")).unionByName(mixed)
+    rest = stage(by("cold_storage").unionByName(by("hot_cache", "enriched").join(found.select("query_id").distinct(), "query_id", "left_anti")).select("query_id", "query"), "rest")
+    fallen = deep(cold_fallback(rest, cold, most, "id"), "k").select("query_id", "route", "rank", "id", "how")
     fetched = mixed.groupBy("query_id").agg(F.max(F.col("how") == "cold").alias("cold"))
-    record = first.where(F.col("rank") <= k).join(fetched, "query_id", "left").select(F.col("query_id").alias("call"), F.col("id").alias("node"), F.coalesce("cold", F.lit(False)).alias("cold"))
+    record = deep(first, "k").join(fetched, "query_id", "left").select(F.col("query_id").alias("call"), F.col("id").alias("node"), F.coalesce("cold", F.lit(False)).alias("cold"))
     return found.unionByName(fallen), record
 
 
+def finder(hot: DataFrame, cold: DataFrame, graph: DataFrame | None) -> Callable[[DataFrame, str, int], DataFrame]:
+    """What `retry` asks for: find(queries, route, k), where each route really is another search."""
+
+    def find(queries: DataFrame, route: str, k: int) -> DataFrame:
+        asked = queries.select("query_id", "query", "vector", F.lit(route).alias("route"))
+        return retrieve_batch(asked, hot, cold, graph, k)[0].select("query_id", "rank", "id")
+
+    return find
+
+
 def retry(queries: DataFrame, find: Callable[[DataFrame, str, int], DataFrame], confidence: Callable[[DataFrame], DataFrame], k: int, route: str, threshold: float = 0.7, attempts: int = 3, most_k: int = 8) -> DataFrame:
     """(query_id, attempt, route, k, confidence): retrieve, and again with the next route and twice the depth while confidence is low.
 
