@@ -52,7 +52,7 @@ def test_queries_are_registered():
     from lumenfold.llm import queries
 
     names = queries.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
