@@ -142,6 +142,21 @@ def test_whitening_as_at_once(spark, tile):
     assert {r["identity_error"] for r in got} == {got[0]["identity_error"]} and got[0]["identity_error"] < 1e-9
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_of_whitening(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    place = {r["vec_id"]: n for n, r in enumerate(rows)}
+    deviation, white, share = slow_whitening([r["embedding"] for r in rows], 32)
+    got = queries.op12_embedding_whitening(spark, SF).collect()
+    assert len(got) == 32 * len(rows) and {r["n"] for r in got} == {len(rows)}
+    out = np.zeros(white.shape)
+    for r in got:
+        out[place[r["vec_id"]], r["component"] - 1] = r["whitened"]
+        assert r["deviation"] == deviation[place[r["vec_id"]]] and abs(r["explained"] / share[r["component"] - 1] - 1) < 1e-9 and r["identity_error"] < 1e-9
+    signs = np.sign((out * white).sum(0))
+    assert np.abs(out * signs - white).max() < 1e-6
+
+
 def test_whitening_of_awkward_tables(spark):
     make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert whitening.whiten(make([(1, None)])).collect() == []
