@@ -61,23 +61,6 @@ def escalate(questions: DataFrame, stages: list[DataFrame], threshold: float = 0
     return questions.join(best, "question_id").select("question_id", F.coalesce("good", "last").alias("x")).select("question_id", "x.*")
 
 
-def merge_results(precise: DataFrame, context: DataFrame, most: int = 1500) -> DataFrame:
-    """(seq, label, text): precise results before context, each seq once, while the words stay within `most`."""
-    both = precise.select("seq", "text", F.lit(0).alias("part")).unionByName(context.select("seq", "text", F.lit(1).alias("part")))
-    once = both.groupBy("seq").agg(F.min_by(F.struct("part", "text"), "part").alias("x")).select("seq", "x.*")
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the results of one question
-    held = once.withColumn("words", F.sum(F.size(F.split(F.trim("text"), r"\s+"))).over(order)).where(F.col("words") <= most)
-    return held.select("seq", F.when(F.col("part") == 0, "PRECISE").otherwise("CONTEXT").alias("label"), "text")
-
-
-def reuse(questions: DataFrame, cached: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(query_id, id): the cached context of the same question id, else of the most similar one over the threshold."""
-    same = questions.join(cached.select(F.col("id"), F.col("question_id").alias("_same")), F.col("query_id") == F.col("_same")).select("query_id", "id", F.lit(1.0).alias("score"))
-    near = cosine_topk(questions, cached, 1, query_vector="vector", id_col="id", vector_col="vector", skip_self=False).where(F.col("score") > threshold).select("query_id", "id", "score")
-    rest = near.join(same.select("query_id"), "query_id", "left_anti")
-    return same.unionByName(rest)
-
-
 def hot_trust(used: DataFrame, scores: DataFrame, question: str = "question_id", entry: str = "id") -> DataFrame:
     """(question, trust): one less the mean R_build of the entries an answer used; 1 if it used none that is known."""
     joined = used.select(F.col(question).alias("question"), F.col(entry).alias("id")).distinct().join(scores.select("id", "r_build"), "id", "left")
