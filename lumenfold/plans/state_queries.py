@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import fidelity as V
 from lumenfold.functions import patterns as P
+from lumenfold.functions import predictor
 from lumenfold.functions import text as T
 from lumenfold.operators import anchors, graph, lexical, memory, pairs, reuse, rewrites
 from lumenfold.operators.ordered import stage
@@ -208,3 +209,17 @@ x AS (SELECT session, seq, held, unnest(w) AS token, unnest(range(len(w))) AS po
 def token_events(spark, d):
     held = F.filter(T.anchor_tokens(F.col("text"), lower=False), lambda t: F.char_length(t) >= 6)
     return history.token_events(read(spark, d, "conversations").withColumn("anchors", held), "conv_id", "turn")
+
+
+# a predictor --------------------------------------------------------------
+
+
+@query()
+def predicted_r_build(spark, d):
+    """How near an untrained head comes to a document's vector from that of its shortened text, as part of the build's score."""
+    text = F.col("text")
+    rows = read(spark, d, "documents").select("doc_id", "text", T.truncate(text, 0.5).alias("short"))
+    rows = rows.select("doc_id", V.hashed_encoding(text).alias("v"), V.hashed_encoding(F.col("short")).alias("s"), T.schema_gap_pair(text, F.col("short"), "deployment").alias("gap"))
+    predict = predictor.predictor(predictor.fresh(spark, 64, 64))
+    scored = rows.select("doc_id", "gap", V.dot(F.col("v"), F.col("s")).alias("cosine"), V.dot(F.col("v"), predict(F.col("s"))).alias("predicted"))
+    return scored.select("doc_id", r6("cosine").alias("cosine"), r6("predicted").alias("predicted"), r6(V.r_build(F.col("cosine"), F.col("gap"), F.col("predicted"), (0.5, 0.3, 0.2))).alias("r_build"))
