@@ -1,7 +1,9 @@
 """BPE, HTML, exact search, quality and language: against libraries, brute force and held-out rows."""
 
 import base64
+import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -70,15 +72,88 @@ def test_html_template_is_what_all_pages_repeat(spark):
     assert not any("Written for" in text for text in got.values())  # on half of the pages, but always at its path
 
 
+def _outline(page):
+    return html_wrapper.outlined(html_wrapper.parse(page))[0]
+
+
 def test_tree_matching_pairs_all_children():
-    flat = "<div>" + "<i>1</i><b>2</b>" * 150 + "<p>3</p></div>"
-    assert html_wrapper.tree_matching(html_wrapper.parse(flat), html_wrapper.parse(flat))[0] == 303
+    flat = _outline("<div>" + "<p>1</p><h2>2</h2>" * 150 + "<ul><li>3</ul></div>")
+    score, pairs = html_wrapper.tree_matching(flat, flat)
+    assert score == 2 * 304 and len(pairs) == 303
 
 
 def test_tree_matching_pairs_in_order():
-    a, b = html_wrapper.parse("<div><p>1</p><b>2</b></div>"), html_wrapper.parse("<div><i>0</i><p>3</p></div>")
+    a, b = _outline("<div><p>1</p><h2>2</h2></div>"), _outline("<div><h3>0</h3><p>3</p></div>")
     score, pairs = html_wrapper.tree_matching(a, b)
-    assert score == 3 and [x.tag for x, _ in pairs] == ["html", "div", "p"]
+    assert score == 6 and [(a.labels[x[0]], b.labels[y[0]]) for x, y in pairs] == [("div", "div"), ("p", "p")]
+    # containers with other names are partners where their children are, what lies below a lone element keeps its label
+    a, b = _outline('<div class="x"><h1>1</h1><p>2</p></div><div class="y">3</div>'), _outline('<div class="z"><h1>1</h1><p>2</p><pre>4</pre></div><div class="q">3</div>')
+    assert html_wrapper.places(a, b) == ["html@0", "html@0/div.x@1", "html@0/div.x@1/h#@2", "html@0/div.x@1/p@3", "html@0/div.x@1/pre", "html@0/div.q"]
+
+
+def _most(a, b, x=0, y=0):
+    """Brute force: the best over all ways to leave children out."""
+    one, other = a.labels[x], b.labels[y]
+    left, right = a.kids(x), b.kids(y)
+    if one.split(".")[0] != other.split(".")[0] or one != other and not (left and right):
+        return 0
+    best = 0
+    for n in range(1, min(len(left), len(right)) + 1):
+        for ls in itertools.combinations(left, n):
+            for rs in itertools.combinations(right, n):
+                best = max(best, sum(_most(a, b, p[0], q[0]) for p, q in zip(ls, rs, strict=True)))
+    if one != other and best < html_wrapper.ALIKE * (max(a.size(x), b.size(y)) - 1) * 2:
+        return 0
+    return best + (2 if one == other else 1)
+
+
+def test_tree_matching_as_brute_force():
+    rng = random.Random(5)
+
+    def tree(depth):
+        tag = rng.choice(["div", "section"]) + rng.choice(["", ".a", ".b"])
+        if not depth or rng.random() < 0.3:
+            tag = rng.choice(["p", "h2", "pre", tag])
+            return f'<{tag.split(".")[0]} class="{tag.partition(".")[2]}">t</{tag.split(".")[0]}>'
+        return f'<{tag.split(".")[0]} class="{tag.partition(".")[2]}">{"".join(tree(depth - 1) for _ in range(rng.randint(1, 3)))}</{tag.split(".")[0]}>'
+
+    for _ in range(150):
+        a, b = _outline(tree(2) + tree(3)), _outline(tree(2) + tree(3))
+        score, pairs = html_wrapper.tree_matching(a, b)
+        assert score == _most(a, b)
+        partner = {l[0]: r[0] for l, r in pairs}
+        assert len(set(partner.values())) == len(partner)
+        assert all(partner.get(a.parents[x], 0) == b.parents[y] for x, y in partner.items())  # parents are paired, too
+        assert score == 2 + sum(2 if a.labels[x] == b.labels[y] else 1 for x, y in partner.items())
+
+
+def test_html_content_by_the_wrapper_alone(spark):
+    """No tag, role or name tells the article: the texts come from the alignment, and change when the wrapper is taken away."""
+    rng = random.Random(8)
+    said = lambda n: " ".join(rng.choice(["oak", "river", "lamp", "stone", "walk", "tree"]) for _ in range(n))
+    page = '<html><body><div><p>Home</p><p>Shop</p></div>%s<div><h2>%s</h2>%s<div><p>Written by us</p></div></div><div>%s</div></body></html>'
+    rows, wanted = [], {}
+    for i in range(60):
+        body = [said(40) for _ in range(rng.randint(1, 6))]
+        extra = f"<div>{said(4)}</div>" if i % 3 else ""
+        title = f"Title {i}"
+        rows.append((i, f"http://{'hot' if i < 40 else 'h%d' % (i % 2)}.org/{i}", page % (extra, title, "".join(f"<p>{x}</p>" for x in body), said(3))))
+        wanted[i] = "\n".join([title, *body])
+    got = {r["page_id"]: r["main_text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == wanted
+    assert all(html_wrapper.main_text(html) != wanted[i] for i, _, html in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_html_renamed_articles_keep_their_texts(spark):
+    """All pages with their article elements and class names renamed give the texts of before, where the wrapper decides."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    bare = F.regexp_replace(F.regexp_replace("html", r"<(/?)(?:article|main)\b", "<$1div"), r'class="[^"]*"', 'class="k"')
+    before = {r["page_id"]: r["main_text"] for r in html_wrapper.extract(pages).collect()}
+    after = {r["page_id"]: r["main_text"] for r in html_wrapper.extract(pages.withColumn("html", bare)).collect()}
+    alone = {r["page_id"]: html_wrapper.main_text(r["html"]) for r in pages.withColumn("html", bare).collect()}
+    kept, by_lists = (sum(x[i] == t for i, t in before.items()) for x in (after, alone))
+    assert kept >= 0.9 * len(before) and by_lists < 0.5 * len(before), (kept, by_lists, len(before))
 
 
 @pytest.mark.parametrize("shard", [16_384, 40])
