@@ -212,3 +212,54 @@ def test_loose_spans_are_added(spark):
     docs = spark.createDataFrame([(i, f"call me at +1 (212) 555-01{i:02d} today, phone (743) 555-38{i:02d} is open") for i in range(20)] + [(50, "clean words only")], DOCS)
     got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
     assert got[50] == "" and all(got[i].count("phone:") == 2 for i in range(20))
+
+
+def _planted(rng, n):
+    """Texts with spans that are personal data (True) and spans that only look so (False)."""
+    low = ["river", "stone", "lamp", "walks", "over", "old", "sees", "green", "of", "small", "bread"]
+    said = lambda: " ".join(rng.choice(low) for _ in range(rng.randint(4, 9)))
+    one = lambda names: rng.choice(names.split())
+    odd = lambda: "".join(rng.choice(["ka", "ro", "min", "tel", "va", "shu"]) for _ in range(3)).capitalize()
+    makes = [
+        (True, "name", lambda: ("it was signed by ", f"{odd()} {odd()}", " in full")),
+        (True, "name", lambda: ("then ", f"{one(pii.FIRST_NAMES)} {one(pii.FAMILY_NAMES)}", " said so")),
+        (True, "name", lambda: ("we asked, and ", f"{one(pii.FIRST_NAMES)} {odd()}", " wrote back")),
+        (True, "name", lambda: ("Dear ", f"{one(pii.FIRST_NAMES)} {odd()}", ", hello")),
+        (False, "name", lambda: ("it is under the ", rng.choice(["Apache License", "General Public License", "James River", "Hudson Bay"]), " now")),
+        (False, "name", lambda: (f"{said()}. ", f"{odd()} {odd()}", f" {said()}")),
+        (False, "name", lambda: ("noise ", rng.choice(["Orre Orre", "Sich Sich Sich", "Of Of"]), " noise")),
+        (True, "phone", lambda: ("phone ", f"({rng.randint(2, 9)}43) {rng.randint(2, 9)}55-{rng.randint(1000, 9999)}", " is open")),
+        (True, "phone", lambda: ("call me, ", f"{rng.randint(2, 9)}12-{rng.randint(2, 9)}31-{rng.randint(1000, 9999)}", " at noon")),
+        (False, "phone", lambda: ("serial ", f"0{rng.randint(10, 99)}-0{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", " units")),
+        (True, "email", lambda: ("mail ", f"{odd().lower()} [at] {odd().lower()} [dot] com", " today")),
+        (True, "card", lambda: ("card ", "4111.1111.1111.1111", ", expires soon")),
+        (False, "card", lambda: ("version ", f"{rng.randint(1000, 1999)}.{rng.randint(1000, 9999)}.1234.5671", " came")),
+    ]
+    for i in range(n):
+        true, kind, make = makes[i % len(makes)]
+        before, span, after = make()
+        lead = f"{said()} "
+        begin = len(lead) + len(before)
+        yield i, f"{lead}{before}{span}{after} {said()}.", true, f"{kind}:{begin}:{begin + len(span)}"
+
+
+def test_planted_spans_are_told_apart(spark):
+    """Precision and recall over planted data; the same texts among many clean ones give the same."""
+    planted = list(_planted(random.Random(11), 650))
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in pii.find_personal_data(spark.createDataFrame([(i, t) for i, t, _, _ in planted], DOCS)).collect()}
+    luhn_free = [(i, t, true, span) for i, t, true, span in planted if true or not span.startswith("card")]
+    right = sum(true and span in got[i] for i, _, true, span in luhn_free)
+    wrong = [t for i, t, true, span in luhn_free if not true and got[i]]
+    wanted = sum(true for _, _, true, _ in planted)
+    assert right >= 0.95 * wanted, [t for i, t, true, span in planted if true and span not in got[i]][:10]
+    assert len(wrong) <= 0.02 * len(planted), wrong[:10]
+    clean = [(1000 + i, "the old lamp. Green stone walks. And over the river") for i in range(3000)]
+    more = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame([(i, t) for i, t, _, _ in planted] + clean, DOCS)).collect()}
+    assert not any(more[i] for i, _ in clean)
+    assert sum(true and span in more[i].split(",") for i, _, true, span in planted) >= 0.95 * wanted
+
+
+def test_no_names_where_nobody_is_named(spark):
+    texts = ["Orre Orre Orre Orre", "Licensed under the Apache License, Version 2.", "a line. Steen Erachtz. Green Stone", "under the GNU General Public License, version 3."] * 50
+    got = {r["spans"] for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == {""}
