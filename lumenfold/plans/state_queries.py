@@ -223,3 +223,13 @@ def predicted_r_build(spark, d):
     predict = predictor.predictor(predictor.fresh(spark, 64, 64))
     scored = rows.select("doc_id", "gap", V.dot(F.col("v"), F.col("s")).alias("cosine"), V.dot(F.col("v"), predict(F.col("s"))).alias("predicted"))
     return scored.select("doc_id", r6("cosine").alias("cosine"), r6("predicted").alias("predicted"), r6(V.r_build(F.col("cosine"), F.col("gap"), F.col("predicted"), (0.5, 0.3, 0.2))).alias("r_build"))
+
+
+# shapes of texts ----------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[^{}\\[\\]]', '', 'g') AS b FROM pages), c AS (SELECT page_id, b, unnest(range(1, length(b) + 1)) AS i FROM m),
+s AS (SELECT page_id, i, sum(CASE WHEN substr(b, i, 1) IN ('{', '[') THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM c),
+d AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS now FROM s) SELECT page_id, CAST(coalesce(max(now), 0) AS INT) AS depth FROM m LEFT JOIN d USING (page_id) GROUP BY page_id""")
+def bracket_depths(spark, d):
+    return read(spark, d, "pages").select("page_id", T.nesting_depth(F.coalesce("html", F.lit(""))).alias("depth"))
