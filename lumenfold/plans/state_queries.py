@@ -233,3 +233,14 @@ s AS (SELECT page_id, i, sum(CASE WHEN substr(b, i, 1) IN ('{', '[') THEN 1 ELSE
 d AS (SELECT page_id, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS now FROM s) SELECT page_id, CAST(coalesce(max(now), 0) AS INT) AS depth FROM m LEFT JOIN d USING (page_id) GROUP BY page_id""")
 def bracket_depths(spark, d):
     return read(spark, d, "pages").select("page_id", T.nesting_depth(F.coalesce("html", F.lit(""))).alias("depth"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, coalesce(string_agg(CASE WHEN role = 'user' THEN '- ' ELSE '' END || text, chr(10) ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, trim(text, E' \\t\\n\\x0b\\x0c\\r') AS whole, [p FOR p IN [trim(x, E' \\t\\n\\x0b\\x0c\\r') FOR x IN regexp_split_to_array(text, {q(P.SECTION_START)})] IF p <> ''] AS p FROM c)
+SELECT conv_id, CAST(CASE WHEN whole = '' THEN 0 ELSE greatest(len(p), 1) END AS INT) AS pieces, md5(CASE WHEN whole = '' THEN '' WHEN len(p) = 0 THEN whole ELSE array_to_string(p, '|') END) AS digest FROM s""")
+def section_pieces(spark, d):
+    """Pieces of whole conversations in which each question begins at a bullet."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat(F.when(F.col("role") == "user", "- ").otherwise(""), F.col("text")).alias("line"))))
+    texts = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("text"))
+    pieces = T.sections(F.col("text"))
+    return texts.select("conv_id", F.size(pieces).alias("pieces"), F.md5(F.array_join(pieces, "|")).alias("digest"))
