@@ -15,6 +15,7 @@ A null label is no label. Repeated rows get the same answer. Other columns pass
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -138,7 +139,7 @@ MOST_LANGS = 500
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2400) -> LanguageModel:
-    """The model of at most about `sample_rows` labelled rows (the bound of what is gathered; 24 KB a row)."""
+    """The model of at most about `sample_rows` labelled rows (the bound of what is gathered in one task; 24 KB a row). The driver gets the model alone."""
     rows = labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull()).select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"), labelled[id_col].alias("id"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     if len(counts) > MOST_LANGS:
@@ -155,11 +156,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             batch = batch[keep]
             yield pd.DataFrame({"lang": batch["lang"], "x": [features(t).tobytes() for t in batch["text"]]})
 
-    got = rows.where(draw < rate[F.col("lang")]).select("lang", "text").mapInPandas(vectors, "lang string, x binary").collect()
-    if not got:
-        return LanguageModel()
-    got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return fit_arrays(np.array([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got])
+    def fitted(sample: pd.DataFrame) -> pd.DataFrame:
+        got = sorted(zip(sample["lang"], map(bytes, sample["x"]), strict=True))
+        model = fit_arrays(np.frombuffer(b"".join([x for _, x in got]), np.float32).reshape(len(got), -1), [lang for lang, _ in got])
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    drawn = rows.where(draw < rate[F.col("lang")]).select("lang", "text").mapInPandas(vectors, "lang string, x binary")
+    told = drawn.groupBy(F.lit("all")).applyInPandas(fitted, "model binary").collect()
+    return pickle.loads(told[0]["model"]) if told else LanguageModel()
 
 
 def predictor(model: LanguageModel):

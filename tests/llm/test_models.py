@@ -191,6 +191,21 @@ def test_language_id_on_held_out_rows(spark):
     assert langid.fit(docs.limit(0)).families == []
 
 
+def test_language_sample_stays_off_the_driver(spark, monkeypatch):
+    docs = spark.range(90).selectExpr("id AS doc_id", "concat(if(id % 2 = 0, 'the quick fox ', 'der flinke fuchs '), id) AS text", "if(id % 2 = 0, 'en', 'de') AS lang")
+    sizes, collect = [], type(docs).collect
+
+    def told(df):
+        rows = collect(df)
+        sizes.append(sum(len(x) for r in rows for x in r if isinstance(x, bytes | bytearray)))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", told)
+    model = langid.fit(docs)
+    assert model.members == [["de", "en"]]
+    assert max(sizes) < 90 * 24_000 / 4  # the model of one duel, not the sample's vectors
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(5)
     good = lambda: _prose(rng, WORDS["en"], rng.randint(10, 60))
