@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,30 @@ def test_suffix_shards_merge_by_binary_search(monkeypatch):
     assert set(suffix_dedup.covered(segs, np.array(ids))) == wanted
 
 
+def test_suffix_ranges_come_back_once_a_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_TEXT", 2000)
+    monkeypatch.setattr(suffix_dedup, "COVERS", 40)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    docs = [(i, 7, base[100 * i : 100 * i + 1500] + str(i), False) for i in range(15)]
+    got = suffix_dedup.covered_windows(spark.createDataFrame(docs, "doc_id long, mark long, text string, skip boolean").repartition(3), 22_000).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1, 15))  # a row a document, from however many anchors
+    assert all(np.frombuffer(r["ranges"], np.int64).tolist() == [0, 1350] for r in got)
+
+
+def test_suffix_joined_ranges_as_brute_force():
+    rng = np.random.default_rng(3)
+    rows = np.column_stack([rng.integers(-2, 3, 300), rng.integers(0, 2, 300), rng.integers(0, 400, 300), np.zeros(300, np.int64)]).astype(np.int64)
+    rows[:, 3] = rows[:, 2] + rng.integers(0, 6, 300)
+    ids, marks, sizes, ranges = suffix_dedup.joined_ranges(rows)
+    got = {(i, m): r.tolist() for i, m, r in zip(ids.tolist(), marks.tolist(), np.split(ranges, np.cumsum(sizes)[:-1]), strict=True)}
+    assert set(got) == {(a, b) for a, b, _, _ in rows.tolist()}
+    for (i, m), r in got.items():
+        places = {x for a, b, f, t in rows.tolist() if (a, b) == (i, m) for x in range(f, t + 1)}
+        assert {x for f, t in r for x in range(f, t + 1)} == places and all(x[1] + 1 < y[0] for x, y in zip(r, r[1:]))
+    assert [len(x) for x in suffix_dedup.joined_ranges(np.empty((0, 4), np.int64))] == [0, 0, 0, 0]
+
+
 def test_suffix_empty_table(spark):
     assert suffix_dedup.dedup_substrings(spark.createDataFrame([], DOCS)).count() == 0
 
