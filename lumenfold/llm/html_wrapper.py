@@ -34,8 +34,9 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,8 +72,6 @@ DEEP = 40
 ALIKE = 0.5
 #: Longer runs of containers with one label share a place, as runs of elements without children always do.
 RUN = 8
-#: Where two lists of children, without what is equal at both ends, have more pairs, the n-th of a label is paired with the n-th.
-CELLS = 250_000
 
 
 class Node:
@@ -158,10 +157,10 @@ def _name(node: Node) -> str:
 class Outline:
     """The elements of a page that hold blocks, parents first: parents' numbers and labels. The root is number 0."""
 
-    __slots__ = ("parents", "labels", "_kids", "_sizes")
+    __slots__ = ("parents", "labels", "_kids", "_sizes", "_shapes")
 
     def __init__(self, parents: list[int] | None = None, labels: list[str] | None = None) -> None:
-        self.parents, self.labels, self._kids, self._sizes = parents or [-1], labels or ["html"], None, None
+        self.parents, self.labels, self._kids, self._sizes, self._shapes = parents or [-1], labels or ["html"], None, None, None
 
     def add(self, parent: int, label: str) -> int:
         self.parents.append(parent)
@@ -194,6 +193,16 @@ class Outline:
                 self._sizes[i] += sum(self._sizes[run[0]] for run in self.kids(i))
         return self._sizes[n]
 
+    def shape(self, n: int) -> int:
+        """A number that nodes share below which labels and runs are the same, down to the last."""
+        if self._shapes is None:
+            numbers: dict[tuple, int] = {}
+            self._shapes = [0] * len(self.labels)
+            for i in range(len(self.labels) - 1, -1, -1):
+                below = tuple((self.labels[run[0]], self._shapes[run[0]]) for run in self.kids(i))
+                self._shapes[i] = numbers.setdefault(below, len(numbers))
+        return self._shapes[n]
+
 
 def outlined(root: Node) -> tuple[Outline, list[tuple[int, bool, str]]]:
     """The outline below a node and its blocks: (element's number, inside an article or main, text), without what is to be skipped."""
@@ -300,31 +309,72 @@ def _same(a: Outline, b: Outline, l: list[int], r: list[int]) -> bool:
 
 
 def _in_order(a: Outline, b: Outline, left: list[list[int]], right: list[list[int]], known: dict) -> list[tuple]:
-    """The pairs of two lists of runs, in order, that put most nodes in partners, each with its own matching."""
+    """The pairs of two lists of runs, in order, that put most nodes in partners, each with its own matching.
+
+    One rule for lists of any length. Of the table of best sums only some rows are kept; those between are worked out again on the way back.
+    """
     if not left or not right:
         return []
-    if len(left) * len(right) > CELLS:
-        where: dict[str, list[list[int]]] = {}
-        for r in reversed(right):
-            where.setdefault(b.labels[r[0]], []).append(r)
-        pairs = [(l, where[a.labels[l[0]]].pop()) for l in left if where.get(a.labels[l[0]])]
-        return [(l, r, tree_matching(a, b, l[0], r[0], known)) for l, r in pairs]
-    weight = np.array([[tree_matching(a, b, l[0], r[0], known)[0] for r in right] for l in left], dtype=np.int64)
-    best = np.zeros((len(left) + 1, len(right) + 1), dtype=np.int64)
-    for i, row in enumerate(weight):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + row))
+    weights = _weights(a, b, left, right, known)
+    every = math.isqrt(len(left))
+
+    def after(best: np.ndarray, i: int) -> np.ndarray:
+        return np.concatenate([[0], np.maximum.accumulate(np.maximum(best[1:], best[:-1] + weights(i)))])
+
+    kept, row = [np.zeros(len(right) + 1, dtype=np.int64)], np.zeros(len(right) + 1, dtype=np.int64)
+    for i in range(len(left)):
+        row = after(row, i)
+        if (i + 1) % every == 0:
+            kept.append(row)
     out, i, j = [], len(left), len(right)
     while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((left[i], right[j], tree_matching(a, b, left[i][0], right[j][0], known)))
+        start = (i - 1) // every * every
+        best = [kept[start // every]]
+        for n in range(start, i):
+            best.append(after(best[-1], n))
+        while i > start and j:
+            if best[i - start][j] == best[i - start - 1][j]:
+                i -= 1
+            elif best[i - start][j] == best[i - start][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((left[i], right[j], tree_matching(a, b, left[i][0], right[j][0], known)))
     return out[::-1]
 
 
+def _weights(a: Outline, b: Outline, left: list[list[int]], right: list[list[int]], known: dict) -> Callable[[int], np.ndarray]:
+    """A function of a run's place on the left: its nodes in partners with each run on the right.
+
+    Of runs of one shape below one is scored, for like labels and for others; those that can't be partners are not.
+    """
+    same: dict[str, dict[int, list[int]]] = {}
+    others: dict[str, dict[int, list[int]]] = {}
+    for n, (y, *_) in enumerate(right):
+        same.setdefault(b.labels[y], {}).setdefault(b.shape(y), []).append(n)
+        if b.kids(y):
+            others.setdefault(_tag(b.labels[y]), {}).setdefault(b.shape(y), []).append(n)
+    places = {name: {shape: np.array(ns) for shape, ns in shapes.items()} for name, shapes in others.items()}
+    scored: dict[tuple[str, int, int], int] = {}
+
+    def of(i: int) -> np.ndarray:
+        x, row = left[i][0], np.zeros(len(right), dtype=np.int64)
+        label, tag = a.labels[x], _tag(a.labels[x])
+        for shape, ns in places.get(tag, {}).items() if a.kids(x) else ():
+            key = tag, a.shape(x), shape
+            if key not in scored:
+                y = next((right[n][0] for n in ns.tolist() if b.labels[right[n][0]] != label), None)
+                if y is None:
+                    continue  # all have its label
+                scored[key] = tree_matching(a, b, x, y, known)[0]
+            row[ns] = scored[key]
+        for ns in same.get(label, {}).values():
+            row[ns] = tree_matching(a, b, x, right[ns[0]][0], known)[0]
+        return row
+
+    return of
+
+
 def places(reference: Outline, page: Outline) -> list[str]:
     """For each element of a page its place in the reference: names from the root, of partners with the number in the reference."""
     partner = {0: 0}

@@ -91,6 +91,15 @@ def test_tree_matching_pairs_in_order():
     assert html_wrapper.places(a, b) == ["html@0", "html@0/div.x@1", "html@0/div.x@1/h#@2", "html@0/div.x@1/p@3", "html@0/div.x@1/pre", "html@0/div.q"]
 
 
+def test_tree_matching_keeps_the_order_of_long_lists():
+    # 520 x 520 pairs that begin and end differently: the last 120 of one come first in the other
+    labels = [f"p.{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(520)]
+    make = lambda names: html_wrapper.Outline([-1] + [0] * len(names), ["html", *names])
+    a, b = make(labels), make(labels[400:] + labels[:400])
+    score, pairs = html_wrapper.tree_matching(a, b)
+    assert score == 2 * 401 and [(l[0], r[0]) for l, r in pairs] == [(i, i + 120) for i in range(1, 401)]
+
+
 def _most(a, b, x=0, y=0):
     """Brute force: the best over all ways to leave children out."""
     one, other = a.labels[x], b.labels[y]
