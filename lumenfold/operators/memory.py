@@ -92,15 +92,18 @@ def cold_fallback(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "do
     """(query_id, rank, id, how) of queries (query_id, query): ranked; where that finds nothing, rows that contain one of the query's words; else the first rows.
 
     Containment is asked of the queries without a ranked result only: their words are dealt into
-    blocks, and every row meets every block once, by an equi-join on the block.
+    blocks, and every row meets every block once, by an equi-join on the block and a slice of the rows. Blocks
+    are written first, so that where they are small, texts stay where they are; else a task reads a slice.
     """
     ranked = bm25_topk(queries, docs, k, id_col=id_col, text_col=text_col).select("query_id", "rank", "id", F.lit("ranked").alias("how"))
     missed = queries.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
     words = missed.select("query_id", F.explode_outer(F.array_distinct(T.whitespace_tokens(F.lower("query")))).alias("word")).where("word IS NOT NULL")
     blocks = max(1, -(-words.count() // BLOCK))
-    packed = words.groupBy(F.pmod(F.xxhash64("query_id", "word"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "word")).alias("words"))
-    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = low.join(packed, "block").select("id", F.explode_outer(F.filter("words", lambda x: F.col("low").contains(x["word"]))).alias("x")).where("x IS NOT NULL")
+    packed = stage(words.groupBy(F.pmod(F.xxhash64("query_id", "word"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "word")).alias("words")), "words")
+    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = packed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    low = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"), F.pmod(F.xxhash64(id_col), F.lit(slices)).alias("slice"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    met = low.join(packed, ["block", "slice"]).select("id", F.explode_outer(F.filter("words", lambda x: F.col("low").contains(x["word"]))).alias("x")).where("x IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy("id")
     held = met.select("x.query_id", "id").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.lit("contains").alias("how"))
     rest = missed.join(held.select("query_id").distinct(), "query_id", "left_anti").select("query_id")

@@ -83,3 +83,19 @@ def test_batch_of_routes_and_what_it_records(spark):
     assert [h for _, h in got[13, "hot_cache"]] == ["first"] * 4 and [h for _, h in got[14, "enriched"]] == ["first"] * 4
     assert {tuple(r) for r in record.collect()} == {(10, 1, True), (10, 4, True)}
     assert [tuple(r) for r in graph.replay(record, cold="cold").collect()] == [(1, 4, 3, 0.6)]
+
+
+def test_cold_fallback_reads_rows_in_slices(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('alpha beta', id) AS text")
+    asked = spark.createDataFrame([(1, "lph"), (2, "zzz")], "query_id int, query string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(k, v)
+        found = memory.cold_fallback(asked, docs, 3)
+        assert "slice" in [k for k in found._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin [") if k.startswith("block")][0].split("]")[0]  # one block alone would be one task
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(1, i + 1, i, "contains") for i in range(3)] + [(2, i + 1, i, "first") for i in range(3)]
