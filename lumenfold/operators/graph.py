@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from lumenfold.operators.ordered import running_totals
 
 
+#: Retrieved nodes that a task pairs, about: so many rows' worth of pairs are counted in its memory at a time.
+NODES = 500_000
+
+
+def paired(nodes: DataFrame) -> DataFrame:
+    """(call, a, b), a < b, of distinct (call, node): calls are dealt into as many tasks as nodes ask for, however well their shuffled bytes compress."""
+    dealt = nodes.repartition(max(1, -(-nodes.count() // NODES)), "call")
+    return dealt.withColumnRenamed("node", "a").join(dealt.withColumnRenamed("node", "b"), "call").where("a < b")
+
+
 def weight(count: Column) -> Column:
     return count / (count + 2).cast("double")
 
@@ -19,7 +29,7 @@ def edges(retrievals: DataFrame, call: str = "call", node: str = "node", cold: s
     step = F.when(F.max(cold), cold_step).otherwise(1) if cold else F.lit(1)
     steps = retrievals.groupBy(F.col(call).alias("call")).agg(step.alias("step")) if cold else None
     nodes = retrievals.select(F.col(call).alias("call"), F.col(node).alias("node")).distinct()
-    pairs = nodes.withColumnRenamed("node", "a").join(nodes.withColumnRenamed("node", "b"), "call").where("a < b")
+    pairs = paired(nodes)
     pairs = pairs.join(steps, "call") if cold else pairs.withColumn("step", F.lit(1))
     return pairs.groupBy("a", "b").agg(F.sum("step").cast("long").alias("count")).withColumn("weight", weight(F.col("count")))
 
@@ -40,7 +50,7 @@ def replay(retrievals: DataFrame, call: str = "call", node: str = "node", cold:
     calls = used.groupBy(F.col(call).alias("call")).agg(step.alias("step"), F.count_distinct(F.col(node)).alias("n")).where("call IS NOT NULL AND n > 1")
     numbered = running_totals(calls.select("call", "step"), [], ["call"]).select("call", "step", F.floor(F.col("before") / every).alias("epoch"), F.floor(F.col("total") / every).alias("decays"))
     nodes = used.select(F.col(call).alias("call"), F.col(node).alias("node")).where("node IS NOT NULL").distinct()
-    pairs = nodes.withColumnRenamed("node", "a").join(nodes.withColumnRenamed("node", "b"), "call").where("a < b").join(numbered, "call")
+    pairs = paired(nodes).join(numbered, "call")
     touched = pairs.groupBy("a", "b", "epoch").agg(F.sum("step").cast("long").alias("step"), F.max("decays").alias("decays"))
     safe = max(0, math.ceil(math.log(least * 3) / math.log(factor)) - 2)  # decays that the least weight, 1/3, surely outlives
     edge = Window.partitionBy("a", "b").orderBy("epoch")

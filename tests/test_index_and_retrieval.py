@@ -99,3 +99,11 @@ def test_cold_fallback_reads_rows_in_slices(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == [(1, i + 1, i, "contains") for i in range(3)] + [(2, i + 1, i, "first") for i in range(3)]
+
+
+def test_pairs_are_dealt_by_the_number_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "NODES", 50)
+    rows = spark.range(600).selectExpr("id % 60 AS call", "id DIV 60 AS node")
+    made = graph.paired(rows)
+    assert made.rdd.getNumPartitions() == 12 and made.count() == 60 * 45
+    assert {r["count"] for r in graph.edges(rows).collect()} == {60} and graph.edges(rows.limit(0)).count() == 0
