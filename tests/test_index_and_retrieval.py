@@ -68,6 +68,20 @@ def test_nearest_as_all_pairs(spark, monkeypatch, block, chunk):
     assert len(got) == 450
 
 
+def test_copies_of_vectors_grow_with_the_rows(spark, monkeypatch):
+    assert vectors.parts(100_000, 64) == vectors.parts(600_000, 64) == vectors.SIDE
+    assert vectors.parts(60_000_000, 64) * vectors.MOST_VALUES >= 60_000_000 * 64  # what a task holds is bounded
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "SIDE", 3)
+    copies = [(i, [float(i % 3), 1.0]) for i in range(60)]
+    df = spark.createDataFrame([*copies, (60, [float("nan"), 1.0])], "vec_id int, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vectors.cosine_topk(df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), df, 2).collect()}
+    for i, v in copies:
+        order = sorted((-float(np.dot(v, w)), j) for j, w in copies if j != i)[:2]
+        assert [got[i, 1], got[i, 2]] == [j for _, j in order]
+    assert len(got) == 120
+
+
 def test_batch_of_routes_and_what_it_records(spark):
     hot = spark.createDataFrame([(1, "red fox", [1.0, 0.0]), (2, "red lake", [0.8, 0.6]), (3, "lamp", [0.0, 1.0]), (4, "fox lamp fox", None)], "id int, text string, vector array<double>")
     cold = spark.createDataFrame([(1, "red fox"), (2, "red lake"), (3, "lamp"), (4, "fox lamp fox"), (5, "stone")], "id int, text string")
