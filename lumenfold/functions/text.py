@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,23 +194,22 @@ def score_of_reply(reply: Column, most: int = 5) -> Column:
 # facts -------------------------------------------------------------------
 
 
-#: For whether a fact's pattern occurs at all: an equal question without the runs that a search would begin anew at each character.
-_OCCURS = {
-    r"[\p{L}\p{N}_./\-]+\.[\p{L}\p{N}_]{2,4}": r"(?<=[\p{L}\p{N}_./\-])\.[\p{L}\p{N}_]{2}",
-    r"[\p{L}\p{N}_./\-]+\.[\p{L}\p{N}_]{2,4}|line\s+[0-9]+|at\s+[\p{L}\p{N}_]+\.[\p{L}\p{N}_]+": r"(?<=[\p{L}\p{N}_./\-])\.[\p{L}\p{N}_]{2}|line\s+[0-9]|at\s+[\p{L}\p{N}_]+\.[\p{L}\p{N}_]",
-    r"[\p{L}\p{N}_./\-]*(test|spec)[\p{L}\p{N}_./\-]*\.[\p{L}\p{N}_]+": r"(?:test|spec)[\p{L}\p{N}_./\-]*\.[\p{L}\p{N}_]",
-    r"[\p{L}\p{N}_]+_table|[\p{L}\p{N}_]+s\s+table|table\s+[\p{L}\p{N}_]+": r"(?<=[\p{L}\p{N}_])_table|(?<=[\p{L}\p{N}_])s\s+table|table\s+[\p{L}\p{N}_]",
-    r"[0-9]+\s*(s|ms|seconds|minutes|min)": r"[0-9]\s*(?:s|ms|min)",
-    r"[0-9]+\s*(tests?\s+)?(fail|pass|error)": r"[0-9]\s*(?:tests?\s+)?(?:fail|pass|error)",
-    r"[A-Z][a-zA-Z]+Error|[A-Z][a-zA-Z]+Exception|HTTP\s+[45][0-9][0-9]": r"[A-Z]{2}(?:Error|Exception)|HTTP\s+[45][0-9][0-9]",
-}
-#: Facts that can't occur without a character.
-_NEEDS = {r"[a-zA-Z_][\p{L}\p{N}_]*\s*\(": "(", r"[\p{L}\p{N}_./\-]+\.[\p{L}\p{N}_]{2,4}": ".", r"[\p{L}\p{N}_./\-]*(test|spec)[\p{L}\p{N}_./\-]*\.[\p{L}\p{N}_]+": "."}
+def has_fact(text: Column, pattern: str) -> Column:
+    """Whether a pattern occurs, case ignored; null for a null text.
 
+    RE2 (of Arrow) reads a text once, whatever the pattern, where Java's engine begins anew at each character; all
+    facts asked of a text travel in one batch. Patterns that RE2 can't say (looking around, back references) stay with Java.
+    """
+    whole = "(?i)(?:" + pattern + ")"
+    try:
+        pc.match_substring_regex(pa.array([""]), whole)
+    except pa.ArrowInvalid:
+        return text.rlike(whole)
 
-def has_fact(text: Column, pattern: str) -> Column:
-    found = text.rlike("(?i)(?:" + _OCCURS.get(pattern, pattern) + ")")
-    return text.contains(_NEEDS[pattern]) & found if pattern in _NEEDS else found
+    def occurs(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, whole)
+
+    return F.arrow_udf(occurs, "boolean")(text)
 
 
 def facts(text: Column, kind: str, schemas=P.SCHEMAS) -> dict[str, Column]:

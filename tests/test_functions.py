@@ -1,9 +1,11 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions import fidelity as V
+from lumenfold.functions import patterns as P
 from lumenfold.functions import text as T
 
 
@@ -89,3 +91,15 @@ def test_confidence(spark):
     assert one(spark, V.gate_score(e("a", "b"), e("a"), e("a", "b"))) == 0.5
     assert one(spark, V.answer_confidence(e("a"), e("a"), e("a"), F.lit(2.0))[2]) == pytest.approx(1.0)
     assert [one(spark, V.gate_route(F.lit(x))) for x in (0.7, 0.4, 0.1)] == ["hot_cache", "enriched", "cold_storage"]
+
+
+def test_facts_are_found_as_the_sql_finds_them_in_one_pass(spark):
+    facts = {p for _, _, _, p in P.SCHEMAS}
+    text = "prodé; 7 TESTS pass in /a/b.spec.ts" + " x.y" * 3000
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string").select("id", *[T.has_fact(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(sorted(facts))])
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r["id"]: list(r)[1:] for r in rows.collect()}
+    asked = ", ".join(f"regexp_matches(?, '(?i)(?:' || '{p.replace(chr(39), chr(39) * 2)}' || ')')" for p in sorted(facts))
+    assert got[1] == list(duckdb.execute(f"SELECT {asked}", [text] * len(facts)).fetchall()[0])  # a word ends before a letter that is not ASCII
+    assert got[2] == [None] * len(facts) and not any(got[3])
+    assert one(spark, T.has_fact(F.col("t"), r"(?<=a)b"), t="AB") is True  # what RE2 can't say
