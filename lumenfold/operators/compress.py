@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import fidelity, text as T
 from lumenfold.functions.patterns import HIGH_VALUE
+from lumenfold.operators.ordered import kinds_of
 
 
 def sentence_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, sentences, score): tf-idf within the text, and 0.3 for each word of high value.
 
-    Tokens are counted within their sentence; what is shuffled is tokens by id, once: the
-    documents' frequencies and the sums over a sentence lie in the same partitions. Repeated ids are one text.
+    A text's tokens meet in its own row, so texts are shuffled once, by id, and no token is. Repeated ids are one text:
+    tokens are counted over all of them, sentences of one place are added up.
     """
-
-    def scored(s: Column) -> Column:
-        tokens = T.extractive_tokens(s)
-        return F.struct(tokens.alias("tokens"), (0.3 * F.size(F.regexp_extract_all(s, F.lit(HIGH_VALUE), 0))).alias("bonus"))
-
-    cut = docs.select(F.col(id_col).alias("id"), F.transform(T.extractive_sentences(F.col(text_col)), scored).alias("made"))
-    rows = cut.select("id", F.size("made").alias("sentences"), F.posexplode_outer("made").alias("pos", "one")).where("pos IS NOT NULL")
-    kinds = F.transform(F.array_distinct("one.tokens"), lambda t: F.struct(t.alias("tok"), F.size(F.filter(F.col("one.tokens"), lambda x: x == t)).alias("n")))
-    long = rows.select("id", "sentences", "pos", F.col("one.bonus").alias("bonus"), F.size("one.tokens").alias("total"), F.explode_outer(kinds).alias("x"))
-    long = long.select("id", "sentences", "pos", "bonus", "total", "x.tok", "x.n").repartition("id")
-    df = F.count("tok").over(Window.partitionBy("id", "tok"))
-    part = F.col("n") / F.col("total") * (F.log((F.col("sentences") + 1) / (df + 1)) + 1)
-    parts = long.select("id", "pos", "sentences", "bonus", part.alias("part"))
-    return parts.groupBy("id", "pos").agg(F.first("sentences").alias("sentences"), (F.coalesce(F.sum("part"), F.lit(0.0)) + F.first("bonus")).alias("score"))
+    cut, token = re.compile(r"(?<=[.!?;])\s+|\n+", re.ASCII), re.compile(r"[a-z0-9_/.]+")
+
+    def score(texts: list[str]) -> list[dict]:
+        """The sentences of an id with their base scores; bonuses are told apart by the sentence."""
+        parts = [[x for x in (x.strip(" \t\n\x0b\x0c\r") for x in cut.split(t)) if x] for t in texts]
+        counts = [[Counter(token.findall(x.lower())) for x in part] for part in parts]
+        held = Counter(chain.from_iterable(c for part in counts for c in part))
+        made: dict[int, dict] = {}
+        for part, count in zip(parts, counts, strict=True):
+            whole = [math.log((len(part) + 1) / n) + 1 for n in range(2, max(held.values(), default=0) + 2)]
+            for pos, (x, c) in enumerate(zip(part, count, strict=True)):
+                own = made.setdefault(pos, {"pos": pos, "sentences": len(part), "score": 0.0, "text": x})
+                own["score"] += sum(n * whole[held[t] - 1] for t, n in c.items()) / (c.total() or 1)
+        return list(made.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [score(texts) for texts in batch.column("texts").to_pylist()]
+            rows = [r for x in made for r in x]
+            bonus = pc.count_substring_regex(pa.array([r["text"] for r in rows], pa.string()), HIGH_VALUE).to_numpy(zero_copy_only=False)
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(made)), [len(x) for x in made])))
+            numbers = [pa.array([r[c] for r in rows], pa.int32()) for c in ("pos", "sentences")]
+            yield pa.RecordBatch.from_arrays([ids, *numbers, pa.array(np.array([r["score"] for r in rows]) + 0.3 * bonus, pa.float64())], names=["id", "pos", "sentences", "score"])
+
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).groupBy("id").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    return whole.mapInArrow(run, f"{kinds_of(whole, 'id')}, pos int, sentences int, score double")
 
 
 def extractive(docs: DataFrame, budget: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
