@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from lumenfold.functions import patterns as P
-from lumenfold.functions.text import lexical_tokens
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,10 +46,37 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+#: So many tokens keep their places in a task's memory.
+KNOWN = 200_000
+
+
 def hashed_encoding(text: Column, dim: int = 64) -> Column:
-    """The default encoder: counts of lexical tokens by hashed place, as a unit vector; null without tokens."""
-    places = F.transform(lexical_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim)
-    return hashed_counts(places, dim)
+    """The default encoder: counts of lexical tokens by hashed place, as a unit vector; null without tokens.
+
+    A token's place is worked out once and remembered, in bounds; counts are by number, not by looking through the tokens for each place.
+    """
+    token = re.compile(P.LEXICAL_TOKEN, re.ASCII)
+    places: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        if len(places) >= KNOWN:
+            places.clear()
+        at = places[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % dim
+        return at
+
+    def encode(texts: pa.Array) -> pa.Array:
+        out: list[np.ndarray | None] = []
+        for t in texts:
+            tokens = token.findall(t.as_py()) if t.is_valid else ()
+            if not tokens:
+                out.append(None)
+                continue
+            at = [places[x] if x in places else place(x) for x in tokens]
+            counts = np.bincount(at, minlength=dim).astype(np.float64)
+            out.append(counts / np.sqrt(counts @ counts))
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(encode, "array<double>")(F.lower(text))
 
 
 def hashed_counts(places: Column, dim: int) -> Column:

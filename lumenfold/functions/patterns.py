@@ -7,6 +7,8 @@ W = r"[\p{L}\p{N}_]"
 WORD = W + "+"
 #: Separators of lexical tokens; tokens have two characters at least.
 TOKEN_BREAK = r"""[\s\.,;:!?()\[\]{}'"<>/\\|@#$%^&*+=`~-]+"""
+#: The tokens between them, for Python.
+LEXICAL_TOKEN = "[^" + TOKEN_BREAK[1:-2] + "]{2,}"
 FILE = r"[\p{L}\p{N}_./\-]+\.[\p{L}\p{N}_]{2,4}"
 STEP = r"(?i)\bstep\s+[0-9]+\b"
 #: Full matches of single words.

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from lumenfold.functions import patterns as P
 from lumenfold.functions.text import lexical_tokens
 from lumenfold.operators.ordered import stage
+from lumenfold.operators.vectors import best_of
 
 K1, B = 1.5, 0.75
 
 
 #: Query terms that are looked for within a document's tokens; beyond so many, tokens and terms meet by a join.
 MOST_TERMS = 10_000
+#: Terms times queries that a batch of documents is multiplied with; beyond, query terms meet postings by a join.
+MOST_WEIGHTS = 4_194_304
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -23,22 +35,33 @@ def postings(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | No
 
 
 def matched(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(id, length, terms): the number of a document's tokens and, of a bounded set of wanted terms, only the tokens among these."""
-    tokens = docs.select(F.col(id_col).alias("id"), lexical_tokens(F.col(text_col)).alias("tokens"))
-    length = F.coalesce(F.size("tokens"), F.lit(0))
+    """(id, length, terms): the number of a document's tokens and its terms with their counts; of a bounded set of wanted terms, only these."""
     some = None if wanted is None else wanted.distinct().limit(MOST_TERMS + 1).collect()
-    if some is None or len(some) > MOST_TERMS:
-        return tokens.select("id", length.alias("length"), F.col("tokens").alias("terms"))
-    terms = [r["term"] for r in some]
-    return tokens.select("id", length.alias("length"), F.filter("tokens", lambda t: t.isin(terms) if terms else F.lit(False)).alias("terms"))
+    terms = None if some is None or len(some) > MOST_TERMS else {r["term"] for r in some}
+    token = re.compile(P.LEXICAL_TOKEN, re.ASCII)
+
+    def count(texts: pa.Array) -> pa.Array:
+        lengths, offsets, names, times = [], [0], [], []
+        for t in texts:
+            tokens = token.findall(t.as_py()) if t.is_valid else ()
+            held = Counter(tokens if terms is None else [x for x in tokens if x in terms])
+            lengths.append(len(tokens))
+            names += held.keys()
+            times += held.values()
+            offsets.append(len(names))
+        pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], ["term", "tf"])
+        return pa.StructArray.from_arrays([pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["length", "terms"])
+
+    found = F.arrow_udf(count, "length int, terms array<struct<term: string, tf: bigint>>")(F.lower(F.col(text_col)))
+    return docs.select(F.col(id_col).alias("id"), found.alias("x")).select("id", "x.length", "x.terms")
 
 
 def counted(rows: DataFrame, wanted: DataFrame | None) -> DataFrame:
     """(id, length, term, tf) of what `matched` gives."""
     # the outer form: the inner one would work the tokens out once more, in a filter on them
-    long = rows.select("id", "length", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    long = rows.select("id", "length", F.explode_outer("terms").alias("x")).where("x IS NOT NULL").select("id", "length", "x.*")
     long = long if wanted is None else long.join(wanted.select("term").distinct(), "term", "left_semi")
-    return long.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    return long.groupBy("id", "length", "term").agg(F.sum("tf").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
@@ -63,7 +86,66 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str =
     terms = query_terms(queries, query_id, query_text)
     wanted = terms.select("term").distinct()
     rows = stage(matched(docs, id_col, text_col, wanted), "matched")
-    return ranked(terms, counted(rows, wanted), _stats(rows), k)
+    asked = _bounded(terms)
+    if asked is None:
+        return ranked(terms, counted(rows, wanted), _stats(rows), k)
+    return scored(asked, rows, _stats(rows), k, *[t.dataType.simpleString() for t in (terms.schema["query_id"], rows.schema["id"])])
+
+
+def _bounded(terms: DataFrame) -> list | None:
+    """The rows of query terms, if terms times queries stay within MOST_WEIGHTS."""
+    rows = terms.limit(MOST_WEIGHTS // 32 + 1).collect()
+    few = len(rows) <= MOST_WEIGHTS // 32 and len({r["term"] for r in rows}) * len({r["query_id"] for r in rows}) <= MOST_WEIGHTS
+    return rows if few else None
+
+
+def scored(terms: list, rows: DataFrame, stats: DataFrame, k: int, query_type: str, id_type: str) -> DataFrame:
+    """As `ranked`, of a bounded number of query terms and what `matched` gives: a document's row meets all queries at once.
+
+    A batch of documents is multiplied with the queries' weights and keeps k a query, so no row stands for a document and a query.
+    """
+    # rows of one id are one document where they are as long, and are added up where not
+    whole = rows.where("size(terms) > 0").repartition("id").groupBy("id", "length").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    whole = stage(whole.groupBy("id").agg(F.collect_list(F.struct("length", "terms")).alias("docs")), "documents")
+    names = sorted({r["term"] for r in terms})
+    asked = sorted({r["query_id"] for r in terms if r["query_id"] is not None}) + [None] * any(r["query_id"] is None for r in terms)
+    held = whole.select(F.explode("docs").alias("x")).select(F.explode(F.array_distinct("x.terms.term")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = {r["term"]: r["df"] for r in held.where(F.col("term").isin(names)).collect()}  # as many as terms, at most
+    n, mean = stats.select("n_docs", "avg_length").first()
+    place, at = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(asked)}
+    weights = np.zeros((len(names), len(asked)))
+    for r in terms:
+        if r["term"] in df:
+            weights[place[r["term"]], at[r["query_id"]]] = r["times"] * np.log((n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5) + 1) * (K1 + 1)
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(asked), -np.inf)
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("id")))
+            made = np.zeros((len(batch), len(names)))
+            for i, docs in enumerate(batch.column("docs").to_pylist()):
+                for doc in docs:
+                    tf = Counter()
+                    for x in doc["terms"]:
+                        tf[x["term"]] += x["tf"]
+                    for t, many in tf.items():
+                        if t in place:
+                            made[i, place[t]] += many / (many + K1 * (1 - B + B * doc["length"] / mean))
+            scores = (made @ sent.value).T
+            if len(batch) >= k and len(asked):
+                least = np.maximum(least, np.partition(scores, len(batch) - k, axis=1)[:, -k])
+            # what may be among the k by rounded scores: the margin is twice a unit of the ninth place
+            queries, places = np.nonzero((scores >= (least - 2e-9)[:, None]) & (scores > 0))
+            found = scores[queries, places]
+            some = best_of(queries, places, found, k)
+            ids = pa.array([asked[q] for q in queries[some]], kinds[0])
+            yield pa.RecordBatch.from_arrays([ids, batch.column("id").take(pa.array(places[some])), pa.array(found[some], pa.float64())], names=["query_id", "id", "score"])
+
+    schema = f"query_id {query_type}, id {id_type}, score double"
+    kinds = to_arrow_schema(StructType.fromDDL(schema)).types
+    out = whole.mapInArrow(run, schema).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
+    return out.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def ranked(terms: DataFrame, hits: DataFrame, stats: DataFrame, k: int) -> DataFrame:
@@ -107,7 +189,11 @@ class Index:
     def search(self, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
         """As bm25_topk over the texts that are indexed now."""
         terms = query_terms(queries, query_id, query_text)
-        return ranked(terms, stage(self.postings(terms), "hits"), _stats(self.documents()), k)
+        hits, stats, asked = stage(self.postings(terms), "hits"), _stats(self.documents()), _bounded(terms)
+        if asked is None:
+            return ranked(terms, hits, stats, k)
+        rows = hits.groupBy("id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+        return scored(asked, rows, stats, k, *[t.dataType.simpleString() for t in (terms.schema["query_id"], hits.schema["id"])])
 
 
 def _sorted(rows: DataFrame) -> DataFrame:

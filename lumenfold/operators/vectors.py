@@ -27,7 +27,7 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
 
 
-def _first(rows: np.ndarray, places: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+def best_of(rows: np.ndarray, places: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Which entries are among the k highest scores (to nine places) of their row, of equals the earlier places."""
     order = np.lexsort((places, -np.round(scores, 9), rows))
     begins = np.searchsorted(rows[order], rows[order], "left")
@@ -51,10 +51,10 @@ def _best(queries: np.ndarray, vectors: np.ndarray, own: tuple[np.ndarray, np.nd
             # what may be among the k by rounded scores: the margin is twice a unit of the ninth place
             rows, places = np.nonzero((scores >= (least - 2e-9)[:, None]) & (scores > -np.inf))
             found = np.round(scores[rows, places], 12)
-            some = _first(rows, places, found, k)
+            some = best_of(rows, places, found, k)
             kept.append((rows[some], places[some] + at, found[some]))
         rows, places, found = (np.concatenate(x) for x in zip(*kept, strict=True))
-        some = _first(rows, places, found, k)
+        some = best_of(rows, places, found, k)
         yield rows[some] + top, places[some], found[some]
 
 

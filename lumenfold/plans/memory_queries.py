@@ -9,6 +9,7 @@ from lumenfold.functions import fidelity as V
 from lumenfold.functions import patterns as P
 from lumenfold.functions import text as T
 from lumenfold.operators import compress, gate, graph, lexical, memory, metrics, retrieve, state, vectors
+from lumenfold.operators.ordered import stage
 from lumenfold.plans.catalogue import KINDS, S_BY, S_COUNTS, S_DOT, S_EDGES, S_FACTS, S_KIND, _edges, _facts, _pairs, q, query, r6, read, s_any, s_fit, s_share, s_words
 
 S_TOKENS = lambda t: f"len([x for x in regexp_split_to_array({t}, '[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\p{{Z}}]+') if x <> ''])"
@@ -387,7 +388,8 @@ x AS (SELECT query_id, id, 0 AS part, rank FROM near WHERE rank <= 10 UNION ALL
 f AS (SELECT query_id, id, min((part, rank)) AS place FROM x GROUP BY ALL), r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS rank FROM f)
 SELECT query_id, CAST(rank AS INT) AS rank, id FROM r WHERE rank <= 15""")
 def fused_retrieval(spark, d):
-    entries = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", V.hashed_encoding(F.col("text")).alias("vector")).where("vector IS NOT NULL")
+    entries = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", V.hashed_encoding(F.col("text")).alias("vector"))
+    entries = stage(entries, "entries").where("vector IS NOT NULL")
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), V.hashed_encoding(F.col("text")).alias("vector")).where("vector IS NOT NULL")
     near = vectors.cosine_topk(asked, entries, 10, query_vector="vector", id_col="id", vector_col="vector", skip_self=False)
     return retrieve.ordered_union([near, lexical.bm25_topk(asked, entries, 10, id_col="id")], 15)

@@ -54,6 +54,18 @@ def test_terms_beyond_the_bound_meet_by_a_join(spark, monkeypatch):
     assert lexical.bm25_topk(asked.limit(0), docs, 4).count() == 0
 
 
+def test_documents_meet_all_queries_in_their_own_row(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(WORDS[:4]) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (3, "red"), (3, texts[3][1]), (99, None)], "doc_id long, text string").repartition(5)  # an id that repeats
+    asked = spark.createDataFrame([(1, "red fox fox"), (2, "lake"), (None, "stone"), (4, "no word of it")], "query_id int, query string")
+    rows = lexical.bm25_topk(asked, docs, 4)
+    assert "SortMergeJoin" not in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+    got = found(rows)
+    monkeypatch.setattr(lexical, "MOST_WEIGHTS", 0)
+    assert found(lexical.bm25_topk(asked, docs, 4)) == got and len(got) == 12
+
+
 @pytest.mark.parametrize(("block", "chunk"), [(512, 8192), (7, 13)])
 def test_nearest_as_all_pairs(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(vectors, "BLOCK", block)
