@@ -1,3 +1,4 @@
+import math
 import random
 from collections import deque
 
@@ -237,3 +238,15 @@ def test_new_session_keeps_cold_rows_facts_and_graph(spark):
     one = spark.createDataFrame([("a", 1), ("b", 2)], "session string, seq long")
     left = memory.new_session({"cold": one, "facts": one, "hot": one}, "a")
     assert left["cold"].count() == 2 and [r["session"] for r in left["hot"].collect()] == ["b"]
+
+
+def test_sentences_are_scored_in_their_own_row(spark):
+    docs = spark.createDataFrame([(1, "red fox. red lake! critical red"), (2, None), (3, "one"), (3, "one two")], "doc_id int, text string")
+    made = compress.sentence_scores(docs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan  # no token is a row
+    got = {(r["id"], r["pos"]): (r["sentences"], r["score"]) for r in made.collect()}
+    rare, common = math.log(4 / 2) + 1, math.log(4 / 4) + 1
+    assert got[1, 0] == (3, pytest.approx((rare + common) / 2)) and got[1, 2] == (3, pytest.approx((rare + common) / 2 + 0.3))
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (3, 0)}
+    assert got[3, 0][1] == pytest.approx(math.log(2 / 3) + 1 + (math.log(2 / 3) + 1) / 2 + (math.log(2 / 2) + 1) / 2)
