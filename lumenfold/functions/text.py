@@ -69,8 +69,11 @@ def _words_like(text: Column, pattern: str) -> Column:
 
 
 def files(text: Column) -> Column:
-    """Matches of the file pattern, each begun where its run of characters begins: from there on a match is found if there is any, in one go."""
-    return F.when(text.contains("."), _all(text, r"(?<![\p{L}\p{N}_./\-])" + P.FILE)).otherwise(F.array().cast("array<string>"))
+    """Matches of the file pattern, each begun where its run of characters begins: from there on a match is found if there is any, in one go.
+
+    Texts without a dot and the start of an ending are not searched.
+    """
+    return F.when(text.contains(".") & text.rlike(rf"\.{P.W}{{2}}"), _all(text, r"(?<![\p{L}\p{N}_./\-])" + P.FILE)).otherwise(F.array().cast("array<string>"))
 
 
 def steps(text: Column) -> Column:
@@ -84,10 +87,16 @@ def entity_texts(text: Column) -> Column:
 
 
 def typed_entities(text: Column) -> Column:
-    """Distinct structs of text and type: file_path, error_code, step_reference, in this order."""
-    kinds = [("file_path", P.FILE), ("error_code", r"[A-Z][A-Z_]+Error|HTTP [0-9]{3}|[0-9]{3} [A-Z]+"), ("step_reference", r"(?i)step\s+[0-9]+|\[step\s+[0-9]+\]")]
+    """Distinct structs of text and type: file_path, error_code, step_reference, in this order.
+
+    Only texts that hold what each match of a kind holds are searched for it.
+    """
+    none = F.array().cast("array<string>")
+    codes = F.when(text.contains("Error") | text.contains("HTTP ") | text.rlike("[0-9]{3} [A-Z]"), _all(text, r"[A-Z][A-Z_]+Error|HTTP [0-9]{3}|[0-9]{3} [A-Z]+"))
+    at = F.when(F.lower(text).contains("step"), _all(text, r"(?i)step\s+[0-9]+|\[step\s+[0-9]+\]"))
+    kinds = [("file_path", files(text)), ("error_code", codes.otherwise(none)), ("step_reference", at.otherwise(none))]
     named = lambda k: lambda x: F.struct(x.alias("text"), F.lit(k).alias("type"))  # noqa: E731  a second parameter would be the place
-    return F.array_distinct(F.concat(*[F.transform(files(text) if k == "file_path" else _all(text, p), named(k)) for k, p in kinds]))
+    return F.when(text.isNotNull(), F.array_distinct(F.concat(*[F.transform(found, named(k)) for k, found in kinds])))
 
 
 def key_tokens(text: Column) -> Column:

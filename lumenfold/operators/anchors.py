@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import patterns as P
 from lumenfold.functions.text import anchor_tokens, is_stopword_or_short, is_tier_one, typed_entities
-from lumenfold.operators.ordered import keyed_fold, kinds_of, running_totals, stage
+from lumenfold.operators.ordered import join_same, keyed_fold, kinds_of, stage
 
 #: Below so many segments only structural tokens are anchors, and so many anchors a segment has at most.
 LEAST_SEGMENTS, MOST = 20, 10
+#: Segments in a block, about: what a task folds, with its tokens.
+BLOCK = 16_384
 
 
 def anchors(segments: DataFrame, session: str = "session_id", seq: str = "seq", text: str = "text", most: int = MOST) -> DataFrame:
@@ -36,19 +44,33 @@ class Middle:
     """The median of document frequencies while they grow: counts by frequency, and a pointer that moves as they do."""
 
     def __init__(self) -> None:
-        self.counts: dict[int, int] = {}
+        self.counts = np.zeros(64, np.int64)
         self.at, self.below, self.total = 1, 0, 0
 
-    def grow(self, to: int) -> None:
-        """A token now is in `to` segments, one more than before."""
-        if to > 1:
-            self.counts[to - 1] -= 1
-            if not self.counts[to - 1]:
-                del self.counts[to - 1]
-        else:
-            self.total += 1
-        self.counts[to] = self.counts.get(to, 0) + 1
-        self.below += (to < self.at) - (1 < to <= self.at)
+    def _reach(self, level: int) -> None:
+        if level >= len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(level + 1, np.int64)])
+
+    def put(self, level: int, number: int) -> None:
+        """So many more tokens that are in `level` segments already."""
+        self._reach(level)
+        self.counts[level] += number
+        self.total += number
+        self.below += number * (level < self.at)
+
+    def grow(self, to: int | list[int]) -> None:
+        """A token now is in `to` segments, one more than before; or several tokens are, each in its number."""
+        to = np.array(to, np.int64, ndmin=1)
+        if not len(to):
+            return
+        self._reach(int(to.max()))
+        np.add.at(self.counts, to, 1)
+        np.subtract.at(self.counts, to - 1, 1)
+        self.counts[0] = 0
+        new = np.count_nonzero(to == 1)
+        self.total += new
+        if self.at > 1:
+            self.below += new - np.count_nonzero(to == self.at)
 
     def middle(self) -> tuple[int, int] | None:
         """The frequencies in the middle, the same one twice for an odd number of tokens."""
@@ -57,54 +79,131 @@ class Middle:
         low, high = (self.total + 1) // 2, self.total // 2 + 1
         while self.below >= low:
             self.at -= 1
-            self.below -= self.counts.get(self.at, 0)
-        while self.below + self.counts.get(self.at, 0) < low:
-            self.below += self.counts.get(self.at, 0)
+            self.below -= int(self.counts[self.at])
+        while self.below + self.counts[self.at] < low:
+            self.below += int(self.counts[self.at])
             self.at += 1
         up = self.at
         if self.below + self.counts[up] < high:
             up += 1
-            while up not in self.counts:
+            while not self.counts[up]:
                 up += 1
         return self.at, up
 
 
+#: For tokens of ASCII alone, as anchor tokens are.
+_TOKENS = re.compile(P.ANCHOR_TOKEN).findall
+_TIER_ONE = re.compile("|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else p for p in P.TIER_ONE).replace(r"\p{L}\p{N}", "a-zA-Z0-9")).match
+_STOPWORDS = frozenset(P.STOPWORDS)
+#: The characters beyond ASCII whose lower case holds letters of ASCII.
+_LOWER = {0x130: "i\u0307", 0x212A: "k"}
+
+
+@lru_cache(1 << 17)
+def _judged(token: str) -> tuple[bool, str | None]:
+    """Whether a token is structural, and its lower case if that may be rare."""
+    low, first = token.lower(), _TIER_ONE(token) is not None
+    return first, None if len(low) < 4 or low in _STOPWORDS or (first if low == token else _TIER_ONE(low)) else low
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with the column text turned into its distinct structural tokens and, joined by spaces, its distinct other tokens in lower case."""
+    for batch in batches:
+        structural, held = [], []
+        for text in batch["text"].to_pylist():
+            text = text or ""
+            own = dict.fromkeys(_TOKENS(text))
+            found = [_judged(t) for t in own]
+            structural.append([t for t, (first, _) in zip(own, found, strict=True) if first])
+            if not text.isascii() and any(chr(c) in text for c in _LOWER):
+                found = map(_judged, _TOKENS(text.translate(_LOWER)))
+            held.append(" ".join(dict.fromkeys(low for _, low in found if low)))
+        rest = batch.drop_columns(["text"])
+        yield rest.append_column("structural", pa.array(structural, pa.list_(pa.string()))).append_column("held", pa.array(held, pa.string()))
+
+
+def _standing(blocks: DataFrame, counted: DataFrame) -> DataFrame:
+    """(session, block, level, number): how many tokens are in `level` of the session's segments before the block begins.
+
+    A token passes from level to level as blocks pass: sums of these steps hold from the block after them to the next step.
+    """
+    step = lambda level, by: F.struct(F.col(level).alias("level"), F.lit(by).alias("by"))
+    steps = counted.select("session", "block", F.explode(F.array(step("after", 1), step("before", -1))).alias("s")).where("s.level > 0").groupBy("session", "block", "s.level").agg(F.sum("s.by").alias("by"))
+    along = Window.partitionBy("session", "level").orderBy("block")
+    held = steps.select("session", "level", F.sum("by").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("number"), (F.col("block") + 1).alias("start"), F.lead("block").over(along).alias("end"))
+    held = join_same(held.where("number > 0"), blocks.groupBy("session").agg(F.max("block").alias("last")), ["session"])
+    held = held.withColumn("end", F.coalesce("end", "last")).where("start <= end")
+    return held.select("session", F.explode(F.sequence("start", "end")).alias("block"), "level", "number")
+
+
 def running_anchors(segments: DataFrame, session: str = "session_id", seq: str = "seq", text: str = "text", most: int = MOST, least: int = LEAST_SEGMENTS) -> DataFrame:
     """(session, seq, n, median_idf, anchors): the anchors of each segment as its session stands then, its own tokens counted.
 
     First come typed entities and structural tokens. From the session's `least`-th segment on, tokens follow whose idf
     is at least the median of all the session's tokens so far, the rarest first (of equals the smaller); a
-    new session begins anew. A token's frequency so far is a running total over ranges; the exact median follows from these
-    frequencies alone, in a fold that holds one count for each frequency. Repeated (session, seq) are not allowed.
+    new session begins anew. Repeated (session, seq) are not allowed; segments without one of them come last, are counted, and have no median and no anchors.
+
+    Sessions are cut into blocks by ranges of order. Tokens are counted by block, and sums of the blocks before tell how a
+    session stands where a block begins: the frequencies of the tokens the block has, and of all others one count
+    for each frequency, from which the exact median follows. So blocks are folded apart, however long a session is.
     """
     rows = segments.select(F.col(session).alias("session"), F.col(seq).alias("seq"), F.col(text).alias("text"))
-    none = F.array().cast("array<string>")
-    first = F.array_distinct(F.concat(F.transform(typed_entities(F.col("text")), lambda e: e["text"]), F.filter(anchor_tokens(F.col("text"), lower=False), is_tier_one)))
-    held = F.filter(F.array_distinct(anchor_tokens(F.col("text"))), lambda t: ~is_stopword_or_short(t) & ~is_tier_one(t))
-    made = stage(rows.select("session", "seq", F.coalesce(first, none).alias("first"), F.coalesce(held, none).alias("held")), "segments")
-    tokens = made.select("session", "seq", F.explode_outer("held").alias("tok")).where("tok IS NOT NULL")
-    counted = stage(running_totals(tokens, ["session", "tok"], ["seq"]).select("session", "seq", "tok", (F.col("before") + 1).cast("int").alias("df")), "frequencies")
-    levels = made.select("session", "seq").join(counted.groupBy("session", "seq").agg(F.collect_list("df").alias("levels")), ["session", "seq"], "left")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / BLOCK))
+    order = F.asc_nulls_last("seq")
+    entities = F.coalesce(F.transform(typed_entities(F.col("text")), lambda e: e["text"]), F.array().cast("array<string>"))
+    dealt = rows.repartitionByRange(parts, "session", order).select("session", "seq", F.spark_partition_id().alias("block"), entities.alias("entities"), "text")
+    kinds = f"{kinds_of(rows, 'session', 'seq')}, block int"
+    made = stage(dealt.mapInArrow(_split, f"{kinds}, entities array<string>, structural array<string>, held string"), "segments")
+    # the blocks of each session, with the number of its segments before
+    before = Window.partitionBy("session").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stage(made.groupBy("session", "block").agg(F.count("*").alias("number")).withColumn("past", F.sum("number").over(before)), "blocks")
+    tokens = made.where("held <> ''").select("session", "block", F.explode(F.split("held", " ")).alias("tok")).groupBy("session", "block", "tok").agg(F.count("*").alias("number"))
+    sums = F.sum("number").over(Window.partitionBy("tok", "session").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = stage(tokens.withColumn("after", sums).select("session", "block", "tok", (F.col("after") - F.col("number")).alias("before"), "after"), "frequencies")
+
+    # in each block its session's number of segments, its frequencies, the tokens met before, then its own segments in order
+    number, nothing = F.col("number").cast("long"), F.array().cast("array<string>").alias("first")
+    row = lambda df, kind, *columns: df.select("session", "block", F.lit(kind).alias("kind"), *columns)
+    no_seq = F.lit(None).cast(rows.schema["seq"].dataType).alias("seq")
+    states = [
+        row(blocks.where("past > 0"), 0, no_seq, F.lit("").alias("tok"), F.lit(0).cast("long").alias("level"), F.col("past").alias("number"), nothing),
+        row(_standing(blocks, counted), 1, no_seq, F.lit("").alias("tok"), F.col("level").cast("long"), number, nothing),
+        row(counted.where("before > 0"), 2, no_seq, "tok", F.col("before").alias("level"), F.lit(0).cast("long").alias("number"), nothing),
+        row(made, 3, "seq", F.col("held").alias("tok"), F.lit(0).cast("long").alias("level"), F.lit(0).cast("long").alias("number"), F.array_distinct(F.concat("entities", "structural")).alias("first")),
+    ]
 
     def start():
-        middle, seen = Middle(), [0]
+        middle, seen, passed = Middle(), {}, [0]
 
         def step(row: dict) -> list[tuple]:
-            seen[0] += 1
-            for df in row["levels"] or ():
-                middle.grow(df)
-            low, high = middle.middle() or (None, None)
-            idf = lambda df: math.log(1 + seen[0] / (1 + df))
-            return [(row["session"], row["seq"], seen[0], low, None if low is None else (idf(low) + idf(high)) / 2)]
+            kind, tok = row["kind"], row["tok"]
+            if kind == 0:
+                passed[0] = row["number"]
+            elif kind == 1:
+                middle.put(row["level"], row["number"])
+            elif kind == 2:
+                seen[tok] = row["level"]
+            if kind < 3:
+                return []
+            passed[0] += 1
+            n, held, levels = passed[0], tok.split(" ") if tok else [], []
+            for t in held:
+                seen[t] = df = seen.get(t, 0) + 1
+                levels.append(df)
+            middle.grow(levels)
+            if row["session"] is None or row["seq"] is None:
+                return [(row["session"], row["seq"], n, None, [], [])]
+            low, high = middle.middle() or (0, 0)
+            idf = lambda df: math.log(1 + n / (1 + df))
+            # a frequency of at most the lower middle is an idf of at least the median: whole numbers, so equals are equal
+            rare = sorted((df, t) for df, t in zip(levels, held, strict=True) if df <= low) if n >= least else []
+            return [(row["session"], row["seq"], n, (idf(low) + idf(high)) / 2 if low else None, row["first"], [t for _, t in rare])]
 
         return step
 
-    medians = stage(keyed_fold(levels, ["session"], ["seq"], start, f"{kinds_of(levels, 'session', 'seq')}, n long, middle int, median_idf double"), "medians")
-    # a frequency of at most the lower middle is an idf of at least the median: whole numbers, so equals are equal
-    rare = counted.join(medians.where(F.col("n") >= least), ["session", "seq"]).where("df <= middle")
-    second = rare.groupBy("session", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "tok"))), lambda x: x["tok"]).alias("second"))
-    out = made.join(medians, ["session", "seq"]).join(second, ["session", "seq"], "left")
-    return out.select("session", "seq", "n", "median_idf", F.slice(F.array_distinct(F.concat("first", F.coalesce("second", none))), 1, most).alias("anchors"))
+    told = f"{kinds_of(rows, 'session', 'seq')}, n long, median_idf double, first array<string>, second array<string>"
+    out = keyed_fold(reduce(DataFrame.unionByName, states), ["block", "session"], ["kind", order], start, told, parts)
+    return out.select("session", "seq", "n", "median_idf", F.slice(F.array_distinct(F.concat("first", "second")), 1, most).alias("anchors"))
 
 
 def token_roles(text: Column, held: Column) -> Column:

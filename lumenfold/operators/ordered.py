@@ -58,11 +58,11 @@ def running_totals(rows: DataFrame, by: list[str], order: list[Column | str], va
     return join_same(summed, ranges, [*by, "_range"]).select(*rows.columns, (F.col("_past") + F.col("_inside")).alias("before"), "total")
 
 
-def keyed_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[[dict], list[tuple]]], schema: str) -> DataFrame:
+def keyed_fold(rows: DataFrame, keys: list[str], order: list[Column | str], start: Callable[[], Callable[[dict], list[tuple]]], schema: str, parts: int | None = None) -> DataFrame:
     """What a fold gives for the rows of each key, in order.
 
     start() makes the function of one key, which takes a row and gives rows of `schema`; what it remembers is
-    all that is held: rows come sorted, batch by batch, and are never gathered.
+    all that is held: rows come sorted, batch by batch, and are never gathered. With parts the first key is the number of a task.
     """
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -78,7 +78,8 @@ def keyed_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callab
             columns = list(zip(*out, strict=True)) or [()] * len(kind)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    dealt = rows.repartitionById(parts, keys[0]) if parts else rows.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def kinds_of(rows: DataFrame, *names: str) -> str:

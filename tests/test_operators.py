@@ -207,6 +207,14 @@ def test_keyword_lines_and_faithful_pairs(spark):
     assert short("one two three four in five six seven", 0.5) == "one two three four" and short("one two three in five six seven eight", 0.5) == "one two three six"
 
 
+def test_entities_where_little_is_searched(spark):
+    from lumenfold.functions import text as T
+
+    rows = spark.createDataFrame([("a.b and x.py.",), ("é.çà HTTP 404",), ("A_Error 404 NOT",), ("4040 Ok",), ("sTEP\t3 [Step 4]",), ("step.",), ("",), (None,)], "text string")
+    got = [None if r["e"] is None else [tuple(x) for x in r["e"]] for r in rows.select(T.typed_entities(F.col("text")).alias("e")).collect()]
+    assert got == [[("x.py", "file_path")], [("é.çà", "file_path"), ("HTTP 404", "error_code")], [("A_Error", "error_code"), ("404 NOT", "error_code")], [("040 O", "error_code")], [("sTEP\t3", "step_reference"), ("[Step 4]", "step_reference")], [], [], None]
+
+
 def test_entities_bear_their_types(spark):
     from lumenfold.operators import memory
 

@@ -258,3 +258,49 @@ def test_anchors_so_far(spark):
         assert r["anchors"] == (first + second)[:10]
     assert got["same", 24]["anchors"] == ["alpha", "beta", "gamma"] and got["same", 18]["anchors"] == []
     assert [(got["none", i]["n"], got["none", i]["median_idf"], got["none", i]["anchors"]) for i in (0, 1)] == [(1, None, []), (2, None, [])]
+
+
+def test_a_long_session_is_folded_by_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice(["long"] * 8 + ["a", "b"]), i, " ".join(f"word{chr(97 + min(int(rng.expovariate(0.2)), 25))}" for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    wanted, seen, passed = {}, {}, {}
+    for s, i, t in rows:
+        own, tokens, passed[s] = seen.setdefault(s, {}), sorted(set(t.split())), passed.get(s, 0) + 1
+        for w in tokens:
+            own[w] = own.get(w, 0) + 1
+        low = statistics.median_low(own.values()) if own else 0
+        idfs = [math.log(1 + passed[s] / (1 + n)) for n in own.values()]
+        rare = [w for n, w in sorted((own[w], w) for w in tokens) if n <= low] if passed[s] >= 20 else []
+        wanted[s, i] = (passed[s], round(statistics.median(idfs), 9) if idfs else None, rare[:10])
+    sizes, fold = [], anchors.keyed_fold
+    monkeypatch.setattr(anchors, "keyed_fold", lambda df, keys, *rest: sizes.append([r["count"] for r in df.groupBy(*keys).count().collect()]) or fold(df, keys, *rest))
+    monkeypatch.setattr(anchors, "BLOCK", 20, raising=False)
+    out = anchors.running_anchors(spark.createDataFrame(rows, "session_id string, seq int, text string").repartition(3))
+    got = {(r["session"], r["seq"]): (r["n"], None if r["median_idf"] is None else round(r["median_idf"], 9), r["anchors"]) for r in out.collect()}
+    assert got == wanted and any(len(w[2]) > 0 for w in wanted.values())
+    assert max(sizes[0]) < 150
+
+
+def test_anchors_of_rows_without_session_or_place_as_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from lumenfold.plans import catalogue, state_queries  # noqa: F401  (registers the query)
+
+    rows = [(None if i % 7 == 0 else i, f"alpha beta{chr(97 + i % 5)} gamma{chr(97 + i % 3)} src/a.py", None if i % 4 == 0 else "s") for i in range(60) if i % 7 or i in (7, 14, 28)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").where("doc_id IS NOT NULL OR source IS NULL").union(spark.createDataFrame([(None, "alpha betaa new", "s")], "doc_id long, text string, source string")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = duckdb.sql(catalogue.SQL["running_anchors"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["running_anchors"](spark, str(tmp_path)).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(wanted, key=key) and any(r[0] is None for r in wanted)
+
+
+def test_tokens_of_a_batch_as_catalyst(spark):
+    odd = ["STEP12 Step\u212aey 12 ab.cd a.b.cde/x.py \u0130STANBULER the THE Abcd API_KEY TypeError x.p \u212aELVIN K-2 ÄRGERabcd", "", None, "...... ---- a/b_c-d.E1 4711 aaaaé.abc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, text string")
+    held = F.filter(F.array_distinct(anchors.anchor_tokens(F.col("text"))), lambda t: ~anchors.is_stopword_or_short(t) & ~anchors.is_tier_one(t))
+    first = F.array_distinct(F.filter(anchors.anchor_tokens(F.col("text"), lower=False), anchors.is_tier_one))
+    wanted = {r["i"]: (r["first"] or [], " ".join(r["held"] or [])) for r in df.select("i", first.alias("first"), held.alias("held")).collect()}
+    got = {r["i"]: (r["structural"], r["held"]) for r in df.mapInArrow(anchors._split, "i int, structural array<string>, held string").collect()}
+    assert got == wanted and len(wanted[0][0]) > 5
+    chars = spark.range(128, 0x110000).where("id NOT BETWEEN 55296 AND 57343").select("id", F.lower(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")).alias("low"))
+    assert {r["id"]: r["low"] for r in chars.where(r"low RLIKE '[\\x00-\\x7f]'").collect()} == anchors._LOWER
