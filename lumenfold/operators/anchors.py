@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,32 +91,43 @@ class Middle:
         return self.at, up
 
 
-#: For tokens of ASCII alone, as anchor tokens are.
-_TOKENS = re.compile(P.ANCHOR_TOKEN).findall
+#: Bytes outside anchor tokens, which are of ASCII alone, as spaces.
+_BREAKS = bytes(b if b < 128 and re.fullmatch(P.ANCHOR_TOKEN, chr(b)) else 32 for b in range(256))
 _TIER_ONE = re.compile("|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else p for p in P.TIER_ONE).replace(r"\p{L}\p{N}", "a-zA-Z0-9")).match
 _STOPWORDS = frozenset(P.STOPWORDS)
 #: The characters beyond ASCII whose lower case holds letters of ASCII.
 _LOWER = {0x130: "i\u0307", 0x212A: "k"}
 
 
-@lru_cache(1 << 17)
-def _judged(token: str) -> tuple[bool, str | None]:
-    """Whether a token is structural, and its lower case if that may be rare."""
-    low, first = token.lower(), _TIER_ONE(token) is not None
-    return first, None if len(low) < 4 or low in _STOPWORDS or (first if low == token else _TIER_ONE(low)) else low
+class Judged(dict):
+    """Tokens with whether they are structural, and their lower case if that may be rare; so many are remembered."""
+
+    def __missing__(self, token: str) -> tuple[bool, str | None]:
+        if len(self) >= 1 << 18:
+            self.clear()
+        # no structural token is of small letters alone
+        tier = lambda t: not (t.isalpha() and t.islower()) and _TIER_ONE(t) is not None
+        low = token.lower()
+        self[token] = found = tier(token), None if len(low) < 4 or low in _STOPWORDS or tier(low) else low
+        return found
+
+
+def _tokens(text: bytes) -> dict[str, None]:
+    return dict.fromkeys(text.translate(_BREAKS).decode("ascii").split(" "))
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches with the column text turned into its distinct structural tokens and, joined by spaces, its distinct other tokens in lower case."""
+    judged = Judged()
     for batch in batches:
         structural, held = [], []
-        for text in batch["text"].to_pylist():
-            text = text or ""
-            own = dict.fromkeys(_TOKENS(text))
-            found = [_judged(t) for t in own]
+        for text in batch["text"].cast(pa.binary()).to_pylist():
+            text = text or b""
+            own = _tokens(text)
+            found = [judged[t] for t in own]
             structural.append([t for t, (first, _) in zip(own, found, strict=True) if first])
-            if not text.isascii() and any(chr(c) in text for c in _LOWER):
-                found = map(_judged, _TOKENS(text.translate(_LOWER)))
+            if any(chr(c).encode() in text for c in _LOWER):
+                found = [judged[t] for t in _tokens(text.decode().translate(_LOWER).encode())]
             held.append(" ".join(dict.fromkeys(low for _, low in found if low)))
         rest = batch.drop_columns(["text"])
         yield rest.append_column("structural", pa.array(structural, pa.list_(pa.string()))).append_column("held", pa.array(held, pa.string()))
@@ -162,7 +173,7 @@ def running_anchors(segments: DataFrame, session: str = "session_id", seq: str =
     counted = stage(tokens.withColumn("after", sums).select("session", "block", "tok", (F.col("after") - F.col("number")).alias("before"), "after"), "frequencies")
 
     # in each block its session's number of segments, its frequencies, the tokens met before, then its own segments in order
-    number, nothing = F.col("number").cast("long"), F.array().cast("array<string>").alias("first")
+    number, nothing = F.col("number").cast("long"), F.lit(None).cast("array<string>").alias("first")
     row = lambda df, kind, *columns: df.select("session", "block", F.lit(kind).alias("kind"), *columns)
     no_seq = F.lit(None).cast(rows.schema["seq"].dataType).alias("seq")
     states = [

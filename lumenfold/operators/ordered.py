@@ -58,6 +58,15 @@ def running_totals(rows: DataFrame, by: list[str], order: list[Column | str], va
     return join_same(summed, ranges, [*by, "_range"]).select(*rows.columns, (F.col("_past") + F.col("_inside")).alias("before"), "total")
 
 
+def _values(column: pa.Array) -> list:
+    """What to_pylist gives, for plain columns many times as fast."""
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(column.type) or (pa.types.is_integer(column.type) and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def keyed_fold(rows: DataFrame, keys: list[str], order: list[Column | str], start: Callable[[], Callable[[dict], list[tuple]]], schema: str, parts: int | None = None) -> DataFrame:
     """What a fold gives for the rows of each key, in order.
 
@@ -70,7 +79,8 @@ def keyed_fold(rows: DataFrame, keys: list[str], order: list[Column | str], star
         key, step = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
+            for values in zip(*map(_values, batch.columns), strict=True):
+                row = dict(zip(batch.schema.names, values, strict=True))
                 own = tuple(row[k] for k in keys)
                 if step is None or own != key:
                     key, step = own, start()
